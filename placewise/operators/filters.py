@@ -80,5 +80,6 @@ def filter_domains(df: DataFrame, city="city", price="price_level", rating="rati
     ends = df.agg(F.min(rating).cast("double").alias("lo"), F.max(rating).cast("double").alias("hi")).select(F.inline(F.array(
         F.struct(F.lit("min_rating").alias("domain"), none.cast("string").alias("text_value"),
                  F.col("lo").alias("number_value")),
-        F.struct(F.lit("max_rating"), none.cast("string"), F.col("hi")))))
+        F.struct(F.lit("max_rating").alias("domain"), none.cast("string").alias("text_value"),
+                 F.col("hi").alias("number_value")))))
     return cities.union(prices).union(ends).orderBy("domain", "text_value", "number_value")

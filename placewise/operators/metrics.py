@@ -65,7 +65,8 @@ def class_report(scored: DataFrame, label: str, prediction: str) -> DataFrame:
     none = F.lit(0).cast("bigint")
     sides = pairs.select(F.inline(F.array(
         F.struct(F.col("actual").alias("class"), F.col("rows").alias("support"), none.alias("predicted"), hit.alias("tp")),
-        F.struct(F.col("predicted"), none, F.col("rows"), none))))
+        F.struct(F.col("predicted").alias("class"), none.alias("support"), F.col("rows").alias("predicted"),
+                 none.alias("tp")))))
     classes = sides.groupBy("class").agg(
         F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("tp").alias("tp"))
     p, r = _ratio(F.col("tp"), F.col("predicted")), _ratio(F.col("tp"), F.col("support"))

@@ -21,7 +21,8 @@ from placewise.operators.filters import binary_target
 from placewise.operators.quantiles import exact_quantiles
 from placewise.operators.split import balanced_weights
 from placewise.operators.stats import standardize
-from placewise.plans.lookup import lookup, scalar_map
+from placewise.plans.lookup import attach, scalar_map
+from placewise.session import stage
 
 
 def classifier_table(df: DataFrame, rating="rating", reviews="user_ratings_total", cut: float = HIGH_RATING,
@@ -39,14 +40,13 @@ def feature_stats(df: DataFrame, numeric: list[str], categorical: list[str]) ->
 
     def filled(c: str) -> Column:
         value = F.nanvl(F.col(c).cast("double"), F.lit(None))
-        return F.coalesce(value, lookup(found, F.lit(c), "median"))
+        return F.coalesce(value, F.element_at("_found", F.lit(c))["median"])
 
-    packed = df.agg(*[F.struct(
+    packed = df.select(*numeric, found.alias("_found")).agg(*[F.struct(
         F.lit(c).alias("feature"), F.avg(filled(c)).alias("mean"), F.stddev_pop(filled(c)).alias("std")).alias(c)
         for c in numeric])
-    numbers = packed.select(F.inline(F.array(*numeric))).select(
-        "feature", lookup(found, F.col("feature"), "median").alias("median"), "mean", "std",
-        F.lit(None).cast("string").alias("mode"))
+    numbers = attach(packed.select(F.inline(F.array(*numeric))), found, "feature", "_found").select(
+        "feature", F.col("_found.median").alias("median"), "mean", "std", F.lit(None).cast("string").alias("mode"))
     for c in categorical:
         counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("rows"))
         mode = counts.agg(F.min(F.struct(-F.col("rows"), F.col(c).alias("value")))["value"].alias("mode"))
@@ -109,7 +109,7 @@ class Classifier:
 def _training(df: DataFrame, label: str, numeric: list[str], categorical: list[str]):
     features = fit_features(df, numeric, categorical)
     train = balanced_weights(features.transform(df), label).select("features", label, "weight")
-    return features, train
+    return features, stage(train, "training")
 
 
 def fit_logistic(df: DataFrame, label: str, numeric: list[str], categorical: list[str],

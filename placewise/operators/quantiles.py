@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from placewise.plans.lookup import lookup, scalar_map
+from placewise.plans.lookup import attach, scalar_map
 from placewise.plans.ranges import bucket_of, splitters
 
 
@@ -49,10 +49,11 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataF
 
     in_bucket = Window.partitionBy("column_name", "bucket").orderBy("value")
     ranked = (
-        bucketed.withColumn("total", lookup(found, "column_name", "total"))
-        .withColumn("before", F.element_at(lookup(found, "column_name", "befores"), F.col("bucket")))
+        attach(bucketed, found, "column_name", "found")
+        .withColumn("before", F.element_at("found.befores", F.col("bucket")))
         .where(F.col("before").isNotNull())
         .withColumn("until", F.col("before") + F.sum("n").over(in_bucket))
+        .withColumn("total", F.col("found.total"))
     )
 
     def at(rank: Column) -> Column:
@@ -68,39 +69,49 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataF
     return picked.select("column_name", F.col("total").alias("n"), F.array(*values).alias("quantiles"))
 
 
+def _edges(df: DataFrame, col: str, q: int) -> Column:
+    return exact_quantiles(df, [col], [i / q for i in range(q + 1)]).agg(F.first(F.array_distinct("quantiles"))).scalar()
+
+
+def _bin_number(x: Column, q: int) -> Column:
+    """Number of edges below x, at least 1; ``_edges`` has up to q + 1 of them."""
+    below = F.lit(0)
+    for i in range(q + 1):
+        below = below + F.coalesce((F.get("_edges", F.lit(i)) < x).cast("int"), F.lit(0))
+    return F.greatest(F.lit(1), below)
+
+
+def _bin_bounds(df: DataFrame) -> DataFrame:
+    lo, hi = F.get("_edges", F.col("bin_no") - 1), F.get("_edges", F.col("bin_no"))
+    opening = F.when(F.col("bin_no") == 1, F.lit("[")).otherwise(F.lit("("))
+    return df.withColumns({
+        "bin_lo": lo, "bin_hi": hi,
+        "bin_label": F.concat(opening, lo.cast("string"), F.lit(", "), hi.cast("string"), F.lit("]"))})
+
+
 def quantile_bins(df: DataFrame, col: str, q: int = 4) -> DataFrame:
     """Adds ``bin_no`` (from 1), ``bin_lo``, ``bin_hi`` and ``bin_label`` of ``q`` equal-count intervals.
 
     Equal edges are merged; intervals are closed on the right, the first one on both sides. Ties always
     share a bin. Null values, and all values of a constant column, get no bin.
     """
-    edges = exact_quantiles(df, [col], [i / q for i in range(q + 1)]).agg(
-        F.first(F.array_distinct("quantiles"))).scalar()
-    x = F.col(col).cast("double")
-    below = F.lit(0)
-    for i in range(1, q + 2):
-        below = below + F.coalesce((F.get(edges, F.lit(i - 1)) < x).cast("int"), F.lit(0))
-    has_bin = x.isNotNull() & ~F.isnan(x) & (F.size(edges) > 1)
-    return (
-        df.withColumn("bin_no", F.when(has_bin, F.greatest(F.lit(1), below)))
-        .withColumn("bin_lo", F.get(edges, F.col("bin_no") - 1))
-        .withColumn("bin_hi", F.get(edges, F.col("bin_no")))
-        .withColumn("bin_label", F.concat(
-            F.when(F.col("bin_no") == 1, F.lit("[")).otherwise(F.lit("(")),
-            F.col("bin_lo").cast("string"), F.lit(", "), F.col("bin_hi").cast("string"), F.lit("]")))
-    )
+    x = _number(col)
+    rows = df.withColumn("_edges", _edges(df, col, q))
+    rows = rows.withColumn("bin_no", F.when(x.isNotNull() & (F.size("_edges") > 1), _bin_number(x, q)))
+    return _bin_bounds(rows).drop("_edges")
 
 
 def mean_by_quantile(df: DataFrame, col: str, measure: str, q: int = 4, out: str | None = None) -> DataFrame:
     """Mean of ``measure`` per quantile bin of ``col``, over rows that have both."""
-    rows = df.na.drop(subset=[col, measure])
-    return (
-        quantile_bins(rows, col, q).where(F.col("bin_no").isNotNull())
-        .groupBy("bin_no").agg(F.max("bin_lo").alias("bin_lo"), F.max("bin_hi").alias("bin_hi"),
-                               F.max("bin_label").alias("bin_label"), F.count("*").alias("rows"),
-                               F.avg(measure).alias(out or f"avg_{measure}"))
-        .orderBy("bin_no")
+    rows = df.select(F.col(col).cast("double").alias("x"), F.col(measure).alias("m")).na.drop()
+    edges = _edges(rows, "x", q)
+    means = (
+        rows.withColumn("_edges", edges).where(F.size("_edges") > 1)
+        .groupBy(_bin_number(F.col("x"), q).alias("bin_no"))
+        .agg(F.count("*").alias("rows"), F.avg("m").alias(out or f"avg_{measure}"))
     )
+    # the interval is added to the few bins, not to every row
+    return _bin_bounds(means.withColumn("_edges", edges)).drop("_edges").orderBy("bin_no")
 
 
 def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:

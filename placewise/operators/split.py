@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from placewise.plans.lookup import lookup, scalar_map
+from placewise.plans.lookup import attach, scalar_map
 
 PREFIX = 4  # hex digits of the hash: 65,536 slices
 
@@ -43,19 +43,19 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2, see
 
     by_class = Window.partitionBy(label)
     slices = (
-        hashed.groupBy(label, "slice").agg(F.count("*").alias("rows"))
+        attach(hashed.groupBy(label, "slice").agg(F.count("*").alias("rows")), quotas, label, "q")
         .withColumn("before", F.sum("rows").over(by_class.orderBy("slice")) - F.col("rows"))
-        .withColumn("need", lookup(quotas, label, "quota") - F.col("before"))
+        .withColumn("need", F.col("q.quota") - F.col("before"))
         .where((F.col("need") > 0) & (F.col("need") <= F.col("rows")))
     )
     edge = scalar_map(slices, label, ["slice", "need"])
     last = (
-        hashed.where(F.col("slice") == lookup(edge, label, "slice"))
+        attach(hashed, edge, label, "edge").where("slice = edge.slice")
         .withColumn("rank", F.row_number().over(by_class.orderBy("digest", "id")))
-        .where(F.col("rank") == lookup(edge, label, "need"))
+        .where("rank = edge.need")
         .select(label, F.struct("digest", "id").alias("last"))
     )
-    cut = lookup(scalar_map(last, label, ["last"]), label, "last")
+    cut = F.element_at(scalar_map(last, label, ["last"]), F.col(label))["last"]
     here = F.struct(digest.alias("digest"), F.col(key).alias("id"))
     return rows.withColumn(out, F.when(here <= cut, F.lit("test")).otherwise(F.lit("train")))
 
@@ -65,7 +65,7 @@ def balanced_weight(df: DataFrame, label: str) -> Column:
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("rows"))
     every = Window.partitionBy(F.lit(1))
     weights = counts.withColumn("weight", F.sum("rows").over(every) / (F.count("*").over(every) * F.col("rows")))
-    return lookup(scalar_map(weights, label, ["weight"]), label, "weight")
+    return F.element_at(scalar_map(weights, label, ["weight"]), F.col(label))["weight"]
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

@@ -6,7 +6,6 @@ from math import pi
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from placewise.plans.lookup import lookup, scalar_map
 from placewise.plans.ranges import bucket_of, splitters
 
 
@@ -89,9 +88,9 @@ def ols_summary(df: DataFrame, y: str, x: str, order: str) -> DataFrame:
     rows = df.select(F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"),
                      F.col(order).alias("ord")).na.drop(subset=["y", "x"])
     line = rows.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
-    coef = scalar_map(line.withColumn("one", F.lit(1)), "one", ["slope", "intercept"])
-    e = F.col("y") - lookup(coef, F.lit(1), "intercept") - lookup(coef, F.lit(1), "slope") * F.col("x")
-    residuals = rows.withColumn("e", e)
+    coef = line.agg(F.first(F.struct("slope", "intercept"))).scalar()
+    residuals = rows.withColumn("_fit", coef).withColumn(
+        "e", F.col("y") - F.col("_fit.intercept") - F.col("_fit.slope") * F.col("x")).drop("_fit")
 
     fit = residuals.agg(
         F.count("*").alias("n"), F.avg("x").alias("mean_x"), F.regr_sxx("y", "x").alias("sxx"),
@@ -163,6 +162,7 @@ def standardize(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> Data
     moments = df.agg(*[F.struct(F.avg(F.col(c).cast("double")).alias("mean"),
                                 F.stddev_pop(F.col(c).cast("double")).alias("std")).alias(c) for c in cols])
     fitted = moments.agg(F.first(F.struct(*cols))).scalar()
-    return df.withColumns({
-        f"{c}{suffix}": (F.col(c).cast("double") - fitted[c]["mean"])
-        / F.coalesce(F.nullif(fitted[c]["std"], F.lit(0.0)), F.lit(1.0)) for c in cols})
+    fit = F.col("_fit")
+    return df.withColumn("_fit", fitted).withColumns({
+        f"{c}{suffix}": (F.col(c).cast("double") - fit[c]["mean"])
+        / F.coalesce(F.nullif(fit[c]["std"], F.lit(0.0)), F.lit(1.0)) for c in cols}).drop("_fit")

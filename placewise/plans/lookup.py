@@ -24,6 +24,6 @@ def scalar_map(df: DataFrame, key: str, values: list[str], max_rows: int = MAX_L
     return df.where(F.col(key).isNotNull()).limit(max_rows + 1).agg(F.map_from_entries(checked)).scalar()
 
 
-def lookup(map_col: Column, key, field: str) -> Column:
-    key = F.col(key) if isinstance(key, str) else key
-    return F.element_at(map_col, key)[field]
+def attach(df: DataFrame, found: Column, key: str, out: str) -> DataFrame:
+    """Adds the looked-up struct as a column, so that a plan with several uses holds the subquery once."""
+    return df.withColumn(out, F.element_at(found, F.col(key)))

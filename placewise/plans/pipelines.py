@@ -13,6 +13,7 @@ from placewise.operators.keyed import insert_new
 from placewise.operators.metrics import binary_metrics, class_report, confusion, pick_threshold, threshold_sweep
 from placewise.operators.models import classifier_table, fit_forest, fit_logistic
 from placewise.operators.split import stratified_split
+from placewise.session import stage
 from placewise.sources.pages import flatten_places
 
 DEMOGRAPHICS = ["population_total", "median_age", "pct_under_18", "pct_65_plus", "median_household_income"]
@@ -79,14 +80,15 @@ def classify(places: DataFrame, key: str = "place_id", model: str = "forest", te
              num_trees: int = 300, max_depth: int = 12) -> dict[str, DataFrame]:
     """Split, fit and judge a high-rating classifier: scored test rows, sweep, chosen threshold, reports."""
     table = classifier_table(places).select(key, "high_rated", *K.NUMERIC_FEATURES, *K.CATEGORICAL_FEATURES)
-    parts = stratified_split(table, "high_rated", key, test, seed)
+    # fitting passes over the rows many times: the split is written once and then only scanned
+    parts = stage(stratified_split(stage(table, "classifier"), "high_rated", key, test, seed), "split")
     train = parts.where("part = 'train'").drop("part")
     held = parts.where("part = 'test'").drop("part")
     if model == "forest":
         fitted = fit_forest(train, "high_rated", K.NUMERIC_FEATURES, K.CATEGORICAL_FEATURES, num_trees, max_depth, seed)
     else:
         fitted = fit_logistic(train, "high_rated", K.NUMERIC_FEATURES, K.CATEGORICAL_FEATURES)
-    scored = fitted.score(held)
+    scored = stage(fitted.score(held), "scored")
     sweep = threshold_sweep(scored, "high_rated", "probability_1")
     chosen = pick_threshold(sweep)
     cut = chosen.select("threshold").scalar()

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings: safe to set on a session that somebody else created.
 SETTINGS = {
@@ -42,6 +42,13 @@ def local_session(cores: str | int = "*", memory: str = "12g", app: str = "place
     return spark
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh shared folder and read it back: later passes scan files, whoever was lost."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared folder that ``spark.checkpoint.dir`` names.
 
