@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from placewise.plans.lookup import attach, scalar_map
-from placewise.plans.ranges import bucket_of, splitters
+from placewise.plans.ranges import splitters, with_bucket
 
 
 def _number(c: str) -> Column:
@@ -25,36 +24,26 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataF
         F.struct(F.lit(c).alias("column_name"), _number(c).alias("value")) for c in cols]))).where("value is not null")
     counts = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
 
-    cuts = df.agg(*[splitters(_number(c)).alias(c) for c in cols]).agg(F.first(F.create_map(*[
-        x for c in cols for x in (F.lit(c), F.col(c))]))).scalar()
-    bucketed = (
-        counts.withColumn("cuts", F.element_at(cuts, F.col("column_name")))
-        .withColumn("bucket", bucket_of("value", "cuts")).drop("cuts")
-    )
+    # One row per column. The cuts even out distinct values, which is what the buckets sort. They come from
+    # the shuffled counts, not from the table: one scan in all, and far fewer partial summaries to merge.
+    cuts = counts.groupBy("column_name").agg(splitters(F.col("value")).alias("cuts"), F.sum("n").alias("total"))
+    bucketed = with_bucket(counts.join(F.broadcast(cuts), "column_name"), "value", "cuts", "bucket").drop("cuts")
 
-    by_column = Window.partitionBy("column_name")
+    until = F.sum("rows").over(Window.partitionBy("column_name").orderBy("bucket"))
     totals = (
-        bucketed.groupBy("column_name", "bucket").agg(F.sum("n").alias("rows"))
-        .withColumn("before", F.sum("rows").over(by_column.orderBy("bucket")) - F.col("rows"))
-        .withColumn("total", F.sum("rows").over(by_column))
+        bucketed.groupBy("column_name", "bucket").agg(F.sum("n").alias("rows"), F.max("total").alias("total"))
+        .withColumn("before", until - F.col("rows"))
     )
     low = [F.floor(F.lit(p) * (F.col("total") - 1)) for p in probs]
     high = [F.ceil(F.lit(p) * (F.col("total") - 1)) for p in probs]
-    wanted = F.lit(False)
-    for rank in [*low, *high]:
-        wanted = wanted | ((rank >= F.col("before")) & (rank < F.col("before") + F.col("rows")))
-    targets = totals.where(wanted).groupBy("column_name").agg(
-        F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("bucket", "before"))).alias("befores"))
-    found = scalar_map(targets, "column_name", ["total", "befores"])
+    first, last = F.col("before"), F.col("before") + F.col("rows") - 1
+    wanted = F.exists(F.array(*low, *high), lambda rank: rank.between(first, last))
+    # two ranks per probability and column, so no more rows than that
+    targets = totals.where(wanted).select("column_name", "bucket", "before")
 
     in_bucket = Window.partitionBy("column_name", "bucket").orderBy("value")
-    ranked = (
-        attach(bucketed, found, "column_name", "found")
-        .withColumn("before", F.element_at("found.befores", F.col("bucket")))
-        .where(F.col("before").isNotNull())
-        .withColumn("until", F.col("before") + F.sum("n").over(in_bucket))
-        .withColumn("total", F.col("found.total"))
-    )
+    ranked = bucketed.join(F.broadcast(targets), ["column_name", "bucket"]).withColumn(
+        "until", F.col("before") + F.sum("n").over(in_bucket))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("until") - F.col("n")) & (rank < F.col("until")), F.col("value")))

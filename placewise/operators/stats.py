@@ -6,7 +6,7 @@ from math import pi
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from placewise.plans.ranges import bucket_of, splitters
+from placewise.plans.ranges import splitters, with_bucket
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -131,8 +131,8 @@ def _neighbour_squares(residuals: DataFrame) -> DataFrame:
         buckets = residuals.withColumn("bucket", F.substring("ord", 1, 3))
     else:
         cuts = residuals.agg(splitters(F.col("ord").cast("double"))).scalar()
-        buckets = residuals.withColumn("_v", F.col("ord").cast("double")).withColumn("_cuts", cuts).withColumn(
-            "bucket", bucket_of("_v", "_cuts")).drop("_v", "_cuts")
+        keyed = residuals.withColumn("_v", F.col("ord").cast("double")).withColumn("_cuts", cuts)
+        buckets = with_bucket(keyed, "_v", "_cuts", "bucket").drop("_v", "_cuts")
     inside = Window.partitionBy("bucket").orderBy("ord")
     steps = buckets.withColumn("step", F.col("e") - F.lag("e").over(inside))
     per_bucket = steps.groupBy("bucket").agg(

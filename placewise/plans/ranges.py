@@ -4,25 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-COARSE = 16
-FINE = 16
-BUCKETS = COARSE * FINE
-ACCURACY = 20 * BUCKETS
+SIDE = 16
+BUCKETS = SIDE * SIDE
+ACCURACY = 4 * BUCKETS
 
 
 def splitters(value: Column) -> Column:
     """Aggregate: ``BUCKETS - 1`` ascending cut points. Approximate, which only affects how even buckets are."""
-    probs = [i / BUCKETS for i in range(1, BUCKETS)]
-    return F.percentile_approx(value, probs, ACCURACY)
+    probs = F.expr(f"array({', '.join(f'{i / BUCKETS}D' for i in range(1, BUCKETS))})")
+    return F.percentile_approx(value, probs, F.lit(ACCURACY))
 
 
-def bucket_of(value: str, cuts: str) -> Column:
-    """How many cut points of the array column ``cuts`` lie below ``value``: 0 .. BUCKETS - 1.
+def _count_below(value: str, cut, lo: int, hi: int) -> str:
+    """SQL for how many of the ascending cuts ``lo .. hi - 1`` are below the value: a binary search."""
+    if lo == hi:
+        return str(lo)
+    mid = (lo + hi) // 2
+    above, under = _count_below(value, cut, mid + 1, hi), _count_below(value, cut, lo, mid)
+    return f"if({value} > {cut(mid)}, {above}, {under})"
 
-    Looks at every ``FINE``-th cut first, so a row compares about 32 values and not 255.
+
+def with_bucket(df: DataFrame, value: str, cuts: str, out: str) -> DataFrame:
+    """Adds how many cut points of the array column ``cuts`` lie below ``value`` (0 .. BUCKETS - 1).
+
+    Every 16th cut first, then the 15 between: eight comparisons per row, all in generated code.
     """
-    v = F.col(value)
-    marks = F.array(*[F.get(F.col(cuts), F.lit(i * FINE - 1)) for i in range(1, COARSE)])
-    coarse = F.size(F.filter(marks, lambda c: c < v))
-    rest = F.slice(F.col(cuts), coarse * FINE + 1, F.lit(FINE))
-    return (coarse * FINE + F.size(F.filter(rest, lambda c: c < v))).cast("int")
+    coarse = _count_below(value, lambda i: f"get({cuts}, {i * SIDE + SIDE - 1})", 0, SIDE - 1)
+    fine = _count_below(value, lambda i: f"get({cuts}, _coarse + {i})", 0, SIDE - 1)
+    return (
+        df.withColumn("_coarse", F.expr(f"{coarse} * {SIDE}"))
+        .withColumn(out, F.expr(f"_coarse + {fine}")).drop("_coarse")
+    )
