@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote, urlparse
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -36,9 +38,9 @@ def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
     A table cannot be replaced by a query that reads it: write to a new folder and switch readers over.
     """
-    inputs = {f.rsplit("/", 1)[0].split(":", 1)[-1].replace("//", "/") for f in df.inputFiles()}
-    clean = path.split(":", 1)[-1].replace("//", "/").rstrip("/")
-    if any(f == clean or f.startswith(clean + "/") for f in inputs):
+    # file names, which the driver holds for planning anyway; never rows
+    clean = unquote(urlparse(path).path).rstrip("/")
+    if any(unquote(urlparse(f).path).startswith(clean + "/") for f in df.inputFiles()):
         raise ValueError("the query reads the table it would replace")
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
