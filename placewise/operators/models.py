@@ -128,7 +128,7 @@ def fit_forest(df: DataFrame, label: str, numeric: list[str], categorical: list[
     """Balanced random forest. Depth is bounded (Spark allows 30); the usual unlimited depth is not offered."""
     features, train = _training(df, label, numeric, categorical)
     model = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=num_trees, maxDepth=max_depth,
-                                   featureSubsetStrategy="sqrt", seed=seed).fit(train)
+                                   featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024).fit(train)
     return Classifier(features, model)
 
 
@@ -148,7 +148,7 @@ def kmeans_points(df: DataFrame, cols: list[str] = CLUSTER_FEATURES, k: int = CL
 
     Clusters are numbered by their centres in ascending order, so the numbers do not depend on the start.
     """
-    rows = standardize(df.na.drop(subset=cols), cols)
+    rows = stage(standardize(df.na.drop(subset=cols), cols), "scaled")
     assembler = VectorAssembler(inputCols=[f"{c}_scaled" for c in cols], outputCol="_features")
     assembled = assembler.transform(rows)
     model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="_raw").fit(assembled.select("_features"))

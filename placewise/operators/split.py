@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from placewise.plans.lookup import attach, scalar_map
-
-PREFIX = 4  # hex digits of the hash: 65,536 slices
+from placewise.plans.hashcut import is_below_cut
+from placewise.plans.lookup import scalar_map
 
 
 def class_quotas(df: DataFrame, label: str, test: float) -> DataFrame:
@@ -30,34 +29,13 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2, see
                      out: str = "part") -> DataFrame:
     """Adds ``out`` = ``test`` or ``train``; each class gives its quota of rows with the smallest seeded hash.
 
-    Ranking a class would put its rows in one task. Instead the hash is cut into slices by its first hex
-    digits, rows per slice are counted, only the slice in which the quota falls is ranked, and each class
-    ends up with a cut-off hash that every row is compared with. Rows without a label are left out; ``key``
-    must be unique.
+    Rows without a label are left out; ``key`` must be unique. No row is shuffled: a class may hold most of
+    them, so each row is only compared with the cut-off hash of its class.
     """
     rows = df.where(F.col(label).isNotNull())
-    digest = F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string")))
-    hashed = rows.select(label, digest.alias("digest"), F.col(key).alias("id")).withColumn(
-        "slice", F.substring("digest", 1, PREFIX))
     quotas = scalar_map(class_quotas(rows, label, test), label, ["quota"])
-
-    by_class = Window.partitionBy(label)
-    slices = (
-        attach(hashed.groupBy(label, "slice").agg(F.count("*").alias("rows")), quotas, label, "q")
-        .withColumn("before", F.sum("rows").over(by_class.orderBy("slice")) - F.col("rows"))
-        .withColumn("need", F.col("q.quota") - F.col("before"))
-        .where((F.col("need") > 0) & (F.col("need") <= F.col("rows")))
-    )
-    edge = scalar_map(slices, label, ["slice", "need"])
-    last = (
-        attach(hashed, edge, label, "edge").where("slice = edge.slice")
-        .withColumn("rank", F.row_number().over(by_class.orderBy("digest", "id")))
-        .where("rank = edge.need")
-        .select(label, F.struct("digest", "id").alias("last"))
-    )
-    cut = F.element_at(scalar_map(last, label, ["last"]), F.col(label))["last"]
-    here = F.struct(digest.alias("digest"), F.col(key).alias("id"))
-    return rows.withColumn(out, F.when(here <= cut, F.lit("test")).otherwise(F.lit("train")))
+    chosen = is_below_cut(rows, label, key, quotas, seed)
+    return rows.withColumn(out, F.when(chosen, F.lit("test")).otherwise(F.lit("train")))
 
 
 def balanced_weight(df: DataFrame, label: str) -> Column:

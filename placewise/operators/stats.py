@@ -125,12 +125,22 @@ def ols_summary(df: DataFrame, y: str, x: str, order: str) -> DataFrame:
                       "jarque_bera", "jarque_bera_p", "durbin_watson")
 
 
+CUT_ROWS = 1_000_000.0
+
+
+def _cut_sample(rows: DataFrame) -> DataFrame:
+    """About a million rows picked by hash, for placing cut points only: every row is still bucketed and used.
+    Without it every task of a huge table would send its own quantile summary to the one that merges them."""
+    share = F.lit(CUT_ROWS) / rows.agg(F.count("*")).scalar()
+    return rows.where(F.pmod(F.xxhash64("ord"), F.lit(2 ** 31)) / F.lit(2.0 ** 31) < share)
+
+
 def _neighbour_squares(residuals: DataFrame) -> DataFrame:
     """One row: sum of (e - previous e) squared in the order of ``ord``."""
     if residuals.schema["ord"].dataType.simpleString() == "string":
         buckets = residuals.withColumn("bucket", F.substring("ord", 1, 3))
     else:
-        cuts = residuals.agg(splitters(F.col("ord").cast("double"))).scalar()
+        cuts = _cut_sample(residuals).agg(splitters(F.col("ord").cast("double"))).scalar()
         keyed = residuals.withColumn("_v", F.col("ord").cast("double")).withColumn("_cuts", cuts)
         buckets = with_bucket(keyed, "_v", "_cuts", "bucket").drop("_v", "_cuts")
     inside = Window.partitionBy("bucket").orderBy("ord")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from placewise.plans.hashcut import is_below_cut
+
 
 def _order(order: list) -> list[Column]:
     """``"col"`` or ``("col", 1)`` ascending, ``("col", -1)`` descending; nulls last either way."""
@@ -32,10 +34,14 @@ def top_k_per_group(df: DataFrame, group: str, order: list, k: int) -> DataFrame
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 1) -> DataFrame:
     """Exactly ``n`` rows without replacement, chosen by a seeded hash of the unique ``key``.
 
-    The same rows come out on any partitioning. Fails when the table has fewer rows.
+    The same rows come out on any partitioning, and no task gathers the candidates of all others. Fails when
+    the table has fewer rows.
     """
-    chosen = df.orderBy(F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
-    # n rows at most, so gathering them to check their number is as large as the sample itself
-    rows = F.collect_list(F.struct(*df.columns))
-    checked = F.when(F.size(rows) == n, rows).otherwise(F.raise_error(F.lit(f"fewer than {n} rows to sample")))
-    return chosen.agg(checked.alias("rows")).select(F.inline("rows"))
+    rows = df.withColumn("_all", F.lit(0))
+    quota = F.create_map(F.lit(0), F.struct(F.lit(n).cast("bigint").alias("quota")))
+    chosen = rows.where(is_below_cut(rows, "_all", key, quota, seed)).drop("_all")
+    # a row-less branch that checks the size of the table, an empty one included
+    too_few = F.raise_error(F.lit(f"fewer than {n} rows to sample")).cast("boolean")
+    guard = df.agg(F.count("*").alias("_rows")).where(F.when(F.col("_rows") < n, too_few).otherwise(F.lit(False)))
+    return chosen.unionByName(guard.select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]))

@@ -78,7 +78,11 @@ def price_page(places: DataFrame, **filters) -> tuple[DataFrame, DataFrame]:
 
 def classify(places: DataFrame, key: str = "place_id", model: str = "forest", test: float = 0.2, seed: int = K.SEED,
              num_trees: int = 300, max_depth: int = 12) -> dict[str, DataFrame]:
-    """Split, fit and judge a high-rating classifier: scored test rows, sweep, chosen threshold, reports."""
+    """Split, fit and judge a high-rating classifier.
+
+    Scored test rows; metrics, confusion and report of the model's own predictions; threshold sweep, the
+    chosen threshold, and confusion and report at it.
+    """
     table = classifier_table(places).select(key, "high_rated", *K.NUMERIC_FEATURES, *K.CATEGORICAL_FEATURES)
     # fitting passes over the rows many times: the split is written once and then only scanned
     parts = stage(stratified_split(stage(table, "classifier"), "high_rated", key, test, seed), "split")
@@ -96,6 +100,8 @@ def classify(places: DataFrame, key: str = "place_id", model: str = "forest", te
     return {
         "scored": scored, "sweep": sweep, "chosen": chosen,
         "metrics": binary_metrics(scored, "high_rated", "prediction"),
-        "confusion": confusion(judged, "high_rated", "at_threshold"),
-        "report": class_report(judged, "high_rated", "at_threshold"),
+        "confusion": confusion(scored, "high_rated", "prediction"),
+        "report": class_report(scored, "high_rated", "prediction"),
+        "chosen_confusion": confusion(judged, "high_rated", "at_threshold"),
+        "chosen_report": class_report(judged, "high_rated", "at_threshold"),
     }

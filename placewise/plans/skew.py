@@ -4,29 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-HOT_SHARE = 0.01
-SALTS = 64
+HOT_SHARE = 0.001
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE):
-    """Array column of the keys that hold more than ``share`` of the rows: at most ``1 / share`` of them."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+def hot_keys(df: DataFrame, key: str, partitions: int, share: float = HOT_SHARE) -> DataFrame:
+    """Keys with more than ``share`` of the rows, and into how many groups each is to be cut.
+
+    There are fewer than ``1 / share`` of them, whatever the data. A key gets as many groups as its share of
+    the shuffle partitions, so a group is about as large as a partition.
+    """
     total = df.agg(F.count("*")).scalar()
-    hot = counts.where(F.col("_n") > total * F.lit(share))
-    return hot.agg(F.collect_list(key)).scalar()
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).withColumn("_total", total)
+    groups = F.ceil(F.col("_n") * partitions / F.col("_total")).cast("int") + 1
+    return counts.where(F.col("_n") > F.col("_total") * F.lit(share)).select(key, groups.alias("_groups"))
 
 
 def salted_left_join(fact: DataFrame, dim: DataFrame, key: str, spread: list[str],
-                     salts: int = SALTS, share: float = HOT_SHARE) -> DataFrame:
-    """``fact LEFT JOIN dim USING (key)`` with hot and null keys spread over ``salts`` groups.
+                     share: float = HOT_SHARE) -> DataFrame:
+    """``fact LEFT JOIN dim USING (key)`` with the rows of hot keys and of the null key spread out.
 
     The salt is a hash of the ``spread`` columns, so a recomputed task makes the same rows. Only the
-    dimension rows of hot keys are copied, and there are at most ``1 / share`` hot keys.
+    dimension rows of hot keys are copied. The table of hot keys is bounded, hence the broadcast.
     """
-    hot = hot_keys(fact, key, share)
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    is_hot = F.coalesce(F.array_contains(hot, F.col(key)), F.lit(False))
-    left = fact.withColumn("_salt", F.when(F.col(key).isNull() | is_hot, salt).otherwise(F.lit(0)))
-    right = dim.where(F.col(key).isNotNull()).withColumn("_salt", F.explode(
-        F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    partitions = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.broadcast(hot_keys(fact, key, partitions, share))
+    groups = F.when(F.col(key).isNull(), F.lit(partitions)).otherwise(F.coalesce(F.col("_groups"), F.lit(1)))
+    left = fact.join(hot, key, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*spread), groups.cast("bigint")).cast("int")).drop("_groups")
+    right = dim.where(F.col(key).isNotNull()).join(hot, key, "left").withColumn("_salt", F.explode(
+        F.sequence(F.lit(0), F.coalesce(F.col("_groups"), F.lit(1)) - 1))).drop("_groups")
     return left.join(right, [key, "_salt"], "left").drop("_salt")

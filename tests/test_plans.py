@@ -13,7 +13,7 @@ from verification.standins import Tables
 
 SF = "/root/testdata/sf0.001"
 # these write files or fit models when called
-EAGER = {"logistic_metrics", "forest_threshold_sweep", "forest_report", "feature_importance", "kmeans_profile",
+EAGER = {"logistic_metrics", "logistic_report", "forest_threshold_sweep", "forest_report", "forest_chosen_report", "feature_importance", "kmeans_profile",
          "cluster_points", "kmeans_embeddings"}
 catalog.load_all()
 

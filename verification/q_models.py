@@ -56,19 +56,29 @@ def logistic_metrics(t):
     return P.classify(places(t), model="logistic")["metrics"]
 
 
+@query()
+def logistic_report(t):
+    return P.classify(places(t), model="logistic")["report"]
+
+
 @query()
 def forest_threshold_sweep(t):
-    return P.classify(places(t), num_trees=60, max_depth=8)["sweep"]
+    return P.classify(places(t))["sweep"]
+
+
+@query()
+def forest_chosen_report(t):
+    return P.classify(places(t))["chosen_report"]
 
 
 @query()
 def forest_report(t):
-    return P.classify(places(t), num_trees=60, max_depth=8)["report"]
+    return P.classify(places(t), num_trees=200)["report"]
 
 
 @query()
 def feature_importance(t):
     table = M.classifier_table(places(t))
     table = stage(table.select("high_rated", *FEATURES, *K.CATEGORICAL_FEATURES), "classifier")
-    forest = M.fit_forest(table, "high_rated", FEATURES, K.CATEGORICAL_FEATURES, num_trees=60, max_depth=8)
+    forest = M.fit_forest(table, "high_rated", FEATURES, K.CATEGORICAL_FEATURES, num_trees=300)
     return M.feature_importance(forest, table)

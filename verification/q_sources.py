@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from placewise import constants as K
 from placewise.operators import joins as J, keyed as W
 from placewise.plans import pipelines as P
-from placewise.schemas import ENRICHED_PLACES
+from placewise.schemas import ENRICHED_PLACES, PLACES
 from placewise.session import shared_dir
 from placewise.sources import pages, tables
 from placewise.streaming import ingest
@@ -80,8 +80,7 @@ def flatten_places(t):
   select {FLAT} from k where rn = 1""")
 def collect_new_places(t):
     results = pages.read_search_pages(t.spark, landed_pages(t))
-    store = pages.flatten_places(results).limit(0)
-    out = P.collect_new(store, results)
+    out = P.collect_new(t.spark.createDataFrame([], PLACES), results)
     return out.withColumn("unknown_field", F.get_json_object("raw_json", "$.unknown_field")).drop("raw_json")
 
 
@@ -170,7 +169,7 @@ def _ingest(t, mode: str):
             select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) rn from events) x
           where rn = 1""")
 def stream_upsert(t):
-    base = t.events.limit(0)
+    base = t.spark.createDataFrame([], EVENT_SCHEMA)
     return ingest.current_table(base, _ingest(t, "upsert"), STREAM_KEYS, ["ts", "event_id"]).select(
         *STREAM_KEYS, "event_id", "value", "props")
 
@@ -179,7 +178,7 @@ def stream_upsert(t):
             select *, row_number() over (partition by user_id, event_type order by ts, event_id) rn from events) x
           where rn = 1""")
 def stream_insert(t):
-    base = t.events.limit(0)
+    base = t.spark.createDataFrame([], EVENT_SCHEMA)
     return ingest.current_table(base, _ingest(t, "insert"), STREAM_KEYS, ["ts", "event_id"], mode="insert").select(
         *STREAM_KEYS, "event_id", "value", "props")
 
