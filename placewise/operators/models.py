@@ -22,7 +22,7 @@ from placewise.operators.quantiles import exact_quantiles
 from placewise.operators.split import balanced_weights
 from placewise.operators.stats import standardize
 from placewise.plans.lookup import attach, scalar_map
-from placewise.session import stage
+from placewise.session import spread, stage
 
 
 def classifier_table(df: DataFrame, rating="rating", reviews="user_ratings_total", cut: float = HIGH_RATING,
@@ -109,7 +109,7 @@ class Classifier:
 def _training(df: DataFrame, label: str, numeric: list[str], categorical: list[str]):
     features = fit_features(df, numeric, categorical)
     train = balanced_weights(features.transform(df), label).select("features", label, "weight")
-    return features, stage(train, "training")
+    return features, spread(stage(train, "training"))
 
 
 def fit_logistic(df: DataFrame, label: str, numeric: list[str], categorical: list[str],
@@ -128,7 +128,8 @@ def fit_forest(df: DataFrame, label: str, numeric: list[str], categorical: list[
     """Balanced random forest. Depth is bounded (Spark allows 30); the usual unlimited depth is not offered."""
     features, train = _training(df, label, numeric, categorical)
     model = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=num_trees, maxDepth=max_depth,
-                                   featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024).fit(train)
+                                   featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024,
+                                   cacheNodeIds=True).fit(train)
     return Classifier(features, model)
 
 
@@ -148,7 +149,7 @@ def kmeans_points(df: DataFrame, cols: list[str] = CLUSTER_FEATURES, k: int = CL
 
     Clusters are numbered by their centres in ascending order, so the numbers do not depend on the start.
     """
-    rows = stage(standardize(df.na.drop(subset=cols), cols), "scaled")
+    rows = spread(stage(standardize(df.na.drop(subset=cols), cols), "scaled"))
     assembler = VectorAssembler(inputCols=[f"{c}_scaled" for c in cols], outputCol="_features")
     assembled = assembler.transform(rows)
     model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="_raw").fit(assembled.select("_features"))

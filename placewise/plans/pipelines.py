@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from placewise import constants as K
 from placewise.functions import lenient_double, lenient_int
 from placewise.operators.aggregates import area_summary_of, argmax_by, segment_summary
+from placewise.operators.crawl import plateau_point, rolling_yield, yield_per_point
 from placewise.operators.filters import exact_length, filter_places, load_serving
 from placewise.operators.joins import assemble_dim, enrich, lookup, restrict_dim, unmapped
 from placewise.operators.keyed import insert_new
@@ -25,6 +26,13 @@ def collect_new(store: DataFrame, results: DataFrame, keys=("city", "place_id"))
     return insert_new(store, flatten_places(results, extra=order), list(keys), order)
 
 
+def crawl_progress(results: DataFrame, store: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Yield per search point with its rolling mean, and the point at which each city's crawl could stop."""
+    hits = results.select("city", "point_no", F.col("place.place_id").alias("place_id"))
+    points = yield_per_point(hits, "city", "point_no", "place_id", existing=store)
+    return rolling_yield(points, "city"), plateau_point(points, "city")
+
+
 def zip_demographics(age: DataFrame, income: DataFrame, places: DataFrame, zip_col: str = "zip5") -> DataFrame:
     """Census age and income rows (text) of the zips that occur in ``places``, typed, one row per zip."""
     zips = exact_length(places, zip_col, 5)

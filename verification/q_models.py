@@ -9,6 +9,7 @@ from placewise.session import stage
 from verification.catalog import query, rounded
 
 FEATURES = K.NUMERIC_FEATURES
+DEPTH = 8  # of the forests here; the library allows 30, at a cost that doubles with each level
 TABLE = """select ln(1 + cast(user_ratings_total as double)) log_reviews, price_level, population_total, median_age,
   pct_under_18, pct_65_plus, median_household_income, city from enriched_zip where rating is not null"""
 
@@ -63,22 +64,23 @@ def logistic_report(t):
 
 @query()
 def forest_threshold_sweep(t):
-    return P.classify(places(t))["sweep"]
+    return P.classify(places(t), max_depth=DEPTH)["sweep"]
 
 
 @query()
 def forest_chosen_report(t):
-    return P.classify(places(t))["chosen_report"]
+    return P.classify(places(t), max_depth=DEPTH)["chosen_report"]
 
 
 @query()
 def forest_report(t):
-    return P.classify(places(t), num_trees=200)["report"]
+    return P.classify(places(t), num_trees=200, max_depth=DEPTH)["report"]
 
 
 @query()
 def feature_importance(t):
     table = M.classifier_table(places(t))
     table = stage(table.select("high_rated", *FEATURES, *K.CATEGORICAL_FEATURES), "classifier")
-    forest = M.fit_forest(table, "high_rated", FEATURES, K.CATEGORICAL_FEATURES, num_trees=300)
+    forest = M.fit_forest(table, "high_rated", FEATURES, K.CATEGORICAL_FEATURES, num_trees=300,
+                          max_depth=DEPTH)
     return M.feature_importance(forest, table)
