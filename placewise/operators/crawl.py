@@ -45,7 +45,8 @@ def yield_per_point(hits: DataFrame, region: str, point: str, key: str, existing
         .groupBy(region, "point_no").agg(F.sum("got").alias("got"), F.sum("new_keys").alias("new_keys"))
     )
     # point 0 holds the size of the store: part of the total, not a point of the crawl
-    return running_total(per_point, [region], "point_no", "new_keys", "total", block).where("point_no > 0")
+    terms = firsts.unionByName(every).select(region, "point_no", "new_keys")
+    return running_total(per_point, [region], "point_no", "new_keys", "total", block, terms).where("point_no > 0")
 
 
 def rolling_yield(df: DataFrame, region: str = "region", point: str = "point_no", value: str = "new_keys",
@@ -66,49 +67,54 @@ def plateau_point(df: DataFrame, region: str = "region", point: str = "point_no"
     ``min_new_avg``, counted from point ``warmup`` on; null if there is none."""
     by_block = Window.partitionBy(region, "_block").orderBy(point)
     # a streak of full windows looks back over window + stable - 1 points
-    after = with_halo(df.where(F.col(point) >= warmup), point, window + stable - 2, block)
-    flagged = after.withColumn("_low", (
+    rows = with_halo(df.where(F.col(region).isNotNull()), point, window + stable - 2, block)
+    flagged = rows.withColumn("_low", (
+        # from here on a window holds no point before the warm-up's end
         (F.col(point) >= warmup + window - 1)
         & (F.avg(value).over(by_block.rowsBetween(-(window - 1), 0)) < min_new_avg)
         # a halo row whose own window starts before the halo is only context
         & (F.count("*").over(by_block.rowsBetween(-(window - 1), 0)) == window)).cast("int"))
     streak = F.sum("_low").over(by_block.rowsBetween(-(stable - 1), 0))
     found = flagged.withColumn("_stop", ~F.col("_halo") & (streak == stable))
-    stops = found.groupBy(region).agg(F.min(F.when(F.col("_stop"), F.col(point))).alias(out))
-    regions = df.select(region).where(F.col(region).isNotNull()).distinct()
-    return regions.join(stops, region, "left")
+    return found.groupBy(region).agg(F.min(F.when(F.col("_stop"), F.col(point))).alias(out))
 
 
 def cap_per_region(hits: DataFrame, region: str, point: str, pos: str, key: str, n: int = TARGET_PER_CITY,
                    existing: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Walk each region's points in order and keep its first ``n`` distinct keys, stored ones included.
 
-    Returns region, key, point and position of the first sighting of each key that is added. Keys per point
-    are totalled first, and only points reached before the cap are ranked: a task ranks no more than the cap
-    and one point.
+    Returns region, key, point and position of the first sighting of each key that is added.
     """
-    walk = F.struct(F.col(point).cast("bigint").alias("point_no"), F.col(pos).alias("pos"))
-    seen = _keyed(hits, key).where(F.col(region).isNotNull()).select(
-        region, key, walk.alias("walk"), F.lit(False).alias("stored"))
+    # stored keys come first: they are at point 0, which is dropped at the end
+    place = F.struct(F.col(point).cast("bigint").alias("point_no"), F.col(pos).alias("pos"))
+    seen = _keyed(hits, key).where(F.col(region).isNotNull()).select(region, key, place.alias("place"))
     if existing is not None:
-        none = F.lit(None).cast(seen.schema["walk"].dataType)
-        seen = seen.unionByName(_keyed(existing, key).select(
-            region, key, none.alias("walk"), F.lit(True).alias("stored")).distinct())
-    firsts = seen.groupBy(region, key).agg(F.min("walk").alias("walk"), F.max("stored").alias("stored"))
-    firsts = firsts.select(
-        region, key, F.when(F.col("stored"), F.lit(0)).otherwise(F.col("walk.point_no")).alias("point_no"),
-        F.when(~F.col("stored"), F.col("walk.pos")).alias("pos"))
+        stored = F.struct(F.lit(0).cast("bigint").alias("point_no"), F.lit(None).cast(hits.schema[pos].dataType).alias("pos"))
+        seen = seen.unionByName(_keyed(existing, key).select(region, key, stored.alias("place")))
+    firsts = seen.groupBy(region, key).agg(F.min("place").alias("place")).select(
+        region, key, F.col("place.point_no").alias("point_no"), F.col("place.pos").alias("pos"))
+    limit = int(hits.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    kept = _first_n(firsts, region, key, n) if n <= limit else _first_n_by_point(firsts, region, key, n, block)
+    return kept.where("point_no > 0").select(
+        region, key, F.col("point_no").alias(point), F.col("pos").alias(pos))
+
+
+def _first_n(firsts: DataFrame, region: str, key: str, n: int) -> DataFrame:
+    """Up to the threshold Spark cuts each region to n rows before the shuffle."""
+    walk = Window.partitionBy(region).orderBy("point_no", "pos", key)
+    return firsts.withColumn("_rank", F.row_number().over(walk)).where(F.col("_rank") <= n)
+
+
+def _first_n_by_point(firsts: DataFrame, region: str, key: str, n: int, block: int) -> DataFrame:
+    """Beyond it: total the keys per point, and rank only within points that are reached before the cap."""
     per_point = firsts.groupBy(region, "point_no").agg(F.count("*").alias("_keys"))
     totals = running_total(per_point, [region], "point_no", "_keys", "_total", block)
-    reached = totals.where((F.col("point_no") > 0) & (F.col("_total") - F.col("_keys") < n)).select(
+    reached = totals.where(F.col("_total") - F.col("_keys") < n).select(
         region, "point_no", (F.col("_total") - F.col("_keys")).alias("_before"))
     in_point = Window.partitionBy(region, "point_no").orderBy("pos", key)
     return (
-        firsts.join(reached, [region, "point_no"])
-        .withColumn("_rank", F.row_number().over(in_point))
-        # the literal bound lets Spark cut a crowded point before the shuffle
-        .where((F.col("_rank") <= n) & (F.col("_before") + F.col("_rank") <= n))
-        .select(region, key, F.col("point_no").alias(point), F.col("pos").alias(pos))
+        firsts.join(reached, [region, "point_no"]).withColumn("_rank", F.row_number().over(in_point))
+        .where(F.col("_before") + F.col("_rank") <= n)
     )
 
 

@@ -13,15 +13,20 @@ BLOCK = 65_536
 
 
 def block_of(pos: str, block: int = BLOCK) -> Column:
-    return F.floor(F.col(pos) / F.lit(block)).cast("bigint")
+    return F.expr(f"`{pos}` div {block}")
 
 
-def running_total(df: DataFrame, part: list[str], pos: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
-    """``sum(value)`` over all rows of the partition up to this position (one row per position)."""
+def running_total(df: DataFrame, part: list[str], pos: str, value: str, out: str, block: int = BLOCK,
+                  terms: DataFrame | None = None) -> DataFrame:
+    """``sum(value)`` over all rows of the partition up to this position (one row per position).
+
+    ``terms`` may hold the same sums in a form that is cheaper to compute twice; it needs a row in each block.
+    """
     cut = df.withColumn("_block", block_of(pos, block))
+    terms = cut if terms is None else terms.withColumn("_block", block_of(pos, block))
     before = Window.partitionBy(*part).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy(*part, "_block").agg(F.sum(value).alias("_sum"))
+        terms.groupBy(*part, "_block").agg(F.sum(value).alias("_sum"))
         .withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
         .drop("_sum")
     )

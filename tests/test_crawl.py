@@ -86,8 +86,10 @@ def walk(points, stored, cap=None):
     return out, kept
 
 
-@pytest.mark.parametrize("block", [65_536, 7])
-def test_yield_and_cap(spark, table, block):
+@pytest.mark.parametrize("block,limit", [(65_536, 1000), (7, 5)])
+def test_yield_and_cap(spark, table, block, limit):
+    # a cap beyond the limit takes the way that totals keys per point
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", limit)
     rng = random.Random(3)
     logs = {name: [[rng.choice([None, ""] + [f"k{i}" for i in range(60)]) for _ in range(rng.choice([0, 1, 5, 9]))]
                    for _ in range(40)] + [["last"]] for name in "xyz"}
@@ -105,6 +107,7 @@ def test_yield_and_cap(spark, table, block):
         _, kept = walk(points, stored[name], cap=20)
         mine = sorted((r for r in capped if r["region"] == name), key=lambda r: (r["point"], r["pos"]))
         assert [r["key"] for r in mine] == kept
+    spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
 
 
 def test_last_point_without_results(table):
