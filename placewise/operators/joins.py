@@ -16,14 +16,15 @@ MAX_MAPPING = 10_000
 
 
 def enrich(fact: DataFrame, dim: DataFrame, on: str, cols: list[str] | None = None,
-           salted: bool = False) -> DataFrame:
+           salted: bool = False, spread: list[str] | None = None) -> DataFrame:
     """Left join: every fact row stays; null and unmapped keys get null attributes.
 
-    ``salted=True`` is for a dimension too large to broadcast under a fact with hot (or many null) keys.
+    ``salted=True`` is for a dimension too large to broadcast under a fact with hot (or many null) keys; rows are
+    spread by a hash of the ``spread`` columns, all if not given.
     """
     right = dim if cols is None else dim.select(on, *cols)
     if salted:
-        return salted_left_join(fact, right, on, spread=fact.columns)
+        return salted_left_join(fact, right, on, spread or fact.columns)
     return fact.join(right, on, "left")
 
 

@@ -70,12 +70,16 @@ def _bin_number(x: Column, q: int) -> Column:
     return F.greatest(F.lit(1), below)
 
 
-def _bin_bounds(df: DataFrame) -> DataFrame:
-    lo, hi = F.get("_edges", F.col("bin_no") - 1), F.get("_edges", F.col("bin_no"))
+def _label() -> Column:
     opening = F.when(F.col("bin_no") == 1, F.lit("[")).otherwise(F.lit("("))
-    return df.withColumns({
-        "bin_lo": lo, "bin_hi": hi,
-        "bin_label": F.concat(opening, lo.cast("string"), F.lit(", "), hi.cast("string"), F.lit("]"))})
+    lo, hi = (F.col(c).cast("string") for c in ("bin_lo", "bin_hi"))
+    return F.concat(opening, lo, F.lit(", "), hi, F.lit("]"))
+
+
+def _with_bins(rows: DataFrame, x: Column, q: int) -> DataFrame:
+    number = F.when(x.isNotNull() & (F.size("_edges") > 1), _bin_number(x, q))
+    return rows.withColumn("bin_no", number).withColumns({
+        "bin_lo": F.get("_edges", F.col("bin_no") - 1), "bin_hi": F.get("_edges", F.col("bin_no"))}).drop("_edges")
 
 
 def quantile_bins(df: DataFrame, col: str, q: int = 4) -> DataFrame:
@@ -84,23 +88,19 @@ def quantile_bins(df: DataFrame, col: str, q: int = 4) -> DataFrame:
     Equal edges are merged; intervals are closed on the right, the first one on both sides. Ties always
     share a bin. Null values, and all values of a constant column, get no bin.
     """
-    x = _number(col)
     rows = df.withColumn("_edges", _edges(df, col, q))
-    rows = rows.withColumn("bin_no", F.when(x.isNotNull() & (F.size("_edges") > 1), _bin_number(x, q)))
-    return _bin_bounds(rows).drop("_edges")
+    return _with_bins(rows, _number(col), q).withColumn("bin_label", _label())
 
 
 def mean_by_quantile(df: DataFrame, col: str, measure: str, q: int = 4, out: str | None = None) -> DataFrame:
     """Mean of ``measure`` per quantile bin of ``col``, over rows that have both."""
     rows = df.select(F.col(col).cast("double").alias("x"), F.col(measure).alias("m")).na.drop()
-    edges = _edges(rows, "x", q)
-    means = (
-        rows.withColumn("_edges", edges).where(F.size("_edges") > 1)
-        .groupBy(_bin_number(F.col("x"), q).alias("bin_no"))
+    binned = _with_bins(rows.withColumn("_edges", _edges(rows, "x", q)), F.col("x"), q)
+    return (
+        binned.groupBy("bin_no", "bin_lo", "bin_hi")
         .agg(F.count("*").alias("rows"), F.avg("m").alias(out or f"avg_{measure}"))
+        .where(F.col("bin_no").isNotNull()).withColumn("bin_label", _label()).orderBy("bin_no")
     )
-    # the interval is added to the few bins, not to every row
-    return _bin_bounds(means.withColumn("_edges", edges)).drop("_edges").orderBy("bin_no")
 
 
 def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -68,7 +68,7 @@ def city_demographics(places: DataFrame, age: DataFrame, income: DataFrame, mapp
 
 
 def enriched_by_zip(places: DataFrame, demographics: DataFrame, salted: bool = False) -> DataFrame:
-    return enrich(places, demographics, "zip5", [*DEMOGRAPHICS, "census_name"], salted=salted)
+    return enrich(places, demographics, "zip5", [*DEMOGRAPHICS, "census_name"], salted=salted, spread=["place_id"])
 
 
 def zip_analysis(places: DataFrame, demographics: DataFrame) -> DataFrame:

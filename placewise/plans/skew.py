@@ -13,8 +13,9 @@ def hot_keys(df: DataFrame, key: str, partitions: int, share: float = HOT_SHARE)
     There are fewer than ``1 / share`` of them, whatever the data. A key gets as many groups as its share of
     the shuffle partitions, so a group is about as large as a partition.
     """
-    total = df.agg(F.count("*")).scalar()
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).withColumn("_total", total)
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    counts = counts.where(F.col(key).isNotNull()).withColumn("_total", total)
     groups = F.ceil(F.col("_n") * partitions / F.col("_total")).cast("int") + 1
     return counts.where(F.col("_n") > F.col("_total") * F.lit(share)).select(key, groups.alias("_groups"))
 
@@ -23,7 +24,7 @@ def salted_left_join(fact: DataFrame, dim: DataFrame, key: str, spread: list[str
                      share: float = HOT_SHARE) -> DataFrame:
     """``fact LEFT JOIN dim USING (key)`` with the rows of hot keys and of the null key spread out.
 
-    The salt is a hash of the ``spread`` columns, so a recomputed task makes the same rows. Only the
+    The salt is a hash of the ``spread`` columns (a row id is best), so a recomputed task makes the same rows. Only the
     dimension rows of hot keys are copied. The table of hot keys is bounded, hence the broadcast.
     """
     partitions = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))

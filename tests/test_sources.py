@@ -179,6 +179,22 @@ def test_stream_new_keys(spark, tmp_path):
     assert got == [("a", "x"), ("b", "x")]
 
 
+def test_stream_new_keys_within_a_delay(spark, tmp_path):
+    src, out, ckpt = (str(tmp_path / n) for n in ("src", "out", "ckpt"))
+    schema = "id string, ts timestamp_ntz"
+
+    def land_and_run(*rows):
+        spark.createDataFrame(list(rows), "id string, t string").selectExpr(
+            "id", "cast(t as timestamp_ntz) ts").coalesce(1).write.mode("append").parquet(src)
+        keys = ingest.stream_new_keys(ingest.read_stream(spark, src, schema), ["id"], "ts", "1 hour")
+        keys.writeStream.format("parquet").option("checkpointLocation", ckpt).trigger(availableNow=True).start(
+            out).awaitTermination()
+
+    land_and_run(("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:10:00"), ("b", "2024-01-01 00:20:00"))
+    land_and_run(("a", "2024-01-01 00:30:00"), ("c", "2024-01-01 00:30:00"))
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
 def test_latest_per_key_is_stable(spark):
     df = spark.range(1000).selectExpr("id % 7 k", "id v")
     want = sorted(tuple(r) for r in W.latest_per_key(df, ["k"], ["v"]).collect())

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from placewise import constants as K
+from placewise import constants as K, functions as X
 from placewise.operators import joins as J, keyed as W
 from placewise.plans import pipelines as P
 from placewise.schemas import ENRICHED_PLACES, PLACES
@@ -152,6 +152,12 @@ def read_table_columns(t):
     return tables.read_table(t.spark, f"{t.dir}/lineitem.parquet", ["l_orderkey", "l_quantity"])
 
 
+@query()
+def fetch_time_stamp(t):
+    """A clock reading has no SQL to agree with."""
+    return t.supplier.select("s_suppkey", X.utc_now_seconds().alias("fetched_at"))
+
+
 # --- streaming: all events, one row per user and event type
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
