@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from placewise.plans.ranges import splitters, with_bucket
+from placewise.plans.ranges import side_for, splitters, with_bucket
 
 
 def _number(c: str) -> Column:
@@ -24,10 +24,11 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataF
         F.struct(F.lit(c).alias("column_name"), _number(c).alias("value")) for c in cols]))).where("value is not null")
     counts = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
 
+    side = side_for(df.sparkSession)
     # One row per column. The cuts even out distinct values, which is what the buckets sort. They come from
     # the shuffled counts, not from the table: one scan in all, and far fewer partial summaries to merge.
-    cuts = counts.groupBy("column_name").agg(splitters(F.col("value")).alias("cuts"), F.sum("n").alias("total"))
-    bucketed = with_bucket(counts.join(F.broadcast(cuts), "column_name"), "value", "cuts", "bucket").drop("cuts")
+    cuts = counts.groupBy("column_name").agg(splitters(F.col("value"), side).alias("cuts"), F.sum("n").alias("total"))
+    bucketed = with_bucket(counts.join(F.broadcast(cuts), "column_name"), "value", "cuts", side, "bucket").drop("cuts")
 
     until = F.sum("rows").over(Window.partitionBy("column_name").orderBy("bucket"))
     totals = (

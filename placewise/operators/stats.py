@@ -6,7 +6,7 @@ from math import pi
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from placewise.plans.ranges import splitters, with_bucket
+from placewise.plans.ranges import side_for, splitters, with_bucket
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -140,9 +140,10 @@ def _neighbour_squares(residuals: DataFrame) -> DataFrame:
     if residuals.schema["ord"].dataType.simpleString() == "string":
         buckets = residuals.withColumn("bucket", F.substring("ord", 1, 3))
     else:
-        cuts = _cut_sample(residuals).agg(splitters(F.col("ord").cast("double"))).scalar()
+        side = side_for(residuals.sparkSession)
+        cuts = _cut_sample(residuals).agg(splitters(F.col("ord").cast("double"), side)).scalar()
         keyed = residuals.withColumn("_v", F.col("ord").cast("double")).withColumn("_cuts", cuts)
-        buckets = with_bucket(keyed, "_v", "_cuts", "bucket").drop("_v", "_cuts")
+        buckets = with_bucket(keyed, "_v", "_cuts", side, "bucket").drop("_v", "_cuts")
     inside = Window.partitionBy("bucket").orderBy("ord")
     steps = buckets.withColumn("step", F.col("e") - F.lag("e").over(inside))
     per_bucket = steps.groupBy("bucket").agg(

@@ -56,4 +56,5 @@ def positions(df: DataFrame, part: list[str], last: str, out: str, block: int =
     starts = df.select(*part, last, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(last).cast("bigint"),
                                                          F.lit(block).cast("bigint"))).alias("_start"))
     ends = F.least(F.col("_start") + F.lit(block - 1), F.col(last).cast("bigint"))
-    return starts.select(*part, F.explode(F.sequence(F.col("_start"), ends)).alias(out))
+    # a long partition's blocks are spread out before each becomes its many rows
+    return starts.repartition(*part, "_start").select(*part, F.explode(F.sequence(F.col("_start"), ends)).alias(out))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from math import ceil, sqrt
 
-SIDE = 16
-BUCKETS = SIDE * SIDE
-ACCURACY = 4 * BUCKETS
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def splitters(value: Column) -> Column:
-    """Aggregate: ``BUCKETS - 1`` ascending cut points. Approximate, which only affects how even buckets are."""
-    probs = F.expr(f"array({', '.join(f'{i / BUCKETS}D' for i in range(1, BUCKETS))})")
-    return F.percentile_approx(value, probs, F.lit(ACCURACY))
+def side_for(spark: SparkSession) -> int:
+    """Square root of the number of buckets: about as many buckets as shuffle partitions, 256 to 4,096."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(16, min(64, ceil(sqrt(partitions))))
+
+
+def splitters(value: Column, side: int) -> Column:
+    """Aggregate: ``side * side - 1`` ascending cut points. Approximate, which only affects how even buckets are."""
+    buckets = side * side
+    probs = F.expr(f"array({', '.join(f'{i / buckets}D' for i in range(1, buckets))})")
+    return F.percentile_approx(value, probs, F.lit(4 * buckets))
 
 
 def _count_below(value: str, cut, lo: int, hi: int) -> str:
@@ -24,14 +29,14 @@ def _count_below(value: str, cut, lo: int, hi: int) -> str:
     return f"if({value} > {cut(mid)}, {above}, {under})"
 
 
-def with_bucket(df: DataFrame, value: str, cuts: str, out: str) -> DataFrame:
-    """Adds how many cut points of the array column ``cuts`` lie below ``value`` (0 .. BUCKETS - 1).
+def with_bucket(df: DataFrame, value: str, cuts: str, side: int, out: str) -> DataFrame:
+    """Adds how many cut points of the array column ``cuts`` lie below ``value``.
 
-    Every 16th cut first, then the 15 between: eight comparisons per row, all in generated code.
+    Every ``side``-th cut first, then the cuts between: some ten comparisons per row, all in generated code.
     """
-    coarse = _count_below(value, lambda i: f"get({cuts}, {i * SIDE + SIDE - 1})", 0, SIDE - 1)
-    fine = _count_below(value, lambda i: f"get({cuts}, _coarse + {i})", 0, SIDE - 1)
+    coarse = _count_below(value, lambda i: f"get({cuts}, {i * side + side - 1})", 0, side - 1)
+    fine = _count_below(value, lambda i: f"get({cuts}, _coarse + {i})", 0, side - 1)
     return (
-        df.withColumn("_coarse", F.expr(f"{coarse} * {SIDE}"))
+        df.withColumn("_coarse", F.expr(f"{coarse} * {side}"))
         .withColumn(out, F.expr(f"_coarse + {fine}")).drop("_coarse")
     )

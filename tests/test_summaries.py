@@ -4,7 +4,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from placewise.operators import aggregates as A, quantiles as Q, topk as TK
+from placewise.plans.ranges import side_for, with_bucket
 
 
 def test_quantiles_against_numpy(table):
@@ -21,6 +24,23 @@ def test_quantiles_against_numpy(table):
         assert list(got[c]["quantiles"]) == pytest.approx(list(np.quantile(values, probs)), rel=1e-12)
 
 
+@pytest.mark.parametrize("side", [16, 21, 64])
+def test_buckets_count_the_cuts_below(table, side):
+    cuts = sorted(random.Random(side).choice(range(4000)) / 2 for _ in range(side * side - 1))
+    values = [-1.0, 0.0, 3.5, 777.0, 1200.5, 1999.5, 5000.0, *cuts[::97]]
+    df = table("v double", *[(v,) for v in values]).withColumn("cuts", F.lit(cuts).cast("array<double>"))
+    got = with_bucket(df, "v", "cuts", side, "b").select("v", "b").collect()
+    assert [r["b"] for r in got] == [int(np.searchsorted(cuts, r["v"], side="left")) for r in got]
+
+
+@pytest.mark.parametrize("partitions,side", [(8, 16), (200, 16), (1000, 32), (20_000, 64)])
+def test_buckets_follow_the_shuffle_partitions(spark, partitions, side):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert side_for(spark) == side
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.mark.parametrize("values", [
     [1, 1, 1, 1, 2, 3, 4, 4], [7] * 6, list(range(100)), [0, 0, 0, 0, 0, 5, 6], [1.5, 2.5], [3],
     [random.Random(2).choice(range(12)) for _ in range(200)],
