@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +23,8 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str | int = "*", memory: str = "12g", app: str = "placewise") -> SparkSession:
+def local_session(cores: str | int = "*", memory: str = "12g", app: str = "placewise",
+                  options: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     parts = str(cores) if str(cores).isdigit() else "8"
     builder = (
@@ -35,7 +34,7 @@ def local_session(cores: str | int = "*", memory: str = "12g", app: str = "place
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **(options or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -56,13 +55,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared folder that ``spark.checkpoint.dir`` names.
-
-    Only a local master, which has no other machine to share with, may fall back to the temporary folder.
-    """
+    """A fresh folder that every executor reaches: under ``spark.checkpoint.dir``, else under the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        root = os.path.join(tempfile.gettempdir(), "placewise")
+    root = root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

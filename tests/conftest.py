@@ -9,8 +9,10 @@ from placewise.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(4, memory="8g", app="tests")
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    return local_session(4, memory="8g", app="tests", options={
+        "spark.sql.warehouse.dir": str(shared / "warehouse"), "spark.checkpoint.dir": str(shared / "checkpoints")})
 
 
 @pytest.fixture
