@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placewise.llm import licenses, maxscore, quality, simhash
+from placewise.llm import bpe, licenses, maxscore, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,13 @@ def op1_topk_search(embeddings):
     return maxscore.topk_search(embeddings, F.col("vec_id") % 20 == 0)
 
 
+@query("documents")
+def op3_bpe_codes(documents):
+    import public_tokenizers
+
+    return bpe.bpe_digests(documents, public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("documents")
 def op4_simhash_near_dedup(documents):
     return simhash.simhash_near_dedup(documents)
