@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placewise.llm import bpe, licenses, maxscore, quality, simhash
+from placewise.llm import bpe, language_id, licenses, maxscore, packing, quality, simhash
+from placewise.llm.common import crc_rest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +37,12 @@ def op1_topk_search(embeddings):
     return maxscore.topk_search(embeddings, F.col("vec_id") % 20 == 0)
 
 
+@query("documents")
+def op2_language_id(documents):
+    rest = crc_rest("doc_id", 5)
+    return language_id.predict_languages(documents, language_id.fit_models(documents.where(rest != 0)), rest == 0)
+
+
 @query("documents")
 def op3_bpe_codes(documents):
     import public_tokenizers
@@ -53,6 +60,11 @@ def op8_license_scan(documents):
     return licenses.license_scan(documents)
 
 
+@query("documents")
+def op9_packing(documents):
+    return packing.pack_batches(documents)
+
+
 @query("documents")
 def op10_quality_rules(documents):
     return quality.quality_rules(documents)
