@@ -109,6 +109,11 @@ class RangeHash:
         self.sums = np.zeros(n, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * RangeHash._powers[0][:n - 1], out=self.sums[1:])
 
+    def windows(self, size: int) -> np.ndarray:
+        """Hashes of all ranges of ``size`` bytes, by their start; the same values as ``of``."""
+        n = max(len(self.sums) - size, 0)
+        return mix((self.sums[size:] - self.sums[:n]) * RangeHash._powers[1][:n])
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * RangeHash._powers[1][start])
 
@@ -144,6 +149,14 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return twice, again
 
 
+def lookup_sorted(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in an ascending array, and whether they are there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
 def crc_rest(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n

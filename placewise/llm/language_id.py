@@ -61,12 +61,6 @@ def gram_hash(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the keys in a sorted array, and whether they are there."""
-    at = np.minimum(np.searchsorted(table, keys), max(len(table) - 1, 0))
-    return at, (table[at] == keys) if len(table) else np.zeros(len(keys), bool)
-
-
 class Models:
     """Models of all languages in shared hash arrays."""
 
@@ -104,7 +98,7 @@ class Models:
                 base = np.broadcast_to(self.floor, table.shape)
                 self.unseen = np.log(weight[0] * self.floor) if len(heads) else np.log(self.floor)
             else:
-                base = lower[lookup(self.keys[-1], gram_hash(columns[1:]))[0]]
+                base = lower[C.lookup_sorted(self.keys[-1], gram_hash(columns[1:]))[0]]
                 self.context_keys.append(heads)
                 self.context_logs.append(np.log(np.maximum(weight, 1e-12)))
             keys = gram_hash(columns)
@@ -124,11 +118,11 @@ class Models:
         gained = np.zeros((len(at), len(self.names)))
         open_rows = np.arange(len(at))
         for k in range(ORDER, 0, -1):
-            place, found = lookup(self.keys[k - 1], gram_hash([codes[todo - j] for j in range(k - 1, -1, -1)]))
+            place, found = C.lookup_sorted(self.keys[k - 1], gram_hash([codes[todo - j] for j in range(k - 1, -1, -1)]))
             gained[open_rows[found]] += self.logp[k - 1][place[found]]
             todo, open_rows = todo[~found], open_rows[~found]
             if k > 1:
-                place, known = lookup(self.context_keys[k - 1], gram_hash([codes[todo - j] for j in range(k - 1, 0, -1)]))
+                place, known = C.lookup_sorted(self.context_keys[k - 1], gram_hash([codes[todo - j] for j in range(k - 1, 0, -1)]))
                 gained[open_rows[known]] += self.context_logs[k - 1][place[known]]
         gained[open_rows] += self.unseen
         for i in range(len(self.names)):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placewise.llm import bpe, language_id, licenses, maxscore, packing, quality, simhash
+from placewise.llm import bpe, language_id, licenses, lm_score, maxscore, packing, quality, simhash, suffix_dedup
 from placewise.llm.common import crc_rest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,16 @@ def op4_simhash_near_dedup(documents):
     return simhash.simhash_near_dedup(documents)
 
 
+@query("documents")
+def op6_suffix_dedup(documents):
+    return suffix_dedup.suffix_dedup(documents)
+
+
+@query("documents")
+def op7_lm_score(documents):
+    return lm_score.lm_scores(documents, crc_rest("doc_id", 7) == 2)
+
+
 @query("documents")
 def op8_license_scan(documents):
     return licenses.license_scan(documents)
