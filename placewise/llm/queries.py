@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placewise.llm import bpe, language_id, licenses, lm_score, maxscore, packing, quality, simhash, suffix_dedup
+from placewise.llm import bpe, html_extract, language_id, licenses, lm_score, maxscore, packing, quality, simhash, suffix_dedup
 from placewise.llm.common import crc_rest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ def op4_simhash_near_dedup(documents):
     return simhash.simhash_near_dedup(documents)
 
 
+@query("pages")
+def op5_html_extract(pages):
+    return html_extract.extract_pages(pages, html_extract.fit_field(pages))
+
+
 @query("documents")
 def op6_suffix_dedup(documents):
     return suffix_dedup.suffix_dedup(documents)

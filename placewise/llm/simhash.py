@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from placewise.llm import common as C
 from placewise.llm.components import connected_components
@@ -49,13 +49,16 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def simhash_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def simhash_fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 3, **ids: Column) -> DataFrame:
+    """The given long columns and fp, the fingerprint as a signed long."""
+    names = list(ids)
+
     def one(batch):
         fps = [fingerprint(t, shingle) for t in C.raw_texts(batch.column("text"))]
-        return {"doc_id": batch.column("doc_id"), "fp": pa.array(np.array(fps, np.uint64).view(np.int64))}
+        return {**{c: batch.column(c) for c in names}, "fp": pa.array(np.array(fps, np.uint64).view(np.int64))}
 
-    return C.per_chunk(C.narrow(df, doc_id=df[id_col].cast("long"), text=text_col), "doc_id long, fp long", one)
+    rows = df.select(df[text_col].alias("text"), *(col.cast("long").alias(name) for name, col in ids.items()))
+    return C.per_chunk(rows, ", ".join(f"{c} long" for c in (*names, "fp")), one)
 
 
 def _syndromes() -> np.ndarray:
@@ -195,21 +198,42 @@ def simhash_links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return dealt.mapInArrow(link, "a long, b long").distinct()
 
 
+def _components(prints: DataFrame, order: Column, max_bits: int) -> DataFrame:
+    """fp, first (the least ``order`` in its component) and class_size (rows with this fingerprint)."""
+    classes = stage(prints.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("class_size")), "classes")
+    if not max_bits:
+        return classes
+    roots = connected_components(simhash_links(classes, max_bits))
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select(
+        "fp", "first", "class_size", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return stage(rooted.drop("first").join(least, "root").drop("root"), "components")
+
+
 def simhash_near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                        max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable through links), class_size.
 
     ``class_size`` is the number of documents that share the fingerprint.
     """
-    prints = stage(simhash_fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("class_size")), "classes")
-    named = classes.withColumn("component_id", F.col("first"))
-    if max_bits:
-        roots = connected_components(simhash_links(classes, max_bits))
-        rooted = classes.join(roots, classes.fp == roots.node, "left").select(
-            "fp", "first", "class_size", F.coalesce("root", "fp").alias("root"))
-        least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-        named = rooted.join(least, "root")
-    named = stage(named.select("fp", "component_id", "class_size"), "named")
+    prints = stage(simhash_fingerprints(df, text_col, shingle, doc_id=df[id_col]), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
+    named = _components(prints, first, max_bits).select("fp", F.col("first.doc_id").alias("component_id"), "class_size")
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size")
+
+
+def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                     max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest id, of equal ids any one.
+
+    The rows get numbers of their own, written with them, since ids may repeat or be null.
+    """
+    number = "_row_number_"
+    while number in df.columns:
+        number += "_"
+    rows = stage(df.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    prints = stage(simhash_fingerprints(rows, text_col, shingle, id=rows[id_col], number=rows[number]), "fingerprints")
+    first = F.struct(F.col("id").isNull().alias("unnamed"), "id", "number")
+    kept = _components(prints, first, max_bits).select(F.col("first.number").alias(number)).distinct()
+    return rows.join(kept, number, "left_semi").drop(number)
