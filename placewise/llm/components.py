@@ -12,7 +12,7 @@ from placewise.session import stage
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node that has an edge to another; root is the smallest node reachable.
+    """(node, root) for every node that can reach a smaller one; root is the smallest it reaches.
 
     Edges with a null end and loops count for nothing; repeated edges count once.
     """

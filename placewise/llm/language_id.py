@@ -2,7 +2,7 @@
 
 Characters are lower-cased; each run of characters that are no letters is one boundary, and a text starts after three
 start marks. The models are fitted on a bounded sample of labelled documents: ``docs_per_lang`` of each language, chosen
-by a hash of the id, and a quarter of that for calibration. n-grams live in sorted arrays of 64-bit hashes shared by all
+by a hash of the id but no more than four in five, and a quarter of that for calibration. n-grams live in sorted arrays of 64-bit hashes shared by all
 languages, with one fully interpolated log-probability per language, and contexts likewise with their back-off weights.
 A text gets the language with the lowest cross-entropy per character (ties: the smaller name); it is rejected if that is
 above the language's calibrated limit, which widens for short texts.
@@ -26,6 +26,7 @@ DOCS_PER_LANG = 1000  # the bound of the training sample, in documents of each l
 START, BOUNDARY = 1, 32
 UNKNOWN = "und"
 CALIBRATED_SHARE = 0.995  # of the calibration documents lie under a third of the limit's distance from the median
+LEAST_WIDTH = 0.4  # nats per character; few calibration documents would make the limit too narrow
 SURE_AFTER = 40  # characters after which the score no longer sharpens
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,7 +137,7 @@ class Models:
             if mine.any():
                 self.center[i] = np.median(loss[mine, i])
                 spread = np.maximum(loss[mine, i] - self.center[i], 0) / self.slack(length[mine])
-                self.width[i] = max(3 * float(np.quantile(spread, CALIBRATED_SHARE)), 0.05)
+                self.width[i] = max(3 * float(np.quantile(spread, CALIBRATED_SHARE)), LEAST_WIDTH)
 
     @staticmethod
     def slack(length: np.ndarray) -> np.ndarray:
@@ -171,7 +172,7 @@ def fit_models(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not names:
         return Models(np.empty((0, ORDER), np.uint64), np.empty(0, np.int64), np.empty(0), [])
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*(F.lit(x) for n in names for x in (n, docs_per_lang / sizes[n])))[F.col("lang")]
+    share = F.create_map(*(F.lit(x) for n in names for x in (n, min(docs_per_lang / sizes[n], 0.8))))[F.col("lang")]
     number = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i)))[F.col("lang")]
     part = F.when(draw < share, 0).when(draw < 1.25 * share, 1)
     sample = stage(rows.select(number.alias("lang"), "text", part.alias("part")).where("part is not null"), "sample")
