@@ -26,7 +26,7 @@ from placewise.llm.page_layouts import labelled_pages
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 LAYOUT_PAGES = 600
-SAMPLE_PAGES = 200  # the bound of the sample from the table
+SAMPLE_PAGES = 200  # expected size of the sample from the table; at most twice as many
 SAMPLE_CHARS = 200_000  # longer pages are left out of the training sample, not of the extraction
 STEPS = 150
 DECAY = 1e-4
@@ -178,9 +178,10 @@ def markup_labels(blocks: list[Block]) -> np.ndarray | None:
 def fit_field(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample: int = SAMPLE_PAGES,
               layouts: int = LAYOUT_PAGES) -> Field:
     """A field trained on written layouts and a bounded sample of the table (by a hash of the id)."""
-    fit = pages.select(F.col(html_col).alias("html"), F.xxhash64(F.lit("page sample"), F.col(id_col)).alias("h")).where(
-        F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
-    drawn = [r.html for r in fit.orderBy("h", F.xxhash64("html")).limit(sample).collect()]
+    draw = F.pmod(F.xxhash64(F.lit("page sample"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+    few = pages.where(draw < sample / max(pages.count(), 1)).select(F.col(html_col).alias("html"))
+    few = few.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
+    drawn = [r.html for r in few.limit(2 * sample).collect()]
     blocks, labels = [], []
     for page in labelled_pages(layouts):
         found = leaf_blocks(page)
