@@ -85,7 +85,7 @@ def cap_per_region(hits: DataFrame, region: str, point: str, pos: str, key: str,
 
     Returns region, key, point and position of the first sighting of each key that is added.
     """
-    # stored keys come first: they are at point 0, which is dropped at the end
+    # stored keys are at point 0, before all others
     place = F.struct(F.col(point).cast("bigint").alias("point_no"), F.col(pos).alias("pos"))
     seen = _keyed(hits, key).where(F.col(region).isNotNull()).select(region, key, place.alias("place"))
     if existing is not None:
@@ -93,29 +93,15 @@ def cap_per_region(hits: DataFrame, region: str, point: str, pos: str, key: str,
         seen = seen.unionByName(_keyed(existing, key).select(region, key, stored.alias("place")))
     firsts = seen.groupBy(region, key).agg(F.min("place").alias("place")).select(
         region, key, F.col("place.point_no").alias("point_no"), F.col("place.pos").alias("pos"))
-    limit = int(hits.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    kept = _first_n(firsts, region, key, n) if n <= limit else _first_n_by_point(firsts, region, key, n, block)
-    return kept.where("point_no > 0").select(
-        region, key, F.col("point_no").alias(point), F.col("pos").alias(pos))
-
-
-def _first_n(firsts: DataFrame, region: str, key: str, n: int) -> DataFrame:
-    """Up to the threshold Spark cuts each region to n rows before the shuffle."""
-    walk = Window.partitionBy(region).orderBy("point_no", "pos", key)
-    return firsts.withColumn("_rank", F.row_number().over(walk)).where(F.col("_rank") <= n)
-
-
-def _first_n_by_point(firsts: DataFrame, region: str, key: str, n: int, block: int) -> DataFrame:
-    """Beyond it: total the keys per point, and rank only within points that are reached before the cap."""
+    # totals per point tell which points are reached before the cap; only their keys are ranked, and never the store's
     per_point = firsts.groupBy(region, "point_no").agg(F.count("*").alias("_keys"))
     totals = running_total(per_point, [region], "point_no", "_keys", "_total", block)
-    reached = totals.where(F.col("_total") - F.col("_keys") < n).select(
-        region, "point_no", (F.col("_total") - F.col("_keys")).alias("_before"))
+    before = F.col("_total") - F.col("_keys")
+    reached = totals.where((F.col("point_no") > 0) & (before < n)).select(region, "point_no", before.alias("_before"))
     in_point = Window.partitionBy(region, "point_no").orderBy("pos", key)
-    return (
-        firsts.join(reached, [region, "point_no"]).withColumn("_rank", F.row_number().over(in_point))
-        .where(F.col("_before") + F.col("_rank") <= n)
-    )
+    kept = firsts.where("point_no > 0").join(reached, [region, "point_no"]).withColumn(
+        "_rank", F.row_number().over(in_point)).where(F.col("_before") + F.col("_rank") <= n)
+    return kept.select(region, key, F.col("point_no").alias(point), F.col("pos").alias(pos))
 
 
 def region_counts(df: DataFrame, region: str, target: int | None = None) -> DataFrame:

@@ -1,7 +1,6 @@
 """Enrichment joins.
 
-No join carries a broadcast hint except the one against a Python dictionary, whose size is known here.
-Spark broadcasts a side that it has measured to be under ``spark.sql.autoBroadcastJoinThreshold``;
+No join carries a broadcast hint. Spark broadcasts a side that it has measured to be under ``spark.sql.autoBroadcastJoinThreshold``;
 a larger one is shuffled, and skewed partitions of the fact side are split by adaptive execution
 (``forceOptimizeSkewedJoin``) or, on request, salted.
 """
@@ -12,8 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from placewise.plans.skew import salted_left_join
 
-MAX_MAPPING = 10_000
-
 
 def enrich(fact: DataFrame, dim: DataFrame, on: str, cols: list[str] | None = None,
            salted: bool = False, spread: list[str] | None = None) -> DataFrame:
@@ -51,10 +48,8 @@ def unmapped(fact: DataFrame, dim: DataFrame, on: str) -> DataFrame:
 
 
 def lookup(df: DataFrame, mapping: dict[str, dict[str, str]], on: str) -> DataFrame:
-    """Inner join with a dictionary ``key -> {column: text}``; unmapped rows are left out."""
-    if not 0 < len(mapping) <= MAX_MAPPING:
-        raise ValueError(f"a mapping needs 1 to {MAX_MAPPING} entries; pass a larger one to enrich() as a table")
-    fields = list(next(iter(mapping.values())))
+    """Inner join with a dictionary ``key -> {column: text}``; unmapped rows are left out, all of them if it is empty."""
+    fields = list(next(iter(mapping.values()), {}))
     rows = [(key, *[attrs[f] for f in fields]) for key, attrs in mapping.items()]
     schema = ", ".join(f"`{name}` string" for name in [on, *fields])
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, schema)), on)
+    return df.join(df.sparkSession.createDataFrame(rows, schema), on)

@@ -43,46 +43,53 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], update_cols: li
            touch: dict[str, Column] | None = None, small_batch: bool = False) -> DataFrame:
     """Last write wins on ``keys``.
 
-    On a conflict ``update_cols`` take the batch value, null included; other columns keep the old one.
-    ``touch`` columns are set on every inserted or updated row. Within the batch the row that is last in
-    ``order_cols`` wins. Null keys fail the job.
+    On a conflict ``update_cols`` take the batch value, null included; other columns keep the old one. A new key
+    brings its whole batch row. ``touch`` columns are set on every inserted or updated row. Within the batch the row
+    that is last in ``order_cols`` wins. Null keys fail the job.
 
     ``small_batch=True`` plans the same result as left, semi and anti joins, in which Spark may broadcast
     the batch and leave a huge target unshuffled; a full outer join must shuffle both sides.
     """
     touch = touch or {}
     new = latest_per_key(_refuse_null_keys(batch, keys), keys, order_cols)
-    carried = [c for c in target.columns if c in keys or c in update_cols]
-    new = new.select(*carried, F.lit(True).alias("_hit"))
-    rest = [c for c in target.columns if c not in keys]
-    for c in rest:
-        if c in carried:
-            new = new.withColumnRenamed(c, f"_new_{c}")
+    brought = [c for c in target.columns if c in batch.columns and c not in keys]
+    new = new.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in brought], F.lit(True).alias("_hit"))
+    old = target.withColumn("_had", F.lit(True))
+    hit, had = F.col("_hit").isNotNull(), F.col("_had").isNotNull()
 
     def value(c: str) -> Column:
-        hit = F.col("_hit").isNotNull()
+        if c in keys:
+            return F.col(c)
         if c in touch:
             return F.when(hit, touch[c]).otherwise(F.col(c)).alias(c)
-        if c in update_cols:
-            return F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
-        return F.col(c)
+        if c not in brought:
+            return F.col(c)
+        takes = hit if c in update_cols else ~had
+        return F.when(takes, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
 
     def result(joined: DataFrame) -> DataFrame:
-        return joined.select(*[F.col(c) if c in keys else value(c) for c in target.columns])
+        return joined.select(*map(value, target.columns))
 
     if not small_batch:
-        return result(target.join(new, keys, "full"))
-    updated = result(target.join(new, keys, "left"))
+        return result(old.join(new, keys, "full"))
+    updated = result(old.join(new, keys, "left"))
     matched = target.select(*keys).join(new.select(*keys), keys, "left_semi")
     absent = new.join(matched, keys, "left_anti")
-    blank = {c: F.lit(None).cast(target.schema[c].dataType) for c in rest}
-    return updated.unionByName(result(absent.withColumns(blank)))
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in target.schema.fields if f.name not in keys}
+    return updated.unionByName(result(absent.withColumns(blank).withColumn("_had", F.lit(None).cast("boolean"))))
+
 
+def insert_new(target: DataFrame, batch: DataFrame, keys: list[str], order_cols: list,
+               touch: dict[str, Column] | None = None) -> DataFrame:
+    """Target plus the first batch row of each key it lacks; rows with a null or empty-text key are skipped.
 
-def insert_new(target: DataFrame, batch: DataFrame, keys: list[str], order_cols: list) -> DataFrame:
-    """Target plus the first batch row of each key it lacks; rows with a null key are skipped."""
-    first = first_per_key(batch.na.drop(subset=keys), keys, order_cols)
-    return target.unionByName(unseen(first, target, keys).select(*target.columns))
+    Columns that only the target has are null in the new rows, unless ``touch`` sets them.
+    """
+    named = batch.na.drop(subset=keys)
+    for key in keys:
+        named = named.where(F.col(key).cast("string") != "")
+    fresh = unseen(first_per_key(named, keys, order_cols), target, keys).withColumns(touch or {})
+    return target.unionByName(fresh.select(*[c for c in target.columns if c in fresh.columns]), allowMissingColumns=True)
 
 
 def _candidates(target: DataFrame, keys: list[str], when_null: str) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -22,7 +23,11 @@ from placewise.operators.quantiles import exact_quantiles
 from placewise.operators.split import balanced_weights
 from placewise.operators.stats import standardize
 from placewise.plans.lookup import attach, scalar_map
-from placewise.session import spread, stage
+
+MAX_DEPTH = 30  # the deepest Spark builds
+MAX_BINS = 256  # cuts tried per feature
+MAX_ITER = 300  # rounds of k-means, if the centres do not settle before
+FIT_PARTITIONS = 64  # default; bagging draws per partition, so their number is part of a forest's seed
 
 
 def classifier_table(df: DataFrame, rating="rating", reviews="user_ratings_total", cut: float = HIGH_RATING,
@@ -106,62 +111,99 @@ class Classifier:
                              F.col("prediction").cast("int").alias("prediction"))
 
 
-def _training(df: DataFrame, label: str, numeric: list[str], categorical: list[str]):
+def _training(df: DataFrame, label: str, numeric: list[str], categorical: list[str], partitions: int):
     features = fit_features(df, numeric, categorical)
     train = balanced_weights(features.transform(df), label).select("features", label, "weight")
-    return features, spread(stage(train, "training"))
+    return features, _settled(train, F.xxhash64(*numeric, *categorical), partitions)
+
+
+def _settled(df: DataFrame, spread_by: Column, partitions: int) -> DataFrame:
+    """``df`` for a fit: the same rows in the same partitions on any machine, kept while it passes over them. The caller
+    unpersists it."""
+    rows = df.repartition(partitions, spread_by).sortWithinPartitions(spread_by)
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_logistic(df: DataFrame, label: str, numeric: list[str], categorical: list[str],
-                 c: float = 1.0, max_iter: int = 1000) -> Classifier:
+                 c: float = 1.0, max_iter: int = 1000, partitions: int = FIT_PARTITIONS) -> Classifier:
     """Balanced logistic regression with an L2 penalty of strength ``1 / c`` and a free intercept."""
-    features, train = _training(df, label, numeric, categorical)
+    features, train = _training(df, label, numeric, categorical, partitions)
     # balanced weights add up to the row count, which is what the penalty is divided by
     reg = 1.0 / (c * train.count())
     model = LogisticRegression(labelCol=label, weightCol="weight", regParam=reg, elasticNetParam=0.0,
                                standardization=False, maxIter=max_iter).fit(train)
+    train.unpersist()
     return Classifier(features, model)
 
 
 def fit_forest(df: DataFrame, label: str, numeric: list[str], categorical: list[str], num_trees: int = 200,
-               max_depth: int = 12, seed: int = SEED) -> Classifier:
-    """Balanced random forest. Depth is bounded (Spark allows 30); the usual unlimited depth is not offered."""
-    features, train = _training(df, label, numeric, categorical)
+               max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS, seed: int = SEED,
+               partitions: int = FIT_PARTITIONS) -> Classifier:
+    """Balanced random forest. Spark's deepest tree has 30 levels; ``max_bins`` is the number of cuts tried per feature."""
+    features, train = _training(df, label, numeric, categorical, partitions)
     model = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=num_trees, maxDepth=max_depth,
-                                   featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024,
-                                   cacheNodeIds=True).fit(train)
+                                   maxBins=max_bins, featureSubsetStrategy="sqrt", seed=seed,
+                                   maxMemoryInMB=1024, cacheNodeIds=True).fit(train)
+    train.unpersist()
     return Classifier(features, model)
 
 
 def feature_importance(classifier: Classifier, sample: DataFrame, k: int = 15) -> DataFrame:
     """The k most important features by name; one-hot slots are named ``column_value``."""
-    assembled = classifier.features.transform(sample).schema["features"].metadata["ml_attr"]["attrs"]
-    names = {a["idx"]: a["name"].removeprefix("num_").removeprefix("one_") for group in assembled.values() for a in group}
+    names = feature_names(classifier, sample)
     values = classifier.model.featureImportances.toArray()
     rows = [(names[i], float(v)) for i, v in enumerate(values)]
     return sample.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(
         F.col("importance").desc(), "feature").limit(k)
 
 
+def feature_names(classifier: Classifier, sample: DataFrame) -> list[str]:
+    """Names of the assembled features in their order; one-hot slots are named ``column_value``."""
+    groups = classifier.features.transform(sample).schema["features"].metadata["ml_attr"]["attrs"]
+    names = {a["idx"]: a["name"].removeprefix("num_").removeprefix("one_") for group in groups.values() for a in group}
+    return [names[i] for i in range(len(names))]
+
+
+def logistic_slopes(classifier: Classifier, train: DataFrame, label: str) -> DataFrame:
+    """Slope of the weighted, penalised loss per row at the fitted coefficients, for each feature and the intercept."""
+    names = feature_names(classifier, train)
+    rows = balanced_weights(classifier.score(train).withColumnRenamed("prediction", "_guess"), label)
+    slip = F.col("weight") * (F.col("probability_1") - F.col(label))
+    vector = vector_to_array("features")
+    x = classifier.features.transform(rows).select(vector.alias("x"), slip.alias("slip"))
+    sums = x.agg(F.count("*").alias("n"), F.sum("slip"), *[F.sum(F.col("x")[i] * F.col("slip")) for i in range(len(names))])
+    n, bias, *slopes = sums.first()
+    penalty = classifier.model.getRegParam()
+    found = [(f, s / n + penalty * float(b)) for f, s, b in zip(names, slopes, classifier.model.coefficients)]
+    return train.sparkSession.createDataFrame([*found, ("intercept", bias / n)], "feature string, slope double")
+
+
 def kmeans_points(df: DataFrame, cols: list[str] = CLUSTER_FEATURES, k: int = CLUSTER_K, seed: int = SEED,
-                  out: str = "cluster") -> DataFrame:
+                  out: str = "cluster", max_iter: int = MAX_ITER, partitions: int = FIT_PARTITIONS) -> DataFrame:
     """Complete rows with the k-means cluster over the standardised columns.
 
     Clusters are numbered by their centres in ascending order, so the numbers do not depend on the start.
     """
-    rows = spread(stage(standardize(df.na.drop(subset=cols), cols), "scaled"))
     assembler = VectorAssembler(inputCols=[f"{c}_scaled" for c in cols], outputCol="_features")
-    assembled = assembler.transform(rows)
-    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="_raw").fit(assembled.select("_features"))
+    assembled = assembler.transform(standardize(df.na.drop(subset=cols), cols))
+    model = _fit_clusters(assembled, F.xxhash64(*cols), k, seed, max_iter, partitions)
     return _number_clusters(model, assembled, out).drop("_features", *[f"{c}_scaled" for c in cols])
 
 
-def kmeans_vectors(df: DataFrame, col: str, k: int, seed: int = SEED, out: str = "cluster") -> DataFrame:
+def _fit_clusters(assembled: DataFrame, spread_by: Column, k: int, seed: int, max_iter: int, partitions: int):
+    rows = _settled(assembled.select("_features", spread_by.alias("_spread")), F.col("_spread"), partitions)
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="_raw").fit(rows)
+    rows.unpersist()
+    return model
+
+
+def kmeans_vectors(df: DataFrame, col: str, k: int, seed: int = SEED, out: str = "cluster",
+                   max_iter: int = MAX_ITER, partitions: int = FIT_PARTITIONS) -> DataFrame:
     """The same over an array-of-numbers column, as it is."""
     from pyspark.ml.functions import array_to_vector
 
     assembled = df.withColumn("_features", array_to_vector(F.col(col).cast("array<double>")))
-    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="_raw").fit(assembled.select("_features"))
+    model = _fit_clusters(assembled, F.xxhash64(col), k, seed, max_iter, partitions)
     return _number_clusters(model, assembled, out).drop("_features")
 
 

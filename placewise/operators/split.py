@@ -1,16 +1,22 @@
-"""Seeded stratified split with exact class quotas and no shuffle of the data."""
+"""Seeded stratified split with exact class quotas.
+
+What a class needs (a cut-off, a weight) is a table with a row per class, joined back: Spark broadcasts it if it is
+small, else it splits the partitions of a hot class.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from placewise.plans.hashcut import with_cut
+
 
-from placewise.plans.hashcut import is_below_cut
-from placewise.plans.lookup import scalar_map
+def class_counts(df: DataFrame, label: str) -> DataFrame:
+    return df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("rows"))
 
 
-def class_quotas(df: DataFrame, label: str, test: float) -> DataFrame:
-    """Test rows per class: ceil(test * n) in all, shared out by largest remainder."""
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("rows"))
+def class_quotas(counts: DataFrame, label: str, test: float) -> DataFrame:
+    """Test rows per class, from (label, rows): ceil(test * n) in all, shared out by largest remainder."""
     every = Window.partitionBy(F.lit(1))  # one row per class
     shared = counts.withColumn("n", F.sum("rows").over(every)).withColumn(
         "size", F.ceil(F.col("n") * F.lit(test)))
@@ -29,22 +35,17 @@ def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2, see
                      out: str = "part") -> DataFrame:
     """Adds ``out`` = ``test`` or ``train``; each class gives its quota of rows with the smallest seeded hash.
 
-    Rows without a label are left out; ``key`` must be unique. No row is shuffled: a class may hold most of
-    them, so each row is only compared with the cut-off hash of its class.
+    Rows without a label are left out. A null ``key``, or a repeated one that the cut would part, fails the job. No
+    class is gathered or ranked: each row is compared with the cut-off hash of its class.
     """
     rows = df.where(F.col(label).isNotNull())
-    quotas = scalar_map(class_quotas(rows, label, test), label, ["quota"])
-    chosen = is_below_cut(rows, label, key, quotas, seed)
-    return rows.withColumn(out, F.when(chosen, F.lit("test")).otherwise(F.lit("train")))
-
-
-def balanced_weight(df: DataFrame, label: str) -> Column:
-    """``n / (classes * rows of the class)`` of each row's class, as a column."""
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("rows"))
-    every = Window.partitionBy(F.lit(1))
-    weights = counts.withColumn("weight", F.sum("rows").over(every) / (F.count("*").over(every) * F.col("rows")))
-    return F.element_at(scalar_map(weights, label, ["weight"]), F.col(label))["weight"]
+    marked = with_cut(rows, label, key, lambda counts: class_quotas(counts, label, test), seed, "_test")
+    return marked.withColumn(out, F.when(F.col("_test"), F.lit("test")).otherwise(F.lit("train"))).drop("_test")
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    return df.where(F.col(label).isNotNull()).withColumn(out, balanced_weight(df, label))
+    """Adds ``n / (classes * rows of the class)``; rows without a label are left out."""
+    every = Window.partitionBy(F.lit(1))  # one row per class
+    weights = class_counts(df, label).select(
+        label, (F.sum("rows").over(every) / (F.count("*").over(every) * F.col("rows"))).alias(out))
+    return df.join(weights, label).select(*df.columns, out)

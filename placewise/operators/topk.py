@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from placewise.plans.hashcut import is_below_cut
+from placewise.plans.hashcut import with_cut
 
 
 def _order(order: list) -> list[Column]:
@@ -35,11 +35,11 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 1) -> DataFrame:
     """Exactly ``n`` rows without replacement, chosen by a seeded hash of the unique ``key``.
 
     The same rows come out on any partitioning, and no task gathers the candidates of all others. Fails when
-    the table has fewer rows.
+    the table has fewer rows, a null key, or a repeated key that would have to be parted.
     """
     rows = df.withColumn("_all", F.lit(0))
-    quota = F.create_map(F.lit(0), F.struct(F.lit(n).cast("bigint").alias("quota")))
-    chosen = rows.where(is_below_cut(rows, "_all", key, quota, seed)).drop("_all")
+    chosen = with_cut(rows, "_all", key, lambda counts: counts.withColumn("quota", F.lit(n).cast("bigint")), seed, "_chosen")
+    chosen = chosen.where("_chosen").drop("_all", "_chosen")
     # a row-less branch that checks the size of the table, an empty one included
     too_few = F.raise_error(F.lit(f"fewer than {n} rows to sample")).cast("boolean")
     guard = df.agg(F.count("*").alias("_rows")).where(F.when(F.col("_rows") < n, too_few).otherwise(F.lit(False)))

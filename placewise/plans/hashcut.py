@@ -1,40 +1,49 @@
 """The n rows with the smallest seeded hash, per group, without ranking or gathering the group.
 
 Rows are chosen by comparing them with a cut-off hash. To find it, the hash is cut into slices by its first
-hex digits, rows per slice are counted, and only the slice in which the n-th row falls is ranked.
+hex digits, rows per slice are counted, and only the slice in which the n-th row falls is ranked: one row in
+a million, whatever the group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
 
-from placewise.plans.lookup import attach, scalar_map
+from pyspark.sql import DataFrame, Window, functions as F
 
-PREFIX = 4  # hex digits: 65,536 slices
+PREFIX = 5  # hex digits: 1,048,576 slices
 
 
-def is_below_cut(df: DataFrame, group: str, key: str, quotas: Column, seed: int) -> Column:
-    """True for the ``quota`` rows of each group whose hash of the unique ``key`` is smallest.
+def with_cut(df: DataFrame, group: str, key: str, quotas: Callable[[DataFrame], DataFrame], seed: int,
+             out: str) -> DataFrame:
+    """Adds ``out``: true for the ``quota`` rows of each group whose hash of the unique ``key`` is smallest.
 
-    ``quotas`` is a ``map<group, struct<quota>>``. The same rows are chosen on any partitioning.
+    ``quotas`` turns (group, rows) into (group, quota). The same rows are chosen on any partitioning. A null key, or
+    a repeated one that the cut would have to part, fails the job: the choice would not be exact.
     """
     digest = F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string")))
     hashed = df.select(group, digest.alias("digest"), F.col(key).alias("id")).withColumn(
         "slice", F.substring("digest", 1, PREFIX))
-    in_group = Window.partitionBy(group)
-    slices = (
-        attach(hashed.groupBy(group, "slice").agg(F.count("*").alias("rows")), quotas, group, "q")
-        .withColumn("before", F.sum("rows").over(in_group.orderBy("slice")) - F.col("rows"))
-        .withColumn("need", F.col("q.quota") - F.col("before"))
-        .where((F.col("need") > 0) & (F.col("need") <= F.col("rows")))
+    slices = hashed.groupBy(group, "slice").agg(F.count("*").alias("rows"))
+    totals = slices.groupBy(group).agg(
+        F.sum("rows").alias("rows"), F.sum(F.when(F.col("slice").isNull(), F.col("rows"))).alias("unkeyed"))
+    totals = totals.where(F.when(F.col("unkeyed") > 0, F.raise_error(F.lit(f"null in key column {key}")).cast("boolean"))
+                          .otherwise(F.lit(True)))
+    ordered = Window.partitionBy(group).orderBy("slice")
+    edge = (
+        slices.join(quotas(totals.select(group, "rows")).select(group, "quota"), group)
+        .withColumn("need", F.col("quota") - F.sum("rows").over(ordered) + F.col("rows"))
+        .where((F.col("need") > 0) & (F.col("need") <= F.col("rows"))).select(group, "slice", "need")
     )
-    edge = scalar_map(slices, group, ["slice", "need"])
-    last = (
-        attach(hashed, edge, group, "edge").where("slice = edge.slice")
-        .withColumn("rank", F.row_number().over(in_group.orderBy("digest", "id")))
-        .where("rank = edge.need")
-        .select(group, F.struct("digest", "id").alias("last"))
+    ranking = Window.partitionBy(group).orderBy("digest", "id")
+    parted = F.col("id").eqNullSafe(F.col("next")) & F.col("next").isNotNull()
+    cut = (
+        hashed.join(edge, [group, "slice"]).withColumns(
+            {"rank": F.row_number().over(ranking), "next": F.lead("id").over(ranking)})
+        .where(F.col("rank") == F.col("need"))
+        .select(group, F.when(parted, F.raise_error(F.lit(f"repeated value in key column {key}")))
+                .otherwise(F.col("digest")).alias("_digest"), F.col("id").alias("_id"))
     )
-    cut = F.element_at(scalar_map(last, group, ["last"]), F.col(group))["last"]
-    here = F.struct(digest.alias("digest"), F.col(key).alias("id"))
-    return F.coalesce(here <= cut, F.lit(False))
+    here, last = F.struct(digest.alias("digest"), F.col(key).alias("id")), F.struct("_digest", "_id")
+    below = F.col("_digest").isNotNull() & (here <= last)
+    return df.join(cut, group, "left").withColumn(out, below).select(*df.columns, out)

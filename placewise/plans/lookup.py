@@ -1,27 +1,18 @@
-"""Small derived tables used as values: scalar subqueries instead of joins.
+"""Tables with one row per column or feature, used as values.
 
-A per-class quota or a fitted constant has a handful of rows. Joining it on a hot key would send that
-key's rows to one task, and a broadcast hint would ship whatever it grows into. A scalar subquery is
-planned once, and the size check travels inside the plan.
+A fitted constant has a row for each of a few named columns. As a scalar subquery it is planned once and reaches every
+row without a join. Tables whose size follows the data (a row per class, a row per key) are joined instead.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_LOOKUP_ROWS = 10_000
 
-
-def scalar_map(df: DataFrame, key: str, values: list[str], max_rows: int = MAX_LOOKUP_ROWS) -> Column:
-    """``map<key, struct<values>>`` of a table with at most ``max_rows`` rows; beyond that the query fails.
-
-    The limit only keeps an oversized table from being gathered before the check rejects it.
-    """
+def scalar_map(df: DataFrame, key: str, values: list[str]) -> Column:
+    """``map<key, struct<values>>`` of a table that has a row per column or feature."""
     entry = F.struct(F.col(key).alias("key"), F.struct(*values).alias("value"))
-    rows = F.collect_list(entry)
-    checked = F.when(F.size(rows) <= max_rows, rows).otherwise(
-        F.raise_error(F.lit(f"lookup on {key} has more than {max_rows} rows")))
-    return df.where(F.col(key).isNotNull()).limit(max_rows + 1).agg(F.map_from_entries(checked)).scalar()
+    return df.where(F.col(key).isNotNull()).agg(F.map_from_entries(F.collect_list(entry))).scalar()
 
 
 def attach(df: DataFrame, found: Column, key: str, out: str) -> DataFrame:

@@ -12,7 +12,9 @@ from placewise.operators.filters import exact_length, filter_places, load_servin
 from placewise.operators.joins import assemble_dim, enrich, lookup, restrict_dim, unmapped
 from placewise.operators.keyed import insert_new
 from placewise.operators.metrics import binary_metrics, class_report, confusion, pick_threshold, threshold_sweep
-from placewise.operators.models import classifier_table, fit_forest, fit_logistic
+from placewise.operators.models import (
+    FIT_PARTITIONS, MAX_DEPTH, classifier_table, feature_importance, fit_forest, fit_logistic,
+)
 from placewise.operators.split import stratified_split
 from placewise.session import stage
 from placewise.sources.pages import flatten_places
@@ -85,7 +87,7 @@ def price_page(places: DataFrame, **filters) -> tuple[DataFrame, DataFrame]:
 
 
 def classify(places: DataFrame, key: str = "place_id", model: str = "forest", test: float = 0.2, seed: int = K.SEED,
-             num_trees: int = 300, max_depth: int = 12) -> dict[str, DataFrame]:
+             num_trees: int = 300, max_depth: int = MAX_DEPTH, partitions: int = FIT_PARTITIONS) -> dict[str, DataFrame]:
     """Split, fit and judge a high-rating classifier.
 
     Scored test rows; metrics, confusion and report of the model's own predictions; threshold sweep, the
@@ -97,15 +99,17 @@ def classify(places: DataFrame, key: str = "place_id", model: str = "forest", te
     train = parts.where("part = 'train'").drop("part")
     held = parts.where("part = 'test'").drop("part")
     if model == "forest":
-        fitted = fit_forest(train, "high_rated", K.NUMERIC_FEATURES, K.CATEGORICAL_FEATURES, num_trees, max_depth, seed)
+        fitted = fit_forest(train, "high_rated", K.NUMERIC_FEATURES, K.CATEGORICAL_FEATURES, num_trees, max_depth, seed=seed,
+                            partitions=partitions)
     else:
-        fitted = fit_logistic(train, "high_rated", K.NUMERIC_FEATURES, K.CATEGORICAL_FEATURES)
+        fitted = fit_logistic(train, "high_rated", K.NUMERIC_FEATURES, K.CATEGORICAL_FEATURES, partitions=partitions)
     scored = stage(fitted.score(held), "scored")
     sweep = threshold_sweep(scored, "high_rated", "probability_1")
     chosen = pick_threshold(sweep)
     cut = chosen.select("threshold").scalar()
     judged = scored.withColumn("at_threshold", (F.col("probability_1") >= cut).cast("int"))
     return {
+        "classifier": fitted, "train": train, "importance": feature_importance(fitted, train) if model == "forest" else None,
         "scored": scored, "sweep": sweep, "chosen": chosen,
         "metrics": binary_metrics(scored, "high_rated", "prediction"),
         "confusion": confusion(scored, "high_rated", "prediction"),

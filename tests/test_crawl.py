@@ -1,5 +1,5 @@
+import math
 import random
-from collections import deque
 
 import pytest
 
@@ -7,17 +7,14 @@ from placewise import constants as K
 from placewise.operators import crawl as C, grid as G
 
 
-def loop_grid(lat_min, lat_max, lng_min, lng_max, radius):
-    """Points by plain stepping, to check the closed form."""
-    import math
-    step, out, lat = int(radius * 1.2), [], lat_min
-    while lat <= lat_max:
-        lng = lng_min
-        while lng <= lng_max:
-            out.append((lat, lng))
-            lng += step / (111320 * math.cos(math.radians(lat)) + 1e-9)
-        lat += step / 111320
-    return out
+def corner(box):
+    """Steps of a box by hand: rows, degrees between rows, and per row the number of points and degrees between them."""
+    lat_min, lat_max, lng_min, lng_max, radius = box
+    step = math.floor(radius * 1.2)
+    height = step / 111320
+    rows = math.floor((lat_max - lat_min) / height) + 1
+    widths = [step / (111320 * math.cos(math.radians(lat_min + i * height)) + 1e-9) for i in range(rows)]
+    return height, [(math.floor((lng_max - lng_min) / w) + 1, w) for w in widths]
 
 
 @pytest.mark.parametrize("regions,want", [
@@ -30,24 +27,23 @@ def test_grid_points(spark, regions, want):
         points = sorted((r for r in grid if r["city"] == name), key=lambda r: r["point_no"])
         assert len(points) == want[name]
         assert [r["point_no"] for r in points] == list(range(1, len(points) + 1))
-        for got, (lat, lng) in zip(points, loop_grid(*box)):
-            assert got["lat"] == pytest.approx(lat, abs=1e-9) and got["lng"] == pytest.approx(lng, abs=1e-9)
-
-
-def simulate(new_per_point, window=50, low=0.5, stable=5, warmup=80):
-    """The rule as a plain loop: rolling means and the stop."""
-    recent, hits, means, stop = deque(maxlen=window), 0, [], None
-    for i, n in enumerate(new_per_point, 1):
-        if i == warmup:
-            recent.clear()
-            hits = 0
-        recent.append(n)
-        means.append(sum(recent) / len(recent))
-        if len(recent) == window and i >= warmup:
-            hits = hits + 1 if means[-1] < low else 0
-            if hits >= stable and stop is None:
-                stop = i
-    return means, stop
+        height, rows = corner(box)
+        assert [sum(p["row_no"] == i for p in points) for i in range(len(rows))] == [n for n, _ in rows]
+        for p in points:
+            assert p["lat"] == pytest.approx(box[0] + p["row_no"] * height, abs=1e-9)
+            assert p["lng"] == pytest.approx(box[2] + p["col_no"] * rows[p["row_no"]][1], abs=1e-9)
+
+
+def expected_means(xs, window=50, warmup=80):
+    """Mean of the last ``window`` numbers, of which those before the warm-up's end do not count once it is over."""
+    first = [max(0, i - window + 1, warmup - 1 if i >= warmup - 1 else 0) for i in range(len(xs))]
+    return [sum(xs[a:i + 1]) / (i + 1 - a) for i, a in enumerate(first)]
+
+
+def expected_stop(xs, window=50, low=0.5, stable=5, warmup=80):
+    """The first place (from 1) where ``stable`` full windows in a row, all after the warm-up, are below ``low``."""
+    below = [i >= warmup + window - 2 and sum(xs[i - window + 1:i + 1]) < low * window for i in range(len(xs))]
+    return next((i + 1 for i in range(len(xs)) if i + 1 >= stable and all(below[i + 1 - stable:i + 1])), None)
 
 
 LOGS = {
@@ -65,31 +61,21 @@ def test_rolling_and_plateau(table, block):
     stops = {r["region"]: r["plateau_point"] for r in C.plateau_point(log, block=block).collect()}
     assert len(rolled) == sum(map(len, LOGS.values()))
     for name, ns in LOGS.items():
-        means, stop = simulate(ns)
-        assert [rolled[name, i] for i in range(1, len(ns) + 1)] == pytest.approx(means)
-        assert stops[name] == stop
+        assert [rolled[name, i] for i in range(1, len(ns) + 1)] == pytest.approx(expected_means(ns))
+        assert stops[name] == expected_stop(ns)
     assert stops["zeros"] == 133 and stops["ones"] is None and stops["short"] is None and stops["exact"] == 133
 
 
-def walk(points, stored, cap=None):
-    """First sightings by walking the points in order: (got, new, total) per point and the kept keys."""
-    seen, out, kept = set(stored), [], []
-    for results in points:
-        fresh = []
-        for key in results:
-            if not key or key in seen or (cap is not None and len(seen) >= cap):
-                continue
-            seen.add(key)
-            fresh.append(key)
-        out.append((len(results), len(fresh), len(seen)))
-        kept += fresh
-    return out, kept
-
-
-@pytest.mark.parametrize("block,limit", [(65_536, 1000), (7, 5)])
-def test_yield_and_cap(spark, table, block, limit):
-    # a cap beyond the limit takes the way that totals keys per point
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", limit)
+def sightings(points, stored):
+    """Point (from 1) and place of the first sighting of every key that the store lacks, in crawl order."""
+    first = {}
+    for p, results in reversed(list(enumerate(points, 1))):
+        first.update({k: (p, i) for i, k in reversed(list(enumerate(results)))})
+    return sorted((at, k) for k, at in first.items() if k and k not in stored)
+
+
+@pytest.mark.parametrize("block", [65_536, 7])
+def test_yield_and_cap(table, block):
     rng = random.Random(3)
     logs = {name: [[rng.choice([None, ""] + [f"k{i}" for i in range(60)]) for _ in range(rng.choice([0, 1, 5, 9]))]
                    for _ in range(40)] + [["last"]] for name in "xyz"}
@@ -99,15 +85,15 @@ def test_yield_and_cap(spark, table, block, limit):
     store = table("region string, key string", *[(r, k) for r, ks in stored.items() for k in ks])
     got = C.yield_per_point(hits, "region", "point", "key", existing=store, block=block).collect()
     for name, points in logs.items():
-        want, _ = walk(points, stored[name])
+        news = [at for (at, _), _ in sightings(points, stored[name])]
+        want = [(len(ks), news.count(p), len(stored[name]) + sum(n <= p for n in news)) for p, ks in enumerate(points, 1)]
         mine = sorted((r for r in got if r["region"] == name), key=lambda r: r["point_no"])
         assert [(r["got"], r["new_keys"], r["total"]) for r in mine] == want
     capped = C.cap_per_region(hits, "region", "point", "pos", "key", n=20, existing=store, block=block).collect()
     for name, points in logs.items():
-        _, kept = walk(points, stored[name], cap=20)
+        kept = [k for _, k in sightings(points, stored[name])][:max(0, 20 - len(stored[name]))]
         mine = sorted((r for r in capped if r["region"] == name), key=lambda r: (r["point"], r["pos"]))
         assert [r["key"] for r in mine] == kept
-    spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
 
 
 def test_last_point_without_results(table):

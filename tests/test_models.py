@@ -16,7 +16,7 @@ def test_split_quotas_and_repeatability(table, as_rows):
     counts = Counter((r["y"], r["part"]) for r in parts.collect())
     # ceil(131 * 0.2) = 27 = 16.6 + 8.2 + 1.4 -> 17, 8, 1 and one more by the next largest remainder
     assert sum(n for (_, part), n in counts.items() if part == "test") == 27
-    quotas = {r["y"]: r["quota"] for r in SP.class_quotas(df, "y", 0.2).collect()}
+    quotas = {r["y"]: r["quota"] for r in SP.class_quotas(SP.class_counts(df, "y"), "y", 0.2).collect()}
     assert {y: counts[y, "test"] for y in "abc"} == quotas
     assert as_rows(parts.select("id").distinct()) == as_rows(df.where("y is not null").select("id"))
     assert as_rows(parts) == as_rows(SP.stratified_split(df.repartition(8), "y", "id", 0.2, 42))

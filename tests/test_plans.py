@@ -6,15 +6,15 @@ import io
 import pytest
 
 import __spark_entry__ as entry
-from placewise.operators import keyed as W, topk as TK
-from placewise.plans import lookup as L
+from placewise.operators import keyed as W, split as SP, topk as TK
 from verification import catalog
 from verification.standins import Tables
 
 SF = "/root/testdata/sf0.001"
 # these write files or fit models when called
 EAGER = {"logistic_metrics", "logistic_report", "forest_threshold_sweep", "forest_report", "forest_chosen_report", "feature_importance", "kmeans_profile",
-         "cluster_points", "kmeans_embeddings"}
+         "cluster_points", "kmeans_embeddings", "logistic_optimum", "classifier_scores", "report_support", "importance_facts",
+         "kmeans_fixed_point", "kmeans_embeddings_fixed_point"}
 NO_SQL = EAGER | {"fetch_time_stamp"}
 catalog.load_all()
 
@@ -54,12 +54,12 @@ def test_flagship_reads_only_what_it_needs(spark):
     assert schemas and not any("o_totalprice" in s or "p_name" in s or "c_mktsegment" in s for s in schemas)
 
 
-def test_lookup_refuses_large_tables(spark):
-    big = spark.range(50).selectExpr("id k", "id v")
-    found = L.scalar_map(big, "k", ["v"], max_rows=10)
-    with pytest.raises(Exception, match="more than 10 rows"):
-        L.attach(big, found, "k", "x").collect()
+def test_a_row_per_class_needs_no_limit(spark):
+    rows = spark.range(60_000).selectExpr("id", "id % 20000 y")
+    parts = SP.stratified_split(rows, "y", "id", 0.34)
+    assert {(r["part"], r["count"]) for r in parts.groupBy("part").count().collect()} == {("test", 20_400), ("train", 39_600)}
+    assert SP.balanced_weights(rows, "y").where("weight = 1.0").count() == 60_000
 
 
 def test_every_other_query_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == NO_SQL
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == NO_SQL

@@ -1,15 +1,18 @@
-"""Fitted models. Only what they learn before fitting has an oracle; the rest is checked for rows."""
+"""Fitted models. What they learn before fitting and what must hold of any fit has an oracle."""
+
+from functools import cache
 
 from pyspark.sql import functions as F
 
 from placewise import constants as K
 from placewise.operators import aggregates as A, charts, models as M
 from placewise.plans import pipelines as P
-from placewise.session import stage
+from placewise.operators.stats import standardize
 from verification.catalog import query, rounded
+from verification.standins import Tables
 
 FEATURES = K.NUMERIC_FEATURES
-DEPTH = 8  # of the forests here; the library allows 30, at a cost that doubles with each level
+PARTITIONS = 8  # of the training rows here
 TABLE = """select ln(1 + cast(user_ratings_total as double)) log_reviews, price_level, population_total, median_age,
   pct_under_18, pct_65_plus, median_household_income, city from enriched_zip where rating is not null"""
 
@@ -34,7 +37,7 @@ def feature_stats(t):
 
 def clusters(t):
     rows = places(t).where("median_household_income > 0 and population_total > 1000")
-    return M.kmeans_points(rows)
+    return M.kmeans_points(rows, partitions=PARTITIONS)
 
 
 @query()
@@ -49,38 +52,119 @@ def cluster_points(t):
 
 @query()
 def kmeans_embeddings(t):
-    return M.kmeans_vectors(t.embeddings, "embedding", k=4).groupBy("cluster").agg(F.count("*").alias("size"))
+    return M.kmeans_vectors(t.embeddings, "embedding", k=4, partitions=PARTITIONS).groupBy("cluster").agg(F.count("*").alias("size"))
+
+
+@cache
+def _classified(spark, sf_dir, model, num_trees):
+    """One fit for all queries that ask for it."""
+    return P.classify(places(Tables(spark, sf_dir)), model=model, num_trees=num_trees, partitions=PARTITIONS)
+
+
+def classified(t, model="forest", num_trees=300):
+    return _classified(t.spark, t.dir, model, num_trees)
 
 
 @query()
 def logistic_metrics(t):
-    return P.classify(places(t), model="logistic")["metrics"]
+    return classified(t, "logistic")["metrics"]
 
 
 @query()
 def logistic_report(t):
-    return P.classify(places(t), model="logistic")["report"]
+    return classified(t, "logistic")["report"]
 
 
 @query()
 def forest_threshold_sweep(t):
-    return P.classify(places(t), max_depth=DEPTH)["sweep"]
+    return classified(t)["sweep"]
 
 
 @query()
 def forest_chosen_report(t):
-    return P.classify(places(t), max_depth=DEPTH)["chosen_report"]
+    return classified(t)["chosen_report"]
 
 
 @query()
 def forest_report(t):
-    return P.classify(places(t), num_trees=200, max_depth=DEPTH)["report"]
+    return classified(t, num_trees=200)["report"]
 
 
 @query()
 def feature_importance(t):
-    table = M.classifier_table(places(t))
-    table = stage(table.select("high_rated", *FEATURES, *K.CATEGORICAL_FEATURES), "classifier")
-    forest = M.fit_forest(table, "high_rated", FEATURES, K.CATEGORICAL_FEATURES, num_trees=300,
-                          max_depth=DEPTH)
-    return M.feature_importance(forest, table)
+    return classified(t)["importance"]
+
+
+# --- what must hold of a fitted model, whatever it learnt
+
+CITY_NAMES = "select distinct city f from v where city is not null"
+LEARNT = f"with v as ({TABLE}), f as (select unnest([{', '.join(repr(c) for c in FEATURES)}]) f union all {CITY_NAMES})"
+
+
+@query(LEARNT + """ select case when f in (select distinct city from v) then 'city_' || f else f end feature,
+         true at_optimum from f union all select 'intercept', true""")
+def logistic_optimum(t):
+    """At the optimum the slope of the penalised loss is zero in every direction."""
+    fitted, train = classified(t, "logistic")["classifier"], classified(t, "logistic")["train"]
+    slopes = M.logistic_slopes(fitted, train, "high_rated")
+    return slopes.select("feature", (F.abs("slope") < 0.01).alias("at_optimum"))
+
+
+def _split_sizes(label):
+    return f"""with v as ({TABLE.replace('select ln', 'select case when rating >= 4.6 then 1 else 0 end high_rated, ln')}),
+      c as (select high_rated, count(*) n, sum(count(*)) over () total from v group by 1),
+      q as (select *, ceil(total * 0.2) size, floor(n * ceil(total * 0.2) / total) base,
+              n * ceil(total * 0.2) - floor(n * ceil(total * 0.2) / total) * total rest from c),
+      r as (select *, base + case when row_number() over (order by rest desc, high_rated)
+              <= size - sum(base) over () then 1 else 0 end test from q) {label}"""
+
+
+@query(_split_sizes("select cast(sum(test) as bigint) \"rows\", true unique_ids, true probabilities from r"))
+def classifier_scores(t):
+    """Every test row is scored once, with a probability."""
+    return classified(t)["scored"].agg(
+        F.count("*").alias("rows"), (F.count_distinct("place_id") == F.count("*")).alias("unique_ids"),
+        F.bool_and(F.col("probability_1").between(0, 1)).alias("probabilities"))
+
+
+@query(_split_sizes("""select cast(high_rated as varchar) "class", cast(test as bigint) support from r"""))
+def report_support(t):
+    """The classes of the report have the sizes that the split gives them."""
+    return classified(t, "logistic")["report"].where("class in ('0', '1')").select(
+        "class", F.col("support").cast("bigint").alias("support"))
+
+
+@query(LEARNT + """ select least(count(*), 15) "rows", true known_names, true shares
+         from (select distinct f from f) x""")
+def importance_facts(t):
+    """The importances of the named features are shares of one."""
+    names = [*FEATURES, *[f"city_{r.city}" for r in t.city_demo.select("city").union(
+        t.nation.select("n_name")).distinct().collect()]]
+    return classified(t)["importance"].agg(
+        F.count("*").alias("rows"), F.bool_and(F.col("feature").isin(names)).alias("known_names"),
+        (F.bool_and(F.col("importance").between(0, 1)) & (F.sum("importance") <= 1.000001)).alias("shares"))
+
+
+def _fixed_point(points, cols, cluster="cluster"):
+    """Rows, and rows that are nearer to the mean of another cluster than to that of their own."""
+    means = points.groupBy(cluster).agg(*[F.avg(c).alias(c) for c in cols]).agg(
+        F.collect_list(F.struct(F.col(cluster).alias("k"), F.array(*cols).alias("at")))).scalar()
+    away = F.array_min(F.transform("_means", lambda m: F.struct(
+        sum(((F.col(c) - m["at"][i]) ** 2 for i, c in enumerate(cols)), F.lit(0.0)).alias("d"), m["k"].alias("k"))))
+    return points.withColumn("_means", means).agg(
+        F.count("*").alias("rows"), F.count_if(away["k"] != F.col(cluster)).alias("nearer_elsewhere"))
+
+
+@query("""select count(*) "rows", cast(0 as bigint) nearer_elsewhere from enriched_zip where median_household_income > 0
+            and population_total > 1000 and """ + " and ".join(f"{c} is not null" for c in K.CLUSTER_FEATURES))
+def kmeans_fixed_point(t):
+    scaled = [f"{c}_scaled" for c in K.CLUSTER_FEATURES]
+    return _fixed_point(standardize(clusters(t), K.CLUSTER_FEATURES), scaled)
+
+
+@query("select count(*) \"rows\", cast(0 as bigint) nearer_elsewhere from embeddings")
+def kmeans_embeddings_fixed_point(t):
+    points = M.kmeans_vectors(t.embeddings, "embedding", k=4, partitions=PARTITIONS)
+    size = points.select(F.size("embedding")).first()[0]
+    cols = [f"x{i}" for i in range(size)]
+    return _fixed_point(points.select("cluster", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)]), cols)

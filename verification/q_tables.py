@@ -277,12 +277,13 @@ def _batch(t):
     return rows.withColumn("l_extendedprice", F.when(F.col("l_discount") > 0, F.col("l_extendedprice")))
 
 
-UPSERT = f"""with a as (select * from ({LINES.format(order=LAST, status='O')}) x where rn = 1),
+UPSERT = f"""with a as (select *, true had from ({LINES.format(order=LAST, status='O')}) x where rn = 1),
   b as (select *, true hit from ({LINES.format(order=LAST, status='F').replace(
       'select *,', 'select * replace (case when l_discount > 0 then l_extendedprice end as l_extendedprice),')}) x where rn = 1)
   select coalesce(a.l_orderkey, b.l_orderkey) l_orderkey, coalesce(a.l_linenumber, b.l_linenumber) l_linenumber,
-    a.l_partkey, case when b.hit then b.l_quantity else a.l_quantity end l_quantity,
-    case when b.hit then b.l_extendedprice else a.l_extendedprice end l_extendedprice, a.l_discount,
+    case when a.had then a.l_partkey else b.l_partkey end l_partkey, case when b.hit then b.l_quantity else a.l_quantity end l_quantity,
+    case when b.hit then b.l_extendedprice else a.l_extendedprice end l_extendedprice,
+    case when a.had then a.l_discount else b.l_discount end l_discount,
     case when b.hit then 'touched' else a.l_linestatus end l_linestatus
   from a full join b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber"""
 
@@ -407,7 +408,7 @@ def first_tagged_component(t):
 
 def scored(t):
     docs = t.documents.join(t.labels.select("doc_id", "quality"), "doc_id")
-    return docs.select("doc_id", "quality", (F.least("n_chars", F.lit(10000)).cast("double") / 10000).alias("prob"),
+    return docs.select("doc_id", "quality", (F.col("n_chars") / (F.col("n_chars") + F.lit(4000.0))).alias("prob"),
                        F.when(F.col("n_chars") >= 4000, 1).otherwise(0).alias("prediction"))
 
 
