@@ -1,6 +1,9 @@
 """The daily jobs as commands, for spark-submit.
 
-    spark-submit placewise/jobs.py collect --store S --pages P --out O
+    spark-submit placewise/jobs.py grid --out O
+    spark-submit placewise/jobs.py collect [--store S] --pages P --out O
+    spark-submit placewise/jobs.py collect-capped [--store S] --pages P --out O
+    spark-submit placewise/jobs.py text-search [--store S] --pages P --out O
     spark-submit placewise/jobs.py backfill --store S --details D --out O
     spark-submit placewise/jobs.py zips --places P --age A --income I --out O
     spark-submit placewise/jobs.py cities --places P --age A --income I --out O
@@ -22,7 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from placewise import constants as K
 from placewise.functions import log_of, zip5
 from placewise.operators import aggregates as A, charts, explode as E, joins as J, keyed as W, models as M
-from placewise.operators import quantiles as Q, stats as S, topk as TK
+from placewise.operators import grid as G, quantiles as Q, stats as S, topk as TK
+from placewise.operators.crawl import region_counts
+from placewise.operators.filters import load_serving
 from placewise.plans import pipelines as P
 from placewise.schemas import PLACES
 from placewise.session import apply_settings
@@ -33,11 +38,34 @@ SCATTER = [("median_household_income", "avg_price_level"), ("median_household_in
 CITY_FACT = ["place_id", "city", "name", "rating", "user_ratings_total", "price_level", "business_status", "types"]
 
 
+def _store(spark: SparkSession, a) -> DataFrame:
+    return tables.read_table(spark, a.store) if a.store else spark.createDataFrame([], PLACES)
+
+
+def grid(spark: SparkSession, a) -> dict[str, DataFrame]:
+    """The points to search: a fine grid for crawls that stop by themselves, a coarse one for capped crawls."""
+    return {"plateau_points": G.coverage_grid(G.regions_table(spark, K.PLATEAU_REGIONS)),
+            "target_points": G.coverage_grid(G.regions_table(spark, K.TARGET_REGIONS))}
+
+
 def collect(spark: SparkSession, a) -> dict[str, DataFrame]:
-    results = pages.read_search_pages(spark, a.pages)
-    store = tables.read_table(spark, a.store) if a.store else spark.createDataFrame([], PLACES)
+    lines, store = pages.read_page_lines(spark, a.pages), _store(spark, a)
+    results = pages.search_results(lines)
     progress, stops = P.crawl_progress(results, store)
-    return {"places": P.collect_new(store, results), "progress": progress, "stops": stops}
+    return {"places": P.collect_new(store, results), "progress": progress, "stops": stops,
+            "unreadable": pages.unreadable_lines(lines)}
+
+
+def collect_capped(spark: SparkSession, a) -> dict[str, DataFrame]:
+    lines, store = pages.read_page_lines(spark, a.pages), _store(spark, a)
+    places, counts = P.collect_capped(store, pages.search_results(lines))
+    return {"places": places, "counts": counts, "unreadable": pages.unreadable_lines(lines)}
+
+
+def text_search(spark: SparkSession, a) -> dict[str, DataFrame]:
+    """A failed page fails the job, and nothing is written."""
+    places = P.collect_all(_store(spark, a), pages.read_search_pages(spark, a.pages, on_error="fail"))
+    return {"places": places, "counts": region_counts(places, "city")}
 
 
 def backfill(spark: SparkSession, a) -> dict[str, DataFrame]:
@@ -85,6 +113,7 @@ def statistics(spark: SparkSession, a) -> dict[str, DataFrame]:
 def insights(spark: SparkSession, a) -> dict[str, DataFrame]:
     """``places`` is the table enriched by city."""
     df = tables.read_table(spark, a.places)
+    served = load_serving(df)
     summary, leaders = P.price_page(df)
     return {"rating_by_city": A.mean_by(df, "city", "rating"), "price_by_city": A.count_by(df, ["price_level", "city"]),
             "top_types": E.top_types(df, "types", K.GENERIC_TYPES),
@@ -94,8 +123,8 @@ def insights(spark: SparkSession, a) -> dict[str, DataFrame]:
             "density": A.group_density(df, "census_name", "population_total", ["median_household_income"]),
             "rating_by_price": A.mean_by(df, "price_level", "rating", key_type="int"),
             "review_trend": S.trend_line(df, "rating", "user_ratings_total"), "price_summary": summary,
-            "price_leaders": leaders, "kpis": A.kpis(df), "profile": A.null_profile(df),
-            "top_places": TK.top_k(df, [("rating", -1), ("user_ratings_total", -1), "place_id"], 5)}
+            "price_leaders": leaders, "kpis": A.kpis(served), "profile": A.null_profile(df),
+            "top_places": TK.top_k(served, [("rating", -1), ("user_ratings_total", -1), "place_id"], 5)}
 
 
 def clusters(spark: SparkSession, a) -> dict[str, DataFrame]:
@@ -107,11 +136,13 @@ def clusters(spark: SparkSession, a) -> dict[str, DataFrame]:
 
 
 def classify(spark: SparkSession, a) -> dict[str, DataFrame]:
-    return P.classify(tables.read_table(spark, a.places), model=a.model)
+    found = P.classify(tables.read_table(spark, a.places), model=a.model)
+    return {name: df for name, df in found.items() if isinstance(df, DataFrame) and name != "train"}
 
 
 JOBS: dict[str, tuple[Callable, list[str]]] = {
-    "collect": (collect, ["pages"]), "backfill": (backfill, ["store", "details"]),
+    "grid": (grid, []), "collect": (collect, ["pages"]), "collect-capped": (collect_capped, ["pages"]),
+    "text-search": (text_search, ["pages"]), "backfill": (backfill, ["store", "details"]),
     "zips": (zips, ["places", "age", "income"]), "cities": (cities, ["places", "age", "income"]),
     "statistics": (statistics, ["zips"]), "insights": (insights, ["places"]),
     "clusters": (clusters, ["places"]), "classify": (classify, ["places"]),
@@ -126,7 +157,7 @@ def run(spark: SparkSession, argv: list[str]) -> list[str]:
         command = commands.add_parser(name)
         for need in [*needs, "out"]:
             command.add_argument(f"--{need}", required=True)
-        if name == "collect":
+        if "pages" in needs:
             command.add_argument("--store")
         if name == "classify":
             command.add_argument("--model", choices=["forest", "logistic"], default="forest")

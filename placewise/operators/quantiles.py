@@ -1,14 +1,14 @@
 """Exact quantiles without gathering a column in one task.
 
-``percentile`` keeps every distinct value of its group in one place. Here the values are counted, cut into
-order-preserving buckets, and only the buckets that hold a wanted rank are sorted, each in its own task.
+``percentile`` keeps every distinct value of its group in one place. Here rows are counted in order-preserving buckets
+where they lie, and only the rows of buckets that hold a wanted rank are moved and sorted.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from placewise.plans.ranges import side_for, splitters, with_bucket
+from placewise.plans.ranges import CUTS_PER_BUCKET, bucket_tree, splitters, with_bucket
 
 
 def _number(c: str) -> Column:
@@ -20,31 +20,44 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataF
 
     Nulls and NaN are left out; a column without any value has no row.
     """
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), _number(c).alias("value")) for c in cols]))).where("value is not null")
-    counts = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    return numeric_summary(df, cols, probs).where("n > 0").select("column_name", "n", "quantiles")
 
-    side = side_for(df.sparkSession)
-    # One row per column. The cuts even out distinct values, which is what the buckets sort. They come from
-    # the shuffled counts, not from the table: one scan in all, and far fewer partial summaries to merge.
-    cuts = counts.groupBy("column_name").agg(splitters(F.col("value"), side).alias("cuts"), F.sum("n").alias("total"))
-    bucketed = with_bucket(counts.join(F.broadcast(cuts), "column_name"), "value", "cuts", side, "bucket").drop("cuts")
 
+def numeric_summary(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """``column_name``, ``n``, ``mean``, ``std``, ``low``, ``high`` and ``quantiles`` of each column, null if empty."""
+    x = {c: _number(c) for c in cols}
+    moments = df.agg(*[F.struct(
+        F.lit(c).alias("column_name"), F.count(x[c]).alias("n"), F.avg(x[c]).alias("mean"), F.stddev_samp(x[c]).alias("std"),
+        F.min(x[c]).alias("low"), F.max(x[c]).alias("high")).alias(c) for c in cols])
+    known = moments.select(F.inline(F.array(*cols)))
+    base, levels = bucket_tree(df.sparkSession)
+    buckets = base ** levels
+
+    # cut points from a bounded draw: they only decide how much has to be looked at again
+    total = moments.agg(F.max(F.greatest(*[F.col(f"{c}.n") for c in cols])) if len(cols) > 1
+                        else F.max(f"{cols[0]}.n")).scalar()
+    draw = F.rand(1) < F.lit(float(CUTS_PER_BUCKET * buckets)) / F.nullif(total, F.lit(0).cast("bigint"))
+    cuts = df.where(draw).agg(F.struct(*[splitters(x[c], buckets).alias(c) for c in cols])).scalar()
+    long = df.withColumn("_all", cuts).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), x[c].alias("value"), F.col("_all")[c].alias("_cuts")) for c in cols])))
+    numbered = with_bucket(long.where("value is not null"), "value", "_cuts", base, levels, "bucket").drop("_cuts")
+
+    # rows per bucket, counted before the shuffle: the column itself stays where it is
     until = F.sum("rows").over(Window.partitionBy("column_name").orderBy("bucket"))
-    totals = (
-        bucketed.groupBy("column_name", "bucket").agg(F.sum("n").alias("rows"), F.max("total").alias("total"))
-        .withColumn("before", until - F.col("rows"))
-    )
+    sizes = numbered.groupBy("column_name", "bucket").agg(F.count("*").alias("rows")).withColumn("before", until - F.col("rows"))
+    sizes = sizes.withColumn("total", F.sum("rows").over(Window.partitionBy("column_name")))
     low = [F.floor(F.lit(p) * (F.col("total") - 1)) for p in probs]
     high = [F.ceil(F.lit(p) * (F.col("total") - 1)) for p in probs]
     first, last = F.col("before"), F.col("before") + F.col("rows") - 1
     wanted = F.exists(F.array(*low, *high), lambda rank: rank.between(first, last))
     # two ranks per probability and column, so no more rows than that
-    targets = totals.where(wanted).select("column_name", "bucket", "before")
+    targets = sizes.where(wanted).select("column_name", "bucket", "before", "total")
 
-    in_bucket = Window.partitionBy("column_name", "bucket").orderBy("value")
-    ranked = bucketed.join(F.broadcast(targets), ["column_name", "bucket"]).withColumn(
-        "until", F.col("before") + F.sum("n").over(in_bucket))
+    # only rows of the buckets that hold a wanted rank move; equal values move as one row
+    counts = numbered.join(F.broadcast(targets), ["column_name", "bucket"]).groupBy(
+        "column_name", "bucket", "before", "total", "value").agg(F.count("*").alias("n"))
+    ranked = counts.withColumn("until", F.col("before") + F.sum("n").over(
+        Window.partitionBy("column_name", "bucket").orderBy("value")))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("until") - F.col("n")) & (rank < F.col("until")), F.col("value")))
@@ -56,7 +69,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataF
     values = [
         F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (F.lit(p) * (F.col("total") - 1) - low[i])
         for i, p in enumerate(probs)]
-    return picked.select("column_name", F.col("total").alias("n"), F.array(*values).alias("quantiles"))
+    return known.join(picked.select("column_name", F.array(*values).alias("quantiles")), "column_name", "left")
 
 
 def _edges(df: DataFrame, col: str, q: int) -> Column:
@@ -106,13 +119,7 @@ def mean_by_quantile(df: DataFrame, col: str, measure: str, q: int = 4, out: str
 
 def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     """Per column: count, mean, sample standard deviation, min, exact quartiles, max."""
-    x = {c: _number(c) for c in cols}
-    basics = df.agg(*[F.struct(
-        F.count(x[c]).alias("count"), F.avg(x[c]).alias("mean"), F.stddev_samp(x[c]).alias("std"),
-        F.min(x[c]).alias("min"), F.max(x[c]).alias("max")).alias(c) for c in cols])
-    rows = basics.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("s")) for c in cols]))).select("column_name", "s.*")
-    quartiles = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).select(
-        "column_name", *[F.get("quantiles", F.lit(i)).alias(name) for i, name in enumerate(["p25", "p50", "p75"])])
-    return rows.join(quartiles, "column_name", "left").select(
-        "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max").orderBy("column_name")
+    parts = [F.get("quantiles", F.lit(i)).alias(name) for i, name in enumerate(["p25", "p50", "p75"])]
+    return numeric_summary(df, cols, [0.25, 0.5, 0.75]).select(
+        "column_name", F.col("n").alias("count"), "mean", "std", F.col("low").alias("min"), *parts,
+        F.col("high").alias("max")).orderBy("column_name")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from math import pi
+from math import log, pi
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from placewise.plans.ranges import side_for, splitters, with_bucket
+from placewise.plans.ranges import CUTS_PER_BUCKET, bucket_tree, splitters, with_bucket
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -27,42 +27,53 @@ def ols_simple(df: DataFrame, y: str, x: str) -> DataFrame:
                   F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n"))
 
 
-def t_two_sided(t: Column, dof: Column, series_to: int = 2_000) -> Column:
-    """P(|T| > t) of Student's t, by its finite series up to ``series_to`` degrees of freedom, and beyond by
-    the normal approximation."""
-    t, v = F.abs(t), dof.cast("double")
-    theta = F.atan(t / F.sqrt(v))
-    cos2 = v / (v + t * t)
-    sin, cos = F.sin(theta), F.cos(theta)
-    odd = F.pmod(dof, F.lit(2)) == 1
-    # term k of the series is term k-1 times cos^2 * (2k-1)/(2k), or (2k)/(2k+1) for odd degrees
-    terms = F.when(odd, (dof - 3) / 2).otherwise((dof - 2) / 2).cast("int")
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-
-    def add(acc: Column, k: Column) -> Column:
-        ratio = F.when(odd, 2.0 * k / (2.0 * k + 1)).otherwise((2.0 * k - 1) / (2.0 * k))
-        term = acc["term"] * cos2 * ratio
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    steps = F.when(terms >= 1, F.sequence(F.lit(1), F.least(terms, F.lit(series_to)))).otherwise(
-        F.array().cast("array<int>"))
-    total = F.aggregate(steps, start, add)["total"]
-    inside = (F.when(dof == 1, theta * 2 / pi)
-              .when(odd, (theta + sin * cos * total) * 2 / pi)
-              .otherwise(sin * total))
-    z = t * (1 - 1 / (4 * v)) / F.sqrt(1 + t * t / (2 * v))
-    return F.when(dof <= series_to, F.greatest(F.lit(0.0), 1 - inside)).otherwise(normal_two_sided(z))
-
-
-def normal_two_sided(z: Column) -> Column:
-    """P(|Z| > z): rational approximation of the normal tail, absolute error below 1.5e-7."""
-    # --- fixed values: published coefficients of the approximation
-    b = [0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429]
-    k = 1 / (1 + 0.2316419 * F.abs(z))
-    poly = F.lit(0.0)
-    for c in reversed(b):
-        poly = (poly + F.lit(c)) * k
-    return 2 * poly * F.exp(-z * z / 2) / (2 * pi) ** 0.5
+def _ln_beta_half(a: Column) -> Column:
+    """ln B(a, 1/2), by the ratio of gamma functions at a + 20 and the 20 factors down to a."""
+    down = F.aggregate(F.sequence(F.lit(0), F.lit(19)), F.lit(0.0),
+                       lambda acc, i: acc + F.log((a + i) / (a + i + 0.5)))
+    z = a + 20
+    ratio = F.log(z) / 2 - 1 / (8 * z) + 1 / (192 * z ** 3) - 1 / (640 * z ** 5) + F.lit(17.0) / (14336 * z ** 7)
+    return F.lit(log(pi) / 2) - ratio - down
+
+
+def t_two_sided(t: Column, dof: Column) -> Column:
+    """P(|T| > t) of Student's t: the incomplete beta function I(v/2, 1/2) at v / (v + t^2) as a continued fraction.
+
+    The upper tail is computed as such, in logarithms, so that small probabilities keep their digits. Null if t or the
+    degrees of freedom are missing, or not positive.
+    """
+    v = F.when(dof > 0, dof.cast("double"))
+    square = t * t
+    a0, x0 = v / 2, v / (v + square)
+    tail = x0 < (a0 + 1) / (a0 + 2.5)  # else the fraction of the other end converges
+    half = F.lit(0.5)
+    a, b, x = F.when(tail, a0).otherwise(half), F.when(tail, half).otherwise(a0), F.when(tail, x0).otherwise(square / (v + square))
+    packed = F.struct(a.alias("a"), b.alias("b"), x.alias("x"))
+    tiny = F.lit(1e-300)
+
+    def whole(y: Column) -> Column:
+        return F.when(F.abs(y) < tiny, tiny).otherwise(y)
+
+    def step(acc: Column, m: Column) -> Column:
+        a, b, x = acc["a"], acc["b"], acc["x"]
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        # Lentz's rule for both terms, unrolled: h gains c2 * d2 * c3 * d3
+        d2 = 1 / whole(1 + even * acc["d"])
+        c2 = whole(1 + even / acc["c"])
+        return F.struct(a.alias("a"), b.alias("b"), x.alias("x"), (1 / whole(1 + odd * d2)).alias("d"),
+                        whole(1 + odd / c2).alias("c"),
+                        (acc["h"] * c2 * d2 * whole(1 + odd / c2) / whole(1 + odd * d2)).alias("h"))
+
+    first = 1 / whole(1 - (packed["a"] + packed["b"]) * packed["x"] / (packed["a"] + 1))
+    start = F.struct(packed["a"].alias("a"), packed["b"].alias("b"), packed["x"].alias("x"), first.alias("d"),
+                     F.lit(1.0).alias("c"), first.alias("h"))
+    # terms needed grow with the root of the degrees of freedom
+    terms = F.sequence(F.lit(1), (F.lit(100) + 4 * F.ceil(F.sqrt(v))).cast("int"))
+    h = F.aggregate(F.transform(terms, lambda m: m.cast("double")), start, step)["h"]
+    front = F.exp(-a0 * F.log1p(square / v) + F.log(square / (v + square)) / 2 - _ln_beta_half(a0))
+    p = F.when(tail, front * h / a0).otherwise(1 - front * h * 2)
+    return F.when(t.isNull() | v.isNull(), F.lit(None).cast("double")).when(square == 0, F.lit(1.0)).otherwise(p)
 
 
 def t_critical(dof: Column) -> Column:
@@ -82,36 +93,42 @@ def ols_summary(df: DataFrame, y: str, x: str, order: str) -> DataFrame:
 
     Coefficients with standard errors, t, p and 95% intervals, R squared, F, log-likelihood, AIC, BIC,
     residual skew and kurtosis, Jarque-Bera and Durbin-Watson (residuals in the order of ``order``, a unique
-    number or text). Two passes: sufficient sums, then residuals. The residuals are never ordered in one
-    task: neighbours are paired inside order-preserving buckets, and buckets are joined at their ends.
+    number or text). Three scans: sufficient sums, cut points, residuals. The residuals are never ordered in one
+    task: neighbours are paired inside order-preserving buckets, and buckets are joined at their ends. What a table
+    cannot tell (too few rows, a constant regressor, a perfect fit) is null; an empty table gives n = 0.
     """
     rows = df.select(F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"),
                      F.col(order).alias("ord")).na.drop(subset=["y", "x"])
-    line = rows.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
-    coef = line.agg(F.first(F.struct("slope", "intercept"))).scalar()
-    residuals = rows.withColumn("_fit", coef).withColumn(
-        "e", F.col("y") - F.col("_fit.intercept") - F.col("_fit.slope") * F.col("x")).drop("_fit")
-
-    fit = residuals.agg(
+    line = rows.agg(
         F.count("*").alias("n"), F.avg("x").alias("mean_x"), F.regr_sxx("y", "x").alias("sxx"),
-        F.regr_syy("y", "x").alias("syy"), F.sum(F.col("e") * F.col("e")).alias("rss"),
-        F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"),
-        F.skewness("e").alias("skew"), (F.kurtosis("e") + 3).alias("kurtosis"))
-    dw = _neighbour_squares(residuals).scalar()
-
-    n, rss, syy, sxx = (F.col(c) for c in ("n", "rss", "syy", "sxx"))
-    dof = n - 2
-    sigma2 = rss / dof
+        F.regr_syy("y", "x").alias("syy"), F.regr_slope("y", "x").alias("slope"),
+        F.regr_intercept("y", "x").alias("intercept"))
+    known = line.agg(F.first(F.struct(*line.columns))).scalar()
+    residuals = rows.withColumn("_fit", known).withColumn(
+        "e", F.col("y") - F.col("_fit.intercept") - F.col("_fit.slope") * F.col("x"))
+    fit = _residual_sums(residuals).withColumn("_fit", known).select("*", "_fit.*")
+
+    n = F.col("n")
+    dof = F.when(n > 2, n - 2)
+    # a perfect fit has no spread to measure by, a constant regressor no slope: null, not an error
+    rss, syy, sxx = F.nullif("rss", F.lit(0.0)), F.nullif("syy", F.lit(0.0)), F.nullif("sxx", F.lit(0.0))
+    dw = F.col("steps")
+    sigma2 = F.col("rss") / dof
     se_slope, se_intercept = F.sqrt(sigma2 / sxx), F.sqrt(sigma2 * (1 / n + F.col("mean_x") ** 2 / sxx))
     loglik = -n / 2 * (F.log(F.lit(2 * pi)) + F.log(rss / n) + 1)
+    m1 = F.col("e1") / n
+    m2 = F.nullif(F.col("rss") / n - m1 ** 2, F.lit(0.0))
+    m3 = F.col("e3") / n - 3 * m1 * F.col("rss") / n + 2 * m1 ** 3
+    m4 = F.col("e4") / n - 4 * m1 * F.col("e3") / n + 6 * m1 ** 2 * F.col("rss") / n - 3 * m1 ** 4
+    fit = fit.withColumns({"skew": m3 / m2 ** 1.5, "kurtosis": m4 / m2 ** 2})
     jb = n / 6 * (F.col("skew") ** 2 + (F.col("kurtosis") - 3) ** 2 / 4)
     out = fit.withColumns({
         "dof": dof, "slope_se": se_slope, "intercept_se": se_intercept,
-        "r2": 1 - rss / syy, "adj_r2": 1 - (rss / dof) / (syy / (n - 1)),
+        "r2": 1 - F.col("rss") / syy, "adj_r2": 1 - (F.col("rss") / dof) / (syy / (n - 1)),
         "loglik": loglik, "aic": 4 - 2 * loglik, "bic": 2 * F.log(n) - 2 * loglik,
         "jarque_bera": jb, "jarque_bera_p": F.exp(-jb / 2), "durbin_watson": dw / rss,
     })
-    t = {c: F.col(c) / F.col(f"{c}_se") for c in ("slope", "intercept")}
+    t = {c: F.col(c) / F.nullif(f"{c}_se", F.lit(0.0)) for c in ("slope", "intercept")}
     half = {c: t_critical(F.col("dof")) * F.col(f"{c}_se") for c in t}
     out = out.withColumns({
         **{f"{c}_t": t[c] for c in t}, **{f"{c}_p": t_two_sided(t[c], F.col("dof")) for c in t},
@@ -125,34 +142,29 @@ def ols_summary(df: DataFrame, y: str, x: str, order: str) -> DataFrame:
                       "jarque_bera", "jarque_bera_p", "durbin_watson")
 
 
-CUT_ROWS = 1_000_000.0
+def _residual_sums(residuals: DataFrame) -> DataFrame:
+    """One row: sums of the powers of the residuals ``e``, and of (e - previous e) squared in the order of ``ord``.
 
-
-def _cut_sample(rows: DataFrame) -> DataFrame:
-    """About a million rows picked by hash, for placing cut points only: every row is still bucketed and used.
-    Without it every task of a huge table would send its own quantile summary to the one that merges them."""
-    share = F.lit(CUT_ROWS) / rows.agg(F.count("*")).scalar()
-    return rows.where(F.pmod(F.xxhash64("ord"), F.lit(2 ** 31)) / F.lit(2.0 ** 31) < share)
-
-
-def _neighbour_squares(residuals: DataFrame) -> DataFrame:
-    """One row: sum of (e - previous e) squared in the order of ``ord``."""
-    if residuals.schema["ord"].dataType.simpleString() == "string":
-        buckets = residuals.withColumn("bucket", F.substring("ord", 1, 3))
-    else:
-        side = side_for(residuals.sparkSession)
-        cuts = _cut_sample(residuals).agg(splitters(F.col("ord").cast("double"), side)).scalar()
-        keyed = residuals.withColumn("_v", F.col("ord").cast("double")).withColumn("_cuts", cuts)
-        buckets = with_bucket(keyed, "_v", "_cuts", side, "bucket").drop("_v", "_cuts")
+    Neighbours are paired inside buckets of ``ord``, and buckets are joined at their ends.
+    """
+    spark = residuals.sparkSession
+    base, levels = bucket_tree(spark)
+    # bounded by the number of buckets: the cut points only make buckets even, every row is bucketed
+    share = F.lit(float(CUTS_PER_BUCKET * base ** levels)) / F.col("_fit.n")
+    drawn = residuals.where((F.rand(1) < share) & F.col("ord").isNotNull())
+    cuts = drawn.agg(splitters(F.col("ord"), base ** levels)).scalar()
+    buckets = with_bucket(residuals.drop("_fit").withColumn("_cuts", cuts), "ord", "_cuts", base, levels, "bucket").drop("_cuts")
     inside = Window.partitionBy("bucket").orderBy("ord")
     steps = buckets.withColumn("step", F.col("e") - F.lag("e").over(inside))
+    powers = [F.sum(F.pow("e", F.lit(float(p)))).alias(f"e{p}") for p in (1, 2, 3, 4)]
     per_bucket = steps.groupBy("bucket").agg(
-        F.sum(F.col("step") * F.col("step")).alias("inner"),
+        F.sum(F.col("step") * F.col("step")).alias("inner"), *powers,
         F.min(F.struct("ord", "e"))["e"].alias("first"), F.max(F.struct("ord", "e"))["e"].alias("last"))
     # one row per bucket
     gap = F.col("first") - F.lag("last").over(Window.partitionBy(F.lit(1)).orderBy("bucket"))
     return per_bucket.withColumn("gap", gap).agg(
-        F.coalesce(F.sum("inner"), F.lit(0.0)) + F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0.0)))
+        F.sum("e1").alias("e1"), F.sum("e2").alias("rss"), F.sum("e3").alias("e3"), F.sum("e4").alias("e4"),
+        (F.coalesce(F.sum("inner"), F.lit(0.0)) + F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0.0))).alias("steps"))
 
 
 def trend_line(df: DataFrame, y: str, x: str, points: int = 100) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from placewise import constants as K
-from placewise.functions import lenient_double, lenient_int
+from placewise.functions import lenient_double, lenient_int, utc_now_seconds
 from placewise.operators.aggregates import area_summary_of, argmax_by, segment_summary
-from placewise.operators.crawl import plateau_point, rolling_yield, yield_per_point
+from placewise.operators.crawl import cap_per_region, plateau_point, region_counts, rolling_yield, yield_per_point
 from placewise.operators.filters import exact_length, filter_places, load_serving
 from placewise.operators.joins import assemble_dim, enrich, lookup, restrict_dim, unmapped
-from placewise.operators.keyed import insert_new
+from placewise.operators.keyed import insert_new, upsert
 from placewise.operators.metrics import binary_metrics, class_report, confusion, pick_threshold, threshold_sweep
 from placewise.operators.models import (
     FIT_PARTITIONS, MAX_DEPTH, classifier_table, feature_importance, fit_forest, fit_logistic,
@@ -22,10 +22,34 @@ from placewise.sources.pages import flatten_places
 DEMOGRAPHICS = ["population_total", "median_age", "pct_under_18", "pct_65_plus", "median_household_income"]
 
 
-def collect_new(store: DataFrame, results: DataFrame, keys=("city", "place_id")) -> DataFrame:
-    """The store with the unseen places of parsed search results, first sighting in crawl order."""
-    order = ["point_no", "page_no", "pos"]
-    return insert_new(store, flatten_places(results, extra=order), list(keys), order)
+CRAWL_ORDER = ["point_no", "page_no", "pos"]
+PLACE_KEYS = ("city", "place_id")
+
+
+def collect_new(store: DataFrame, results: DataFrame, keys=PLACE_KEYS) -> DataFrame:
+    """The store with the unseen places of parsed search results, first sighting in crawl order; ``fetched_at`` is now."""
+    return insert_new(store, flatten_places(results, extra=CRAWL_ORDER), list(keys), CRAWL_ORDER,
+                      touch={"fetched_at": utc_now_seconds()})
+
+
+def collect_all(store: DataFrame, results: DataFrame, keys=PLACE_KEYS) -> DataFrame:
+    """The store with all places of a text search: known ones are updated, the last sighting wins. The answers of a
+    text search name the formatted address first."""
+    rows = flatten_places(results, address_order=("formatted_address", "vicinity"), extra=CRAWL_ORDER)
+    update = [c for c in store.columns if c in rows.columns and c not in keys]
+    return upsert(store, rows, list(keys), update, CRAWL_ORDER, touch={"fetched_at": utc_now_seconds()})
+
+
+def collect_capped(store: DataFrame, results: DataFrame, n: int = K.TARGET_PER_CITY, city: str = "city",
+                   key: str = "place_id") -> tuple[DataFrame, DataFrame]:
+    """The store filled up to ``n`` places a city in crawl order, and the counts against that target."""
+    place = F.struct("page_no", "pos")
+    hits = results.select(city, "point_no", place.alias("place_no"), F.col(f"place.{key}").alias(key))
+    kept = cap_per_region(hits, city, "point_no", "place_no", key, n, existing=store).select(
+        city, key, "point_no", "place_no.page_no", "place_no.pos")
+    new = flatten_places(results, extra=CRAWL_ORDER).join(kept, [city, key, *CRAWL_ORDER], "left_semi")
+    full = insert_new(store, new, [city, key], CRAWL_ORDER, touch={"fetched_at": utc_now_seconds()})
+    return full, region_counts(full, city, n)
 
 
 def crawl_progress(results: DataFrame, store: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -1,23 +1,30 @@
-"""Order-preserving buckets of nearly equal size for a numeric column."""
+"""Order-preserving buckets of nearly equal size for a column of numbers or text."""
 
 from __future__ import annotations
 
-from math import ceil, sqrt
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+CUTS_PER_BUCKET = 32  # rows drawn for each bucket to place its cut point
+
 
-def side_for(spark: SparkSession) -> int:
-    """Square root of the number of buckets: about as many buckets as shuffle partitions, 256 to 4,096."""
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(64, ceil(sqrt(partitions))))
+def bucket_tree(spark: SparkSession) -> tuple[int, int]:
+    """(base, levels): at least as many buckets, base ** levels, as shuffle partitions, and at least 256."""
+    partitions = max(256, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    levels = 2
+    while 64 ** levels < partitions:
+        levels += 1
+    base = 16
+    while base ** levels < partitions:
+        base += 1
+    return base, levels
 
 
-def splitters(value: Column, side: int) -> Column:
-    """Aggregate: ``side * side - 1`` ascending cut points. Approximate, which only affects how even buckets are."""
-    buckets = side * side
-    probs = F.expr(f"array({', '.join(f'{i / buckets}D' for i in range(1, buckets))})")
-    return F.percentile_approx(value, probs, F.lit(4 * buckets))
+def splitters(value: Column, buckets: int) -> Column:
+    """Aggregate over a bounded sample: ``buckets - 1`` ascending cut points. They only affect how even buckets are."""
+    ranked = F.sort_array(F.collect_list(value))
+    at = F.sequence(F.lit(1), F.lit(buckets - 1))
+    return F.when(F.size(ranked) > 0, F.transform(at, lambda i: F.get(
+        ranked, F.floor(i * F.size(ranked) / F.lit(buckets)).cast("int"))))
 
 
 def _count_below(value: str, cut, lo: int, hi: int) -> str:
@@ -29,14 +36,15 @@ def _count_below(value: str, cut, lo: int, hi: int) -> str:
     return f"if({value} > {cut(mid)}, {above}, {under})"
 
 
-def with_bucket(df: DataFrame, value: str, cuts: str, side: int, out: str) -> DataFrame:
-    """Adds how many cut points of the array column ``cuts`` lie below ``value``.
+def with_bucket(df: DataFrame, value: str, cuts: str, base: int, levels: int, out: str) -> DataFrame:
+    """Adds how many of the ``base ** levels - 1`` cut points of the array column ``cuts`` lie below ``value``.
 
-    Every ``side``-th cut first, then the cuts between: some ten comparisons per row, all in generated code.
+    A search tree: on each level ``base - 1`` cuts tell which part to look into. Some ten comparisons per row, all in
+    generated code. A null value is in bucket 0.
     """
-    coarse = _count_below(value, lambda i: f"get({cuts}, {i * side + side - 1})", 0, side - 1)
-    fine = _count_below(value, lambda i: f"get({cuts}, _coarse + {i})", 0, side - 1)
-    return (
-        df.withColumn("_coarse", F.expr(f"{coarse} * {side}"))
-        .withColumn(out, F.expr(f"_coarse + {fine}")).drop("_coarse")
-    )
+    df = df.withColumn(out, F.lit(0))
+    for level in range(levels - 1, -1, -1):
+        width = base ** level
+        found = _count_below(value, lambda i, w=width: f"get({cuts}, {out} + {(i + 1) * w - 1})", 0, base - 1)
+        df = df.withColumn(out, F.expr(f"{out} + {width} * {found}"))
+    return df

@@ -2,7 +2,7 @@
 
 PLACES = (
     "city string, place_id string, name string, formatted_address string, lat double, lng double, rating double, "
-    "user_ratings_total bigint, price_level int, business_status string, types string, raw_json string"
+    "user_ratings_total bigint, price_level int, business_status string, types string, raw_json string, fetched_at timestamp"
 )
 
 PLACE_PAYLOAD = (

@@ -22,11 +22,26 @@ def read_search_pages(spark: SparkSession, path: str, max_pages: int = MAX_PAGES
     """
     if on_error not in ("drop_point", "fail"):
         raise ValueError("on_error is 'drop_point' or 'fail'")
-    lines = (
+    return search_results(read_page_lines(spark, path), max_pages, on_error)
+
+
+def read_page_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Landed lines as they are; ``_corrupt`` holds the text of a line that is not JSON."""
+    return (
         spark.read.schema(SEARCH_PAGE + ", _corrupt string")
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     )
-    return search_results(lines, max_pages, on_error)
+
+
+def unreadable_lines(lines: DataFrame) -> DataFrame:
+    """The lines that ``drop_point`` has to pass over, with what can be read of the point they belonged to.
+
+    That point's other pages are kept, so whoever needs whole points has to look here.
+    """
+    bad = F.col("_corrupt").isNotNull()
+    city = F.coalesce("city", F.nullif(F.regexp_extract("_corrupt", r'"city"\s*:\s*"([^"]*)"', 1), F.lit("")))
+    point = F.coalesce("point_no", F.expr(r"try_cast(regexp_extract(_corrupt, '\"point_no\"\\s*:\\s*([0-9]+)', 1) as bigint)"))
+    return lines.where(bad).select(city.alias("city"), point.alias("point_no"), F.col("_corrupt").alias("line"))
 
 
 def search_results(lines: DataFrame, max_pages: int = MAX_PAGES, on_error: str = "drop_point") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote, urlparse
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -36,15 +36,30 @@ def write_json(df: DataFrame, path: str) -> None:
 def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Replace the Parquet table at ``path`` and return it as read back; also cuts the lineage.
 
-    A table cannot be replaced by a query that reads it: write to a new folder and switch readers over.
+    The new table is written beside the old one, which goes only when the new one is whole: a job that fails leaves the
+    old table as it was, and the query may read the table it replaces.
     """
-    # file names, which the driver holds for planning anyway; never rows
-    clean = unquote(urlparse(path).path).rstrip("/")
-    if any(unquote(urlparse(f).path).startswith(clean + "/") for f in df.inputFiles()):
-        raise ValueError("the query reads the table it would replace")
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = path.rstrip("/")
+    fresh, old = (f"{path}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    spark = df.sparkSession
+    jvm = spark._jvm.org.apache.hadoop.fs
+    files = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        writer.parquet(fresh)
+    except Exception:
+        files.delete(jvm.Path(fresh), True)
+        raise
+    there = files.exists(jvm.Path(path))
+    if there:
+        files.rename(jvm.Path(path), jvm.Path(old))
+    if not files.rename(jvm.Path(fresh), jvm.Path(path)):
+        if there:
+            files.rename(jvm.Path(old), jvm.Path(path))
+        raise OSError(f"cannot move the new table to {path}")
+    if there:
+        files.delete(jvm.Path(old), True)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read_header_rows_json(spark: SparkSession, path: str, columns: list[str], whole_file: bool = True) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from placewise.operators.keyed import first_per_key, insert_new, latest_per_key, upsert
+from placewise.sources.tables import replace_table
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", **options) -> DataFrame:
@@ -55,6 +56,13 @@ def current_table(base: DataFrame, log: DataFrame, keys: list[str], order_cols:
     return insert_new(base, log, keys, order)
 
 
+def compact(base: DataFrame, log: DataFrame, path: str, keys: list[str], order_cols: list,
+            update_cols: list[str] | None = None, mode: str = "upsert") -> DataFrame:
+    """Folds the log into a new base table at ``path``. The folded batches are the caller's to drop: applying them
+    again changes nothing, so a crash in between does no harm."""
+    return replace_table(current_table(base, log, keys, order_cols, update_cols, mode), path)
+
+
 def stream_new_keys(stream: DataFrame, keys: list[str], event_time: str | None = None,
                     delay: str | None = None) -> DataFrame:
     """First row of each key. State grows with the keys, as a seen-set does, unless ``event_time`` and ``delay``

@@ -32,7 +32,7 @@ def test_from_pages_to_statistics(spark, tmp_path):
     city_age = put("city_age.json", json.dumps([[*names, "state", "place"],
                                                 ["Chicago city, Illinois", "2700000", "35", "20", "14", "17", "14000"]]))
     city_income = put("city_income.json", json.dumps([["B19013_001E", "state", "place"], ["71000", "17", "14000"]]))
-    out = {n: str(tmp_path / n) for n in ("c", "b", "z", "k", "s", "i")}
+    out = {n: str(tmp_path / n) for n in ("c", "b", "z", "k", "s", "i", "again", "capped", "text", "g")}
 
     def read(job, name):
         return spark.read.parquet(f"{out[job]}/{name}")
@@ -44,6 +44,20 @@ def test_from_pages_to_statistics(spark, tmp_path):
     n = read("c", "places").count()
     assert tuple(read("b", "counts").first()) == (n, n, 0)
     assert read("b", "places").where("zip5 is null or details_fetched_at is null").count() == 0
+    # a second crawl into the backfilled store: known places stay as they are, a broken line is reported
+    more = put("more.json", json.dumps({**lines[0], "payload": {"status": "OK", "results": [
+        {**lines[0]["payload"]["results"][0], "name": "changed"}, {"place_id": "new", "name": "n"}]}})
+               + '\n{"city": "Chicago", "point_no": 7, "payl')
+    jobs.run(spark, ["collect", "--store", out["b"] + "/places", "--pages", more, "--out", out["again"]])
+    assert read("again", "places").count() == n + 1 and read("again", "places").where("name = 'changed'").count() == 0
+    assert read("again", "places").where("place_id = 'new' and fetched_at is not null and postal_code is null").count() == 1
+    assert [tuple(r)[:2] for r in read("again", "unreadable").collect()] == [("Chicago", 7)]
+    jobs.run(spark, ["text-search", "--store", out["b"] + "/places", "--pages", pages, "--out", out["text"]])
+    assert read("text", "places").count() == n and read("text", "counts").selectExpr("sum(rows)").first()[0] == n
+    jobs.run(spark, ["collect-capped", "--pages", pages, "--out", out["capped"]])
+    assert read("capped", "places").count() == n and read("capped", "counts").where("target_met").count() == 0
+    jobs.run(spark, ["grid", "--out", out["g"]])
+    assert read("g", "plateau_points").count() == 196 + 336 + 702 + 990
     jobs.run(spark, ["zips", "--places", out["b"] + "/places", "--age", age, "--income", income, "--out", out["z"]])
     assert read("z", "places_by_zip").where("population_total is null").count() == 0
     assert read("z", "zip_analysis").selectExpr("sum(place_count)").first()[0] == n

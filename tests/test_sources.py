@@ -123,8 +123,10 @@ def test_replace_table(spark, tmp_path):
     path = str(tmp_path / "t")
     first = tables.replace_table(spark.range(3), path)
     assert first.count() == 3
-    with pytest.raises(ValueError):
-        tables.replace_table(first.where("id > 0"), path)
+    assert tables.replace_table(first.where("id > 0"), path).count() == 2
+    with pytest.raises(Exception, match="no luck"):
+        tables.replace_table(spark.range(9).where("id < 0 or raise_error('no luck') is null"), path)
+    assert tables.read_table(spark, path).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["t"]
     assert tables.replace_table(spark.range(5), path).count() == 5
     other = tables.replace_table(tables.read_table(spark, path).where("id > 1"), str(tmp_path / "u"))
     assert other.count() == 3

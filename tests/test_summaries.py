@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placewise.operators import aggregates as A, quantiles as Q, topk as TK
-from placewise.plans.ranges import side_for, with_bucket
+from placewise.plans.ranges import bucket_tree, with_bucket
 
 
 def test_quantiles_against_numpy(table):
@@ -24,23 +24,34 @@ def test_quantiles_against_numpy(table):
         assert list(got[c]["quantiles"]) == pytest.approx(list(np.quantile(values, probs)), rel=1e-12)
 
 
-@pytest.mark.parametrize("side", [16, 21, 64])
-def test_buckets_count_the_cuts_below(table, side):
-    cuts = sorted(random.Random(side).choice(range(4000)) / 2 for _ in range(side * side - 1))
-    values = [-1.0, 0.0, 3.5, 777.0, 1200.5, 1999.5, 5000.0, *cuts[::97]]
-    df = table("v double", *[(v,) for v in values]).withColumn("cuts", F.lit(cuts).cast("array<double>"))
-    got = with_bucket(df, "v", "cuts", side, "b").select("v", "b").collect()
-    assert [r["b"] for r in got] == [int(np.searchsorted(cuts, r["v"], side="left")) for r in got]
+@pytest.mark.parametrize("base, levels", [(16, 2), (21, 2), (5, 3), (2, 4)])
+@pytest.mark.parametrize("kind", ["double", "string"])
+def test_buckets_count_the_cuts_below(table, base, levels, kind):
+    r = random.Random(base)
+    cuts = sorted(r.choice(range(4000)) / 2 for _ in range(base ** levels - 1))
+    values = [-1.0, 0.0, 3.5, 777.0, 1200.5, 1999.5, 5000.0, *cuts[::7]]
+    if kind == "string":
+        cuts, values = sorted(f"key{c:09.1f}" for c in cuts), [f"key{v:09.1f}" for v in values]
+    df = table(f"v {kind}", *[(v,) for v in values]).withColumn("cuts", F.lit(cuts).cast(f"array<{kind}>"))
+    got = with_bucket(df, "v", "cuts", base, levels, "b").select("v", "b").collect()
+    assert [row["b"] for row in got] == [sum(c < row["v"] for c in cuts) for row in got]
 
 
-@pytest.mark.parametrize("partitions,side", [(8, 16), (200, 16), (1000, 32), (20_000, 64)])
-def test_buckets_follow_the_shuffle_partitions(spark, partitions, side):
+@pytest.mark.parametrize("partitions", [8, 200, 1000, 20_000, 300_000])
+def test_buckets_follow_the_shuffle_partitions(spark, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
-    assert side_for(spark) == side
+    base, levels = bucket_tree(spark)
+    assert max(256, partitions) <= base ** levels < 4 * max(256, partitions) and base <= 64
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_quantiles_of_a_hot_value(table):
+    values = [5.0] * 4000 + [float(i) for i in range(2000)]
+    row = Q.exact_quantiles(table("x double", *[(v,) for v in values]), ["x"], [0.1, 0.5, 0.9]).first()
+    assert list(row["quantiles"]) == pytest.approx(list(np.quantile(values, [0.1, 0.5, 0.9])))
+
+
 @pytest.mark.parametrize("values", [
     [1, 1, 1, 1, 2, 3, 4, 4], [7] * 6, list(range(100)), [0, 0, 0, 0, 0, 5, 6], [1.5, 2.5], [3],
     [random.Random(2).choice(range(12)) for _ in range(200)],
@@ -128,6 +139,16 @@ def test_topk_ties_and_sample(table, as_rows):
             TK.sample_n(frame, 101, "id").collect()
 
 
+def test_samples_are_exact_or_fail(table):
+    holes = table("id int", *[(i if i % 5 else None,) for i in range(100)])
+    with pytest.raises(Exception, match="null in key column id"):
+        TK.sample_n(holes, 30, "id").collect()
+    pairs = table("id int", *[(i // 2,) for i in range(100)])
+    assert TK.sample_n(pairs, 30, "id").count() == 30
+    with pytest.raises(Exception, match="repeated value in key column id"):
+        TK.sample_n(pairs, 15, "id").collect()
+
+
 def test_null_profile(table, as_rows):
     df = table("a int, b int, c int", (1, None, None), (None, None, 2))
     got = [tuple(r) for r in A.null_profile(df, 2).collect()]

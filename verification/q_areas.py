@@ -84,10 +84,10 @@ def lookup_codes(t):
     return J.lookup(t.orders.select("o_orderkey", "o_orderpriority"), PRIORITY_CODES, "o_orderpriority")
 
 
-@query("""select distinct l_partkey from lineitem where l_returnflag = 'A'
-          and l_partkey not in (select p_partkey from part where p_size > 25)""")
+@query("""select distinct l_partkey from lineitem
+          where l_partkey not in (select p_partkey from part where p_size > 25)""")
 def unseen(t):
-    batch = t.lineitem.where("l_returnflag = 'A'").select("l_partkey").distinct()
+    batch = t.lineitem.select("l_partkey").distinct()
     store = t.part.where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"))
     return J.unseen(batch, store, ["l_partkey"])
 
@@ -164,6 +164,13 @@ def ols_log_log(t):
     return rounded(rounded(S.ols_simple(rows, "log_price", "log_income"), 5, ["slope", "intercept"]), 6, ["r2"])
 
 
+# P(|T| > t) by Simpson's rule over log(u / t), and Student's t by its expansion around the normal point
+TAIL = """(select 2 * sum(case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end * exp(lgamma((v + 1) / 2)
+      - lgamma(v / 2) - ln(v * pi()) / 2 - (v + 1) / 2 * ln(1 + {t} ** 2 * exp(2 * i * w) / v) + ln({t}) + i * w)) * max(w) / 3
+    from (select cast(n - 2 as double) v, greatest(50.0 / (n - 2),
+            60.0 / (1 + {t} ** 2 * (n - 1) / (n - 2 + {t} ** 2))) / 4000 w) g, generate_series(0, 4000) s(i))"""
+CRITICAL = """(z + (z ** 3 + z) / (4 * (n - 2)) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * (n - 2.0) ** 2)
+    + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / (384 * (n - 2.0) ** 3))"""
 SUMMARY = """with v as ({rows}),
   f as (select count(*) n, regr_slope(y, x) slope, regr_intercept(y, x) intercept, regr_sxx(y, x) sxx,
           regr_syy(y, x) syy, avg(x) mean_x from v),
@@ -171,20 +178,30 @@ SUMMARY = """with v as ({rows}),
   l as (select e, e - lag(e) over (order by k) step from e),
   m as (select sum(e * e) rss, sum(step * step) dws, avg(e) mu from l),
   c as (select avg((e - mu) ** 2) m2, avg((e - mu) ** 3) m3, avg((e - mu) ** 4) m4 from e, m),
-  s as (select *, rss / (n - 2) sigma2, sqrt(rss / (n - 2) / sxx) slope_se, m3 / m2 ** 1.5 skew, m4 / m2 ** 2 kurtosis,
-          -n / 2 * (ln(2 * pi()) + ln(rss / n) + 1) loglik from f, m, c)
-  select n, n - 2 dof, round(intercept, 4) intercept, round(slope, 4) slope,
-    round(sqrt(sigma2 * (1.0 / n + mean_x * mean_x / sxx)), 4) intercept_se, round(slope_se, 4) slope_se,
-    round(slope / slope_se, 4) slope_t, round(1 - rss / syy, 6) r2,
-    round(1 - sigma2 / (syy / (n - 1)), 6) adj_r2, round((slope / slope_se) ** 2, 4) f_stat,
+  s as (select *, rss / (n - 2) sigma2, sqrt(rss / (n - 2) / sxx) slope_se,
+          sqrt(rss / (n - 2) * (1.0 / n + mean_x * mean_x / sxx)) intercept_se, m3 / m2 ** 1.5 skew, m4 / m2 ** 2 kurtosis,
+          -n / 2 * (ln(2 * pi()) + ln(rss / n) + 1) loglik, cast(1.959963984540054 as double) z from f, m, c),
+  u as (select *, slope / slope_se st, intercept / intercept_se it, abs(slope / slope_se) sa, abs(intercept / intercept_se) ia,
+          n / 6 * (skew ** 2 + (kurtosis - 3) ** 2 / 4) jb, """ + CRITICAL + """ crit from s),
+  p as (select *, """ + TAIL.format(t="sa") + " sp, " + TAIL.format(t="ia") + """ ip from u)
+  select n, n - 2 dof, round(intercept, 4) intercept, round(slope, 4) slope, round(intercept_se, 4) intercept_se,
+    round(slope_se, 4) slope_se, round(st, 4) slope_t, round(it, 4) intercept_t, round(ln(sp), 4) slope_log_p,
+    round(ln(ip), 4) intercept_log_p, round(ln(sp), 4) f_log_p, round(slope - crit * slope_se, 3) slope_lo,
+    round(slope + crit * slope_se, 3) slope_hi, round(intercept - crit * intercept_se, 3) intercept_lo,
+    round(intercept + crit * intercept_se, 3) intercept_hi, round(1 - rss / syy, 6) r2,
+    round(1 - sigma2 / (syy / (n - 1)), 6) adj_r2, round(st ** 2, 4) f_stat,
     round(loglik, 4) loglik, round(4 - 2 * loglik, 4) aic, round(2 * ln(n) - 2 * loglik, 4) bic,
-    round(skew, 5) skew, round(kurtosis, 5) kurtosis,
-    round(n / 6 * (skew ** 2 + (kurtosis - 3) ** 2 / 4), 4) jarque_bera, round(dws / rss, 6) durbin_watson from s"""
-SUMMARY_DIGITS = {4: ["intercept", "slope", "intercept_se", "slope_se", "slope_t", "f_stat", "loglik", "aic", "bic",
-                      "jarque_bera"], 5: ["skew", "kurtosis"], 6: ["r2", "adj_r2", "durbin_watson"]}
+    round(skew, 5) skew, round(kurtosis, 5) kurtosis, round(jb, 4) jarque_bera, round(exp(-jb / 2), 9) jarque_bera_p,
+    round(dws / rss, 6) durbin_watson from p"""
+SUMMARY_DIGITS = {3: ["slope_lo", "slope_hi", "intercept_lo", "intercept_hi"],
+                  4: ["intercept", "slope", "intercept_se", "slope_se", "slope_t", "intercept_t", "slope_log_p",
+                      "intercept_log_p", "f_log_p", "f_stat", "loglik", "aic", "bic", "jarque_bera"],
+                  5: ["skew", "kurtosis"], 6: ["r2", "adj_r2", "durbin_watson"], 9: ["jarque_bera_p"]}
 
 
 def _summary(df):
+    """All 26 columns; probabilities as logarithms, whose digits do not vanish in the tail."""
+    df = df.withColumns({f"{c}_log_p": F.log(f"{c}_p") for c in ("slope", "intercept", "f")})
     for digits, cols in SUMMARY_DIGITS.items():
         df = rounded(df, digits, cols)
     return df.select("n", "dof", *[c for cols in SUMMARY_DIGITS.values() for c in cols])
@@ -215,6 +232,16 @@ def _bins(df):
     return rounded(rounded(df.drop("bin_label"), 4, ["bin_lo", "bin_hi"]), 6)
 
 
+@query("""with v as (select l_orderkey, l_linenumber, cast(l_discount as double) x from lineitem),
+  e as (select list_sort(list_distinct(quantile_cont(x, [cast(0 as double), cast(0.25 as double), cast(0.5 as double),
+          cast(0.75 as double), cast(1 as double)]))) e from v),
+  b as (select *, greatest(1, len(list_filter(e, lambda d: d < x))) b from v, e)
+  select l_orderkey, l_linenumber, cast(b as int) bin_no,
+    case when b = 1 then '[' else '(' end || cast(e[b] as varchar) || ', ' || cast(e[b + 1] as varchar) || ']' bin_label from b""")
+def quantile_bins(t):
+    return Q.quantile_bins(t.lineitem, "l_discount").select("l_orderkey", "l_linenumber", "bin_no", "bin_label")
+
+
 @query(BINS.format(rows="select l_extendedprice x, l_quantity m from lineitem", out="avg_l_quantity"))
 def mean_quantity_by_price_quantile(t):
     return _bins(Q.mean_by_quantile(t.lineitem, "l_extendedprice", "l_quantity"))

@@ -81,7 +81,16 @@ def flatten_places(t):
 def collect_new_places(t):
     results = pages.read_search_pages(t.spark, landed_pages(t))
     out = P.collect_new(t.spark.createDataFrame([], PLACES), results)
-    return out.withColumn("unknown_field", F.get_json_object("raw_json", "$.unknown_field")).drop("raw_json")
+    return out.withColumn("unknown_field", F.get_json_object("raw_json", "$.unknown_field")).drop("raw_json", "fetched_at")
+
+
+@query("select s_suppkey, true whole_second, true now from supplier")
+def fetch_time_facts(t):
+    """The stamp is a whole second, at most a minute before the query's own clock."""
+    stamp = X.utc_now_seconds()
+    age = F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(stamp)
+    return t.supplier.select("s_suppkey", (stamp == F.date_trunc("second", stamp)).alias("whole_second"),
+                             age.between(0, 60).alias("now"))
 
 
 CHUNK = 500
