@@ -126,8 +126,10 @@ def profile_groups(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
 
 
 def null_profile(df: DataFrame, k: int = 20) -> DataFrame:
-    """Null count of the k columns with the most, and the table's row and column counts."""
-    counts = df.agg(F.count("*").alias("row_count"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    """Null (or NaN) count of the k columns with the most, and the table's row and column counts."""
+    numbers = {f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")}
+    missing = {c: F.col(c).isNull() | F.isnan(c) if c in numbers else F.col(c).isNull() for c in df.columns}
+    counts = df.agg(F.count("*").alias("row_count"), *[F.count_if(m).alias(c) for c, m in missing.items()])
     entries = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("null_count")) for c in df.columns]
     return (
         counts.select("row_count", F.inline(F.array(*entries)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -67,19 +67,23 @@ def filter_places(df: DataFrame, city: str = "All", price_levels: list[int] | No
 
 
 def filter_domains(df: DataFrame, city="city", price="price_level", rating="rating") -> DataFrame:
-    """The choices a filter offers, one row each: every city, every price level, lowest and highest rating.
+    """The choices a filter offers, one row each: every city, every price level, lowest and highest rating; none for an
+    empty table.
 
     Rows, not arrays, so a column with many values does not have to fit into one row.
     """
+    # one scan: the three groupings are combined before the shuffle
+    found = df.groupingSets([[city], [price], []], city, price).agg(
+        F.min(rating).cast("double").alias("lo"), F.max(rating).cast("double").alias("hi"), F.grouping_id().alias("which"))
     none = F.lit(None)
-    cities = df.where(F.col(city).isNotNull()).select(
-        F.lit("city").alias("domain"), F.col(city).alias("text_value"),
-        none.cast("double").alias("number_value")).distinct()
-    prices = df.where(F.col(price).isNotNull()).select(
-        F.lit("price_level"), none.cast("string"), F.col(price).cast("double")).distinct()
-    ends = df.agg(F.min(rating).cast("double").alias("lo"), F.max(rating).cast("double").alias("hi")).select(F.inline(F.array(
-        F.struct(F.lit("min_rating").alias("domain"), none.cast("string").alias("text_value"),
-                 F.col("lo").alias("number_value")),
-        F.struct(F.lit("max_rating").alias("domain"), none.cast("string").alias("text_value"),
-                 F.col("hi").alias("number_value")))))
-    return cities.union(prices).union(ends).orderBy("domain", "text_value", "number_value")
+
+    def choice(domain: str, text: Column, number: Column) -> Column:
+        return F.struct(F.lit(domain).alias("domain"), text.cast("string").alias("text_value"),
+                        number.cast("double").alias("number_value"))
+
+    rows = (
+        F.when((F.col("which") == 1) & F.col(city).isNotNull(), F.array(choice("city", F.col(city), none)))
+        .when((F.col("which") == 2) & F.col(price).isNotNull(), F.array(choice("price_level", none, F.col(price))))
+        .when(F.col("which") == 3, F.array(choice("min_rating", none, F.col("lo")), choice("max_rating", none, F.col("hi"))))
+    )
+    return found.select(F.inline(rows)).orderBy("domain", "text_value", "number_value")

@@ -126,12 +126,13 @@ def backfill(target: DataFrame, details: DataFrame, keys: list[str], when_null:
 
 
 def backfill_stats(target: DataFrame, details: DataFrame, keys: list[str], when_null: str, order_cols: list,
-                   status: str = "status", ok: str = "OK") -> DataFrame:
-    """One row: candidates, candidates with an ``ok`` detail, candidates with any other detail."""
+                   status: str = "status", ok: str = "OK", retry: str = "OVER_QUERY_LIMIT") -> DataFrame:
+    """One row: candidates, candidates with an ``ok`` detail, candidates with any other detail. One whose last answer
+    only says to try again counts as neither."""
     last = latest_per_key(details.na.drop(subset=keys), keys, order_cols).select(*keys, F.col(status).alias("_status"))
     todo = target.where(_candidates(target, keys, when_null)).select(*keys).join(last, keys, "left")
     return todo.agg(
         F.count("*").alias("total"),
         F.count_if(F.col("_status") == ok).alias("updated"),
-        F.count_if(F.col("_status") != ok).alias("skipped"),
+        F.count_if(~F.col("_status").isin(ok, retry)).alias("skipped"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from placewise import constants as K
 from placewise.functions import lenient_double, lenient_int, utc_now_seconds
-from placewise.operators.aggregates import area_summary_of, argmax_by, segment_summary
+from placewise.operators.aggregates import area_summary_of, argmax_by, kpis, segment_summary, value_counts
 from placewise.operators.crawl import cap_per_region, plateau_point, region_counts, rolling_yield, yield_per_point
 from placewise.operators.filters import exact_length, filter_places, load_serving
 from placewise.operators.joins import assemble_dim, enrich, lookup, restrict_dim, unmapped
@@ -16,6 +16,7 @@ from placewise.operators.models import (
     FIT_PARTITIONS, MAX_DEPTH, classifier_table, feature_importance, fit_forest, fit_logistic,
 )
 from placewise.operators.split import stratified_split
+from placewise.operators.topk import top_k
 from placewise.session import stage
 from placewise.sources.pages import flatten_places
 
@@ -104,9 +105,53 @@ def zip_analysis(places: DataFrame, demographics: DataFrame) -> DataFrame:
                            DEMOGRAPHICS, "population_total")
 
 
+def _served(places: DataFrame, filters: dict) -> DataFrame:
+    """What a dashboard page shows: the load rules, then the page's filters."""
+    return filter_places(load_serving(places), **filters)
+
+
+BEST_FIRST = [("rating", -1), ("user_ratings_total", -1), "place_id"]
+
+
+def _shape(rows: DataFrame, best: int) -> dict[str, DataFrame]:
+    shown = [c for c in ("place_id", "name", "city", "rating", "user_ratings_total", "price_level") if c in rows.columns]
+    return {"kpis": kpis(rows), "rating_counts": value_counts(rows, "rating", sort="value"),
+            "price_counts": value_counts(rows, "price_level", sort="value"),
+            "top_places": top_k(rows, BEST_FIRST, best).select(*shown)}
+
+
+def overview_page(places: DataFrame, **filters) -> dict[str, DataFrame]:
+    """Key figures, distributions of ratings, prices and cities, the five best places."""
+    rows = _served(places, filters)
+    return {**_shape(rows, 5), "city_counts": value_counts(rows, "city")}
+
+
+def city_page(places: DataFrame, city: str = "All", **filters) -> dict[str, DataFrame]:
+    """All cities side by side, or one city's figures, distributions and eight best places."""
+    rows = _served(places, {**filters, "city": city})
+    return {"city_summary": segment_summary(rows, "city")} if city == "All" else _shape(rows, 8)
+
+
+def rating_reviews_page(places: DataFrame, **filters) -> dict[str, DataFrame]:
+    """Points of rating against reviews, key figures, the eight most reviewed places."""
+    rows = _served(places, filters)
+    shown = ["place_id", "name", "city", "rating", "user_ratings_total", "price_level"]
+    return {"points": rows.select(*shown), "kpis": kpis(rows),
+            "most_reviewed": top_k(rows, [("user_ratings_total", -1), "place_id"], 8).select(*shown)}
+
+
+def insights_page(places: DataFrame, **filters) -> dict[str, DataFrame]:
+    """Key figures, the leading price level per metric, the city with most places."""
+    rows = _served(places, filters)
+    return {"kpis": kpis(rows),
+            "price_leaders": argmax_by(segment_summary(rows, "price_level"), "price_level",
+                                       ["place_count", "avg_rating", "avg_reviews"]),
+            "city_leader": argmax_by(segment_summary(rows, "city"), "city", ["place_count"])}
+
+
 def price_page(places: DataFrame, **filters) -> tuple[DataFrame, DataFrame]:
     """Dashboard price page: segment summary and the leading segment per metric."""
-    summary = segment_summary(filter_places(load_serving(places), **filters), "price_level")
+    summary = segment_summary(_served(places, filters), "price_level")
     return summary, argmax_by(summary, "price_level", ["place_count", "avg_rating", "avg_reviews"])
 
 

@@ -34,4 +34,4 @@ def rounded(df: DataFrame, digits: int = 6, cols: list[str] | None = None) -> Da
 
 
 def load_all() -> None:
-    from verification import q_areas, q_crawl, q_models, q_sources, q_tables  # noqa: F401
+    from verification import q_areas, q_crawl, q_models, q_pages, q_sources, q_tables  # noqa: F401

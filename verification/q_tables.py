@@ -342,7 +342,7 @@ def backfill(t):
 
 @query(f"""with d as (select * from ({DETAILS}) x where rn = 1)
   select count(*) total, count(*) filter (where d.status = 'OK') updated,
-    count(*) filter (where d.status <> 'OK') skipped
+    count(*) filter (where d.status not in ('OK', 'OVER_QUERY_LIMIT')) skipped
   from places p left join d on p.place_id = d.place_id where p.zip5 is null""")
 def backfill_stats(t):
     return W.backfill_stats(t.places, _details(t), ["place_id"], "zip5", DETAIL_ORDER)
