@@ -19,7 +19,7 @@ from placewise.session import stage
 
 def pack(table: pa.Table | pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as out:
         out.write(table)
     return sink.getvalue().to_pybytes()
 

@@ -48,12 +48,13 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CH
                 yield batch.slice(a, b - a)
 
 
-def per_chunk(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict | None], text: str = "text") -> DataFrame:
+def per_chunk(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict | None], text: str = "text",
+              size: int = CHUNK_BYTES) -> DataFrame:
     """``fn`` turns each slice of rows into columns; the result has ``schema``."""
     names = [part.split()[0] for part in schema.split(",")]
 
     def run(batches):
-        for batch in chunks(batches, text):
+        for batch in chunks(batches, text, size):
             out = fn(batch)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([_array(out[n]) for n in names], names)
@@ -61,10 +62,10 @@ def per_chunk(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict |
     return df.mapInArrow(run, schema)
 
 
-def keep_rows(df: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+def keep_rows(df: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray], size: int = CHUNK_BYTES) -> DataFrame:
     """Rows whose text passes ``keep``, with all their columns."""
     def run(batches):
-        for batch in chunks(batches, text_col):
+        for batch in chunks(batches, text_col, size):
             yield batch.filter(pa.array(keep(batch.column(text_col)), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
@@ -107,7 +108,10 @@ class RangeHash:
             up[0] = down[0] = 1
             RangeHash._powers = (np.cumprod(up), np.cumprod(down))
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * RangeHash._powers[0][:n - 1], out=self.sums[1:])
+        terms = self.sums[1:]
+        np.add(data, np.uint64(1), out=terms, dtype=np.uint64)
+        terms *= RangeHash._powers[0][:n - 1]
+        np.cumsum(terms, out=terms)
 
     def windows(self, size: int) -> np.ndarray:
         """Hashes of all ranges of ``size`` bytes, by their start; the same values as ``of``."""
@@ -115,7 +119,11 @@ class RangeHash:
         return mix((self.sums[size:] - self.sums[:n]) * RangeHash._powers[1][:n])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * RangeHash._powers[1][start])
+        out = np.empty(len(start), np.uint64)
+        for at in range(0, len(start), 1 << 17):  # in parts: the steps between need no more room than one
+            a, b = start[at:at + (1 << 17)], end[at:at + (1 << 17)]
+            out[at:at + (1 << 17)] = mix((self.sums[b] - self.sums[a]) * RangeHash._powers[1][a])
+        return out
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = WHITE) -> tuple[np.ndarray, ...]:

@@ -3,9 +3,9 @@
 Depth-limited radix sort: suffixes are told apart only through the threshold length, most significant digits first, and
 those alone in their class drop out after each pass; the classes left at the end are exactly the repeated windows.
 
-* The first digit is a part of the window, a little over half of it, that the content itself picks: the one with the
+* The first digit is a part of the window, two thirds of it, that the content itself picks: the one with the
   smallest hash among all parts of that length. Equal windows pick equal parts, and neighbouring windows mostly the same
-  one, so a text has one such digit for every thirteen bytes or so. Digits are exchanged as sorted integers, and those
+  one, so a text has one such digit for every nine bytes or so. Digits are exchanged as sorted integers, and those
   found in one document only drop out with all their windows.
 * The last digit is the rest of the window. Runs of remaining windows go, as text, to the first block that holds their
   digit, where the windows are sorted through the threshold length and compared byte by byte.
@@ -34,10 +34,11 @@ from placewise.llm.blocks import blocks_of, expand, pack, pack_blocks, squeeze,
 from placewise.session import stage
 
 DEPTH = 50
-BLOCK_BYTES = 4 << 20
-HOT = 32  # blocks that share a digit; beyond, its windows travel one by one
-PIECE = 1 << 20  # bytes hashed or windows sorted at once
-BUCKET = 1 << 21  # digits sorted by one task
+BLOCK_BYTES = 1 << 20
+BLOCKS_PER_HOME = 4  # blocks whose shared windows meet in one task
+HOT = 128  # blocks that share a digit; beyond, its windows travel one by one
+PIECE = 1 << 18  # bytes hashed or windows sorted at once
+BUCKET = 1 << 20  # digits sorted by one task
 LOCAL, ALONE = -1, -2  # homes of digits that only one block holds, and of those that travel window by window
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -80,8 +81,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: int, hot: int, schema,
            finish: Callable) -> DataFrame:
     blocks = pack_blocks(df, text_col, block_bytes, sort_by=id_col)
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    digits = max(total // ((depth - depth // 2) // 2), 1)  # about two in (window length - digit length + 1) bytes
+    n_blocks, total = blocks.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    meeting = max(1, n_blocks // BLOCKS_PER_HOME)
+    digits = max(2 * total // (depth - digit_length(depth) + 2), 1)
     bits = min(int(digits).bit_length() + 16, 62)
     bucket_bits = max(int(digits // BUCKET).bit_length(), 4)
     homes = 1 << bucket_bits
@@ -141,6 +143,7 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
             known, home = (np.concatenate(x) for x in zip(*lists))
             at, there = C.lookup_sorted(known, (digit >> np.uint64(64 - bits)).astype(np.int64))
             starts, doc, home = starts[there], doc[there], home[at[there]]
+            del digit, at, there, known, lists
             names = C.RangeHash(data).of(starts, starts + depth)
             head = equal_windows(data, starts, names, depth)
             own = head == np.arange(len(head))
@@ -150,7 +153,9 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
             out["payload"].append(pack(pa.table({"start": [squeeze(starts[~own])], "head": [squeeze(starts[head[~own]])]})))
             starts, doc, home, names = starts[own], doc[own], home[own], names[own]
             alone = home == ALONE
-            home = np.where(alone, -10 - (names % np.uint64(homes)).astype(np.int64), home)
+            spread = C.mix(np.where(alone, names, home.astype(np.uint64)))
+            spread = (spread % np.where(alone, np.uint64(homes), np.uint64(meeting))).astype(np.int64)
+            home = np.where(home == LOCAL, LOCAL, np.where(alone, meeting + spread, spread))
             begin = np.ones(len(starts), bool)
             begin[1:] = (starts[1:] != starts[:-1] + 1) | (home[1:] != home[:-1]) | alone[1:]
             begin = np.flatnonzero(begin)
@@ -167,18 +172,19 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
                 out["home"].append(int(home[part[0]]))
                 out["block"].append(number)
                 out["state"].append(False)
-                out["payload"].append(pack(pa.table({"id": ids[doc[part]].astype(np.int64), "start": begin[part],
-                                                     "length": length, "text": _sliced(text, length)})))
+                out["payload"].append(pack_segments(ids[doc[part]], begin[part], length, text))
         return pa.table({"home": pa.array(out["home"], pa.int64()), "block": pa.array(out["block"], pa.int64()),
                          "state": pa.array(out["state"], pa.bool_()), "payload": pa.array(out["payload"], pa.binary())})
 
     def match_windows(table: pa.Table) -> pa.Table:
-        parts = [unpack(p) for p in table.column("payload").to_pylist()]
-        number = np.repeat(np.arange(len(parts)), [p.num_rows for p in parts])
-        segments = pa.concat_tables(parts).combine_chunks()
-        ids, start = (segments.column(c).to_numpy() for c in ("id", "start"))
+        parts = [unpack_segments(p) for p in table.column("payload").to_pylist()]
+        number = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        ids, start, length, text = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(ids, kind="stable")
-        data, offsets = C.text_buffer(segments.column("text").combine_chunks().take(pa.array(order)))
+        at = np.cumsum(length) - length
+        data = text[np.repeat(at[order], length[order]) + C.ranges(length[order])]
+        offsets = np.concatenate(([0], np.cumsum(length[order])))
+        del parts, text
         flagged = later_windows(data, offsets, ids[order], depth)
         segment = np.searchsorted(offsets, flagged, side="right") - 1
         source = number[order[segment]]
@@ -220,9 +226,15 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
     return blocks.groupBy("block").cogroup(news.groupBy("block")).applyInArrow(apply, schema)
 
 
+def digit_length(depth: int) -> int:
+    """Bytes of the first digit: about two thirds of the window. Longer ones repeat less often by chance, shorter ones are
+    fewer: a text has two for each depth - length + 2 bytes."""
+    return 2 * depth // 3 + 1
+
+
 def first_digits(data: np.ndarray, offsets: np.ndarray, valid: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
     """Start of every window, its document and the hash of its first digit."""
-    gram = depth // 2 + 1
+    gram = digit_length(depth)
     span = depth - gram + 1
     counts = np.where(valid, np.maximum(np.diff(offsets) - depth + 1, 0), 0)
     doc = np.repeat(np.arange(len(counts)), counts)
@@ -288,7 +300,7 @@ def later_windows(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, depth:
     counts = np.diff(offsets) - depth + 1
     starts = np.repeat(offsets[:-1], counts) + C.ranges(counts)
     names = C.RangeHash(data).of(starts, starts + depth)
-    parts = max(1, len(starts) // (2 * PIECE))
+    parts = max(1, len(starts) // (8 * PIECE))
     out = []
     for p in range(parts):
         mine = np.flatnonzero(names % np.uint64(parts) == p) if parts > 1 else np.arange(len(names))
@@ -298,10 +310,18 @@ def later_windows(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, depth:
     return np.sort(np.concatenate(out))
 
 
-def _sliced(text: np.ndarray, length: np.ndarray) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int64)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length),
-                                            [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(text))])
+def pack_segments(ids: np.ndarray, start: np.ndarray, length: np.ndarray, text: np.ndarray) -> bytes:
+    """Ids, places and texts as one compressed piece; there are many, most of them small."""
+    raw = b"".join((ids.astype(np.int64).tobytes(), start.astype(np.int64).tobytes(), length.astype(np.int64).tobytes(),
+                    text.tobytes()))
+    head = np.array([len(ids), len(raw)], np.int64).tobytes()
+    return head + pa.Codec("zstd", 6).compress(raw, asbytes=True)
+
+
+def unpack_segments(blob: bytes) -> tuple[np.ndarray, ...]:
+    n, size = np.frombuffer(blob[:16], np.int64)
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob[16:], size, asbytes=True), np.uint8)
+    return (*(raw[8 * n * i:8 * n * (i + 1)].view(np.int64) for i in range(3)), raw[24 * n:])
 
 
 def _kept(data: np.ndarray, offsets: np.ndarray, removed: np.ndarray) -> list[bytes]:
