@@ -37,9 +37,8 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 1) -> DataFrame:
     The same rows come out on any partitioning, and no task gathers the candidates of all others. Fails when
     the table has fewer rows, a null key, or a repeated key that would have to be parted.
     """
-    rows = df.withColumn("_all", F.lit(0))
-    chosen = with_cut(rows, "_all", key, lambda counts: counts.withColumn("quota", F.lit(n).cast("bigint")), seed, "_chosen")
-    chosen = chosen.where("_chosen").drop("_all", "_chosen")
+    chosen = with_cut(df, None, key, lambda counts: counts.withColumn("quota", F.lit(n).cast("bigint")), seed, "_chosen")
+    chosen = chosen.where("_chosen").drop("_chosen")
     # a row-less branch that checks the size of the table, an empty one included
     too_few = F.raise_error(F.lit(f"fewer than {n} rows to sample")).cast("boolean")
     guard = df.agg(F.count("*").alias("_rows")).where(F.when(F.col("_rows") < n, too_few).otherwise(F.lit(False)))

@@ -14,36 +14,42 @@ from pyspark.sql import DataFrame, Window, functions as F
 PREFIX = 5  # hex digits: 1,048,576 slices
 
 
-def with_cut(df: DataFrame, group: str, key: str, quotas: Callable[[DataFrame], DataFrame], seed: int,
+def with_cut(df: DataFrame, group: str | None, key: str, quotas: Callable[[DataFrame], DataFrame], seed: int,
              out: str) -> DataFrame:
     """Adds ``out``: true for the ``quota`` rows of each group whose hash of the unique ``key`` is smallest.
 
-    ``quotas`` turns (group, rows) into (group, quota). The same rows are chosen on any partitioning. A null key, or
+    Without ``group`` all rows are one. ``quotas`` turns (group, rows) into (group, quota). The same rows are chosen on any partitioning. A null key, or
     a repeated one that the cut would have to part, fails the job: the choice would not be exact.
     """
+    parts = [group] if group else []
     digest = F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string")))
-    hashed = df.select(group, digest.alias("digest"), F.col(key).alias("id")).withColumn(
+    hashed = df.select(*parts, digest.alias("digest"), F.col(key).alias("id")).withColumn(
         "slice", F.substring("digest", 1, PREFIX))
-    slices = hashed.groupBy(group, "slice").agg(F.count("*").alias("rows"))
-    totals = slices.groupBy(group).agg(
+    slices = hashed.groupBy(*parts, "slice").agg(F.count("*").alias("rows"))
+    totals = slices.groupBy(*parts).agg(
         F.sum("rows").alias("rows"), F.sum(F.when(F.col("slice").isNull(), F.col("rows"))).alias("unkeyed"))
     totals = totals.where(F.when(F.col("unkeyed") > 0, F.raise_error(F.lit(f"null in key column {key}")).cast("boolean"))
                           .otherwise(F.lit(True)))
-    ordered = Window.partitionBy(group).orderBy("slice")
+    wanted = quotas(totals.select(*parts, "rows")).select(*parts, "quota")
+    within = Window.partitionBy(*parts or [F.lit(1)])
+    ordered = within.orderBy("slice")
     edge = (
-        slices.join(quotas(totals.select(group, "rows")).select(group, "quota"), group)
+        (slices.join(wanted, group) if group else slices.withColumn("quota", wanted.scalar()))
         .withColumn("need", F.col("quota") - F.sum("rows").over(ordered) + F.col("rows"))
-        .where((F.col("need") > 0) & (F.col("need") <= F.col("rows"))).select(group, "slice", "need")
+        .where((F.col("need") > 0) & (F.col("need") <= F.col("rows"))).select(*parts, "slice", "need")
     )
-    ranking = Window.partitionBy(group).orderBy("digest", "id")
+    ranking = within.orderBy("digest", "id")
     parted = F.col("id").eqNullSafe(F.col("next")) & F.col("next").isNotNull()
     cut = (
-        hashed.join(edge, [group, "slice"]).withColumns(
+        hashed.join(edge, [*parts, "slice"]).withColumns(
             {"rank": F.row_number().over(ranking), "next": F.lead("id").over(ranking)})
         .where(F.col("rank") == F.col("need"))
-        .select(group, F.when(parted, F.raise_error(F.lit(f"repeated value in key column {key}")))
+        .select(*parts, F.when(parted, F.raise_error(F.lit(f"repeated value in key column {key}")))
                 .otherwise(F.col("digest")).alias("_digest"), F.col("id").alias("_id"))
     )
     here, last = F.struct(digest.alias("digest"), F.col(key).alias("id")), F.struct("_digest", "_id")
     below = F.col("_digest").isNotNull() & (here <= last)
-    return df.join(cut, group, "left").withColumn(out, below).select(*df.columns, out)
+    if group:
+        return df.join(cut, group, "left").withColumn(out, below).select(*df.columns, out)
+    one = cut.agg(F.first(F.struct("_digest", "_id"))).scalar()
+    return df.withColumn("_cut", one).select("*", "_cut.*").withColumn(out, below).select(*df.columns, out)
