@@ -27,6 +27,7 @@ START, BOUNDARY = 1, 32
 UNKNOWN = "und"
 CALIBRATED_SHARE = 0.995  # of the calibration documents lie under a third of the limit's distance from the median
 LEAST_WIDTH = 0.4  # nats per character; few calibration documents would make the limit too narrow
+CHUNK_BYTES = 1 << 19  # text scored at once: a character takes some hundred bytes on the way
 SURE_AFTER = 40  # characters after which the score no longer sharpens
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -178,7 +179,7 @@ def fit_models(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sample = stage(rows.select(number.alias("lang"), "text", part.alias("part")).where("part is not null"), "sample")
 
     def count(batches):
-        for batch in C.chunks(batches, size=1 << 20):
+        for batch in C.chunks(batches, size=CHUNK_BYTES):
             codes, text = symbols(batch.column("text").to_pylist())
             lang = batch.column("lang").to_numpy()[text]
             at = np.flatnonzero(codes != START)
@@ -199,7 +200,7 @@ def fit_models(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = labelled.sparkSession.sparkContext.broadcast(models)
 
     def score(batches):
-        for batch in C.chunks(batches):
+        for batch in C.chunks(batches, size=CHUNK_BYTES):
             codes, text = symbols(batch.column("text").to_pylist())
             loss, length = shared.value.losses(codes, text, batch.num_rows)
             lang = batch.column("lang").to_numpy()
@@ -227,10 +228,11 @@ def predict_languages(df: DataFrame, models: Models, held_out: Column, id_col: s
                 "cross_entropy": pa.array(found["cross_entropy"], from_pandas=True)}
 
     rows = df.select(df[id_col].cast("long").alias("doc_id"), held_out.alias("held_out"), df[text_col].alias("text"))
-    return C.per_chunk(rows, SCHEMA, one)
+    return C.per_chunk(rows, SCHEMA, one, size=CHUNK_BYTES)
 
 
 def keep_identified(df: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
     """Rows whose text is not rejected, with all their columns."""
     shared = df.sparkSession.sparkContext.broadcast(models)
-    return C.keep_rows(df, text_col, lambda column: ~shared.value.predict([t or "" for t in column.to_pylist()])["rejected"])
+    return C.keep_rows(df, text_col, lambda column: ~shared.value.predict(
+        [t or "" for t in column.to_pylist()])["rejected"], size=CHUNK_BYTES)
