@@ -26,7 +26,7 @@ from placewise.session import stage
 
 SCHEMA = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
           "score double")
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 STATE_SHARE = 2e-5
 ARC_SHARE = 1e-6
 LEAST_SEEN = 2  # sightings a state or an arc needs at any corpus size
