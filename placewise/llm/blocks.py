@@ -41,29 +41,33 @@ def expand(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel())
 
 
+def block_tables(batches: Iterator[pa.RecordBatch], text_col: str, size: int) -> Iterator[tuple[int, int, pa.Table]]:
+    """Number, bytes of text and rows of each block that a task makes of its rows."""
+    made, held, held_bytes = 0, [], 0
+
+    def block():
+        return TaskContext.get().partitionId() << 32 | made, held_bytes, pa.Table.from_batches(held).combine_chunks()
+
+    for chunk in C.chunks(batches, text_col, max(size // 4, 1)):
+        length = int(C.text_buffer(chunk.column(text_col))[1][-1])
+        if held and held_bytes + length > size:
+            yield block()
+            made, held, held_bytes = made + 1, [], 0
+        held.append(chunk)
+        held_bytes += length
+    if held:
+        yield block()
+
+
 def pack_blocks(df: DataFrame, text_col: str, size: int, sort_by: str | None = None) -> DataFrame:
     """(block, n_bytes, rows), written to the shared folder: every row of ``df`` is in one block of about ``size`` bytes
     of text (a longer text is a block of its own), in ascending order of ``sort_by``."""
     def run(batches: Iterator[pa.RecordBatch]):
-        made, held, held_bytes = 0, [], 0
-        for chunk in C.chunks(batches, text_col, max(size // 4, 1)):
-            length = chunk.column(text_col)
-            length = int(C.text_buffer(length)[1][-1])
-            if held and held_bytes + length > size:
-                yield block(made, held, held_bytes)
-                made, held, held_bytes = made + 1, [], 0
-            held.append(chunk)
-            held_bytes += length
-        if held:
-            yield block(made, held, held_bytes)
-
-    def block(made, held, held_bytes):
-        table = pa.Table.from_batches(held).combine_chunks()
-        if sort_by:
-            table = table.sort_by(sort_by).combine_chunks()
-        number = TaskContext.get().partitionId() << 32 | made
-        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([held_bytes]), pa.array([pack(table)])],
-                                          ["block", "n_bytes", "rows"])
+        for number, held_bytes, table in block_tables(batches, text_col, size):
+            if sort_by:
+                table = table.sort_by(sort_by).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([held_bytes]), pa.array([pack(table)])],
+                                             ["block", "n_bytes", "rows"])
 
     return stage(df.mapInArrow(run, "block long, n_bytes long, rows binary"), "blocks")
 

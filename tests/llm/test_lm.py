@@ -92,3 +92,20 @@ def test_probabilities_of_a_state_sum_to_one():
     for state in (-1, 0, 1, 2, 3):
         p = machine.traverse(np.full(5, state), np.array([0, 1, 2, 3, -1]), root)
         assert (10 ** p).sum() == pytest.approx(1)
+
+
+def test_rare_pairs_of_a_large_corpus_are_arcs(spark):
+    """A pair seen twice among 2.4 million words, of words seen twice, is an arc between states."""
+    rows = [(i, "common words all over " * 3000) for i in range(200)] + [(1000, "rare pair"), (1001, "rare pair")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = L.lm_scores(df, crc_rest("doc_id", 7) == 7)
+    got = out.where("doc_id = 1000").first()
+    total = 200 * 12000 + 4 + 202
+    assert got.train_tokens == total
+    first, arc, end = math.log10((2 - L.DISCOUNT) / 202), math.log10((2 - L.DISCOUNT) / 2), math.log10((2 - L.DISCOUNT) / 2)
+    assert got.score == pytest.approx(first + arc + end)
+
+
+def test_many_buckets(documents, monkeypatch):
+    monkeypatch.setattr(L, "BUCKET_BYTES", 20_000)
+    same(documents, [(r.doc_id, r.text) for r in documents.collect()], block_bytes=20_000)
