@@ -76,9 +76,7 @@ def leaf_blocks(page: str) -> list[Block]:
             silent -= e.tag in SILENT
         del open_[n:]
 
-    for m in MARKUP.finditer(page):
-        if m.start() < at:
-            continue  # inside raw text
+    while m := MARKUP.search(page, at):  # from the end of raw text on: what looks like markup inside it is none
         add(page[at:m.start()])
         at = m.end()
         tag = (m[2] or "").lower()

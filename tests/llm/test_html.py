@@ -99,3 +99,13 @@ def test_odd_pages(spark, field):
     assert got[1, "u"] == got[None, None] == got[2, "v"] == 0 and got[4, "x"] == 20000 * 17 - 1
     assert H.extract_pages(df.limit(0), field).count() == 0
     assert H.fit_field(df.limit(0), layouts=20).decode(np.zeros((2, 2))).shape == (2,)
+
+
+@pytest.mark.parametrize("raw", [
+    "<script>for(i=0;i<n;i++){f()}</script>", "<script>if(a<b)c='it</script>", '<script>d="<b title=\\"x";</script>',
+    "<script>var a = '<!--';</script>", "<script>'<!--'</script><!-- x -->", "<style>p:before{content:'<a'}</style>",
+    "<title>a <b and \"c</title>", "<SCRIPT>i<n</SCRIPT >"])
+def test_raw_text_ends_at_its_own_tag(raw):
+    page = f"<html><body>{raw}<article><p>One.</p>{raw}<p>Two.</p></article></body></html>"
+    assert [b.text for b in leaf_blocks(page)] == ["One.", "Two."]
+    assert [b.path[-2].tag for b in leaf_blocks(page)] == ["article", "article"]
