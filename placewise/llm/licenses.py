@@ -48,8 +48,11 @@ NOTICES = {
     "all rights reserved": "reserved",
 }
 TAG = "spdx license identifier"
-TAG_LINE = re.compile(rb"(?i)spdx-license-identifier\s*:[ \t]*([^\r\n]*)")
+# from a tag to the next one or the end of its line; quotes around the tag or the expression do not count
+TAG_START = rb"spdx-license-identifier[\"'`]?\s*:"
+TAG_LINE = re.compile(rb"(?i)" + TAG_START + rb"[ \t\"'`]*((?:(?!" + TAG_START + rb")[^\r\n])*+)")
 TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+:-]*")
+WHOLE_TOKEN = re.compile(r"\s*+(\(|\)|[a-z0-9][a-z0-9.+:-]*+(?![\w/]))")  # not the beginning of another word
 PERMISSIVE = {"mit", "mit-notice", "mit-0", "apache-2.0", "apache", "bsd", "bsd-2-clause", "bsd-3-clause", "0bsd", "isc",
               "bsl-1.0", "cc0-1.0", "cc-by-4.0", "unlicense", "zlib"}
 RANK = {"or": 1, "and": 2, "with": 3}
@@ -114,6 +117,38 @@ def evaluate(expression: str) -> Terms | None:
     return values[0]
 
 
+def leading(line: str) -> Terms | None:
+    """Value of the longest expression that ``line`` begins with, or null if there is none.
+
+    It ends before the first token that cannot continue it, or with a full stop. A line that breaks off inside an
+    expression (after an operator, in brackets) is malformed as a whole.
+    """
+    tokens: list[str] = []
+    at = depth = whole = 0  # ``whole`` tokens are well-formed
+    operand_next = True
+    while m := WHOLE_TOKEN.match(line, at):
+        token = m[1].rstrip(".:-")
+        if token == "(" or token not in RANK and token != ")":
+            if not operand_next:
+                break
+            depth += token == "("
+            operand_next = token == "("
+        elif operand_next or token == ")" and not depth:
+            break
+        else:
+            depth -= token == ")"
+            operand_next = token != ")"
+        tokens.append(token)
+        if not operand_next and not depth:
+            whole = len(tokens)
+        at = m.end()
+        if token != m[1]:
+            break
+    if not line[at:].strip() and whole < len(tokens):
+        return None
+    return evaluate(" ".join(tokens[:whole]))
+
+
 def automaton(base: dict[str, str], notices: dict[str, str]) -> ahocorasick.Automaton:
     """Finds every phrase, bounded by blanks; a value is (label, words, kind)."""
     found: dict[str, list] = {}
@@ -148,7 +183,7 @@ def scan(text: bytes, finder: ahocorasick.Automaton) -> tuple:
             score = max(score, BASE_SCORE if kind == "base" else NOTICE_SCORE)
     terms = []
     if tagged:
-        terms = [t for t in (evaluate(_expression(m)) for m in TAG_LINE.findall(text)) if t]
+        terms = [t for t in (leading(_expression(m)) for m in TAG_LINE.findall(text)) if t]
         for t in terms:
             labels |= t.labels
             score = TAG_SCORE
@@ -161,7 +196,7 @@ def scan(text: bytes, finder: ahocorasick.Automaton) -> tuple:
 
 
 def _expression(line: bytes) -> str:
-    """The expression on a tag's line, without the end of a comment around it."""
+    """What a tag's line holds behind it, up to the end of a comment around it."""
     return re.sub(r"(\*/|-->|#}).*", "", line.decode("utf-8", "replace").lower()).strip()
 
 

@@ -60,3 +60,26 @@ def test_tags_and_notices(spark):
     got = {r.doc_id: (r.labels, r.score, r.expressions, r.permissive) for r in L.license_scan(df).collect()}
     assert got == {0: ("apache-2.0,mit", 1.0, "(mit or apache-2.0)", True), 1: ("", 0.0, "", None),
                    2: ("apache,apache-2.0", 0.9, "", True), 3: ("", 0.0, "", None), 4: ("", 0.0, "", None)}
+
+
+@pytest.mark.parametrize("text, spelled", [
+    ("SPDX-License-Identifier: MIT This file is part of it", "mit"),
+    ("SPDX-License-Identifier: Apache-2.0, see LICENSE", "apache-2.0"),
+    ("(SPDX-License-Identifier: MIT)", "mit"), ("'SPDX-License-Identifier: MIT'", "mit"),
+    ('{"SPDX-License-Identifier": "MIT OR ISC", "a": 1}', "(mit or isc)"),
+    ("It says SPDX-License-Identifier: MIT.", "mit"), ("SPDX-License-Identifier: GPL-2.0+. More text", "gpl-2.0+"),
+    ("SPDX-License-Identifier: (MIT OR ISC) AND Zlib; more", "((mit or isc) and zlib)"),
+    ("SPDX-License-Identifier: MIT OR, see below", "mit"),
+    ("a SPDX-License-Identifier: MIT b SPDX-License-Identifier: ISC SPDX-License-Identifier: Zlib", "isc;mit;zlib"),
+    ("SPDX-License-Identifier: MIT OR SPDX-License-Identifier: ISC", "isc"),
+    ("SPDX-License-Identifier: (MIT\nSPDX-License-Identifier: MIT AND\nSPDX-License-Identifier:\n", ""),
+    ("SPDX-License-Identifier: (MIT this file", ""), ("SPDX-License-Identifier: mité and more", ""),
+    ("SPDX-License-Identifier: MIT */ x SPDX-License-Identifier: ISC -->", "isc;mit")])
+def test_tags_among_other_text(text, spelled):
+    found = L.scan(text.encode(), L.automaton(L.BASE, L.NOTICES))
+    assert found[7] == spelled and found[6] == (1.0 if spelled else 0.0)
+
+
+def test_long_lines_are_read_once():
+    text = b"SPDX-License-Identifier: MIT and so on, " * 20000 + b"x " * 500000
+    assert L.scan(text, L.automaton(L.BASE, L.NOTICES))[7] == "(mit and so)"
