@@ -1,7 +1,9 @@
 """Packing by optimal length buckets.
 
-The global histogram of lengths, whose number of classes is bounded by construction, goes to the driver, where dynamic
-programming chooses the bucket boundaries with the least padding. Inside each bucket, batches take as many documents as
+The global histogram of lengths goes to the driver, where dynamic programming chooses the bucket boundaries with the least
+padding. Different lengths add up to the corpus's words at most, so 30 GB of text have some 100,000 of them. Only beyond
+``MOST_LENGTHS``, which takes 500 billion words, do lengths above ``EXACT`` share classes; the padding is then above the least
+by 1/128 of the words at most. Inside each bucket, batches take as many documents as
 the token budget allows at the bucket's padded length.
 
 A length is the number of words (runs of bytes other than ASCII white space); null and empty texts have length 0 and are
@@ -19,7 +21,8 @@ from placewise.session import stage
 
 BUDGET = 16_384  # tokens of a batch, padding included
 BUCKETS = 16
-EXACT = 1024  # lengths up to here are classes of their own; beyond, a class spans at most 1/128 of its length
+MOST_LENGTHS = 1 << 20  # different lengths that go to the driver
+EXACT = 1024  # in a longer histogram, lengths up to here are classes of their own; beyond, a class spans 1/128 of its length
 SLICE = 50_000  # documents numbered by one task
 
 
@@ -56,10 +59,22 @@ def best_boundaries(longest: np.ndarray, count: np.ndarray, tokens: np.ndarray,
     for _ in range(min(buckets, n)):
         after, choice = np.full(n + 1, worst), np.zeros(n + 1, np.int64)
         after[0] = 0
-        for j in range(1, n + 1):  # the last bucket covers classes i to j - 1
-            total = cost[:j] + longest[j - 1] * (docs[j] - docs[:j]) - (held[j] - held[:j])
-            choice[j] = int(np.argmin(total))
-            after[j] = total[choice[j]]
+        # the first class of the last bucket, i, never falls as the classes covered, j, grow: after every second j of a
+        # step, those between need only look between their neighbours' i
+        step = 1 << n.bit_length()
+        while step:
+            j = np.arange(step, n + 1, 2 * step)
+            low = choice[j - step]
+            high = np.minimum(np.where(j + step <= n, choice[np.minimum(j + step, n)], n), j - 1)
+            size = high - low + 1
+            first = np.cumsum(size) - size
+            i, to = C.ranges(size) + np.repeat(low, size), np.repeat(j, size)
+            total = cost[i] + longest[to - 1] * (docs[to] - docs[i]) - (held[to] - held[i])
+            if len(j):
+                after[j] = np.minimum.reduceat(total, first)
+                at = np.flatnonzero(total == np.repeat(after[j], size))
+                choice[j] = i[at[np.searchsorted(at, first)]]
+            step //= 2
         choices.append(choice)
         cost = after
     ends, j = [], n
@@ -77,13 +92,18 @@ def pack_batches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # and a task that runs again reads what it read before
     dealt = word_counts(df, id_col, text_col).withColumn("dealt", F.xxhash64(F.monotonically_increasing_id()))
     lengths = stage(dealt, "lengths")
-    classes = lengths.groupBy(length_class(F.col("n_tokens")).alias("class")).agg(
-        F.max("n_tokens").alias("longest"), F.count("*").alias("count"), F.sum("n_tokens").alias("tokens"))
-    found = sorted(classes.collect(), key=lambda r: r.longest)
-    if not found:
+    def histogram(by):
+        return lengths.groupBy(by.alias("class")).agg(
+            F.max("n_tokens").alias("longest"), F.count("*").alias("count"), F.sum("n_tokens").alias("tokens"))
+
+    found = histogram(F.col("n_tokens")).limit(MOST_LENGTHS + 1).toArrow()
+    if found.num_rows > MOST_LENGTHS:
+        found = histogram(length_class(F.col("n_tokens"))).toArrow()
+    if not found.num_rows:
         return lengths.select("doc_id", "n_tokens", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("bucket_len"),
                               F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("padding"))
-    longest, count, tokens = (np.array([r[c] for r in found], np.int64) for c in ("longest", "count", "tokens"))
+    found = found.sort_by("longest")
+    longest, count, tokens = (found.column(c).to_numpy().astype(np.int64) for c in ("longest", "count", "tokens"))
     ends, _ = best_boundaries(longest, count, tokens, buckets)
     sizes = np.bincount(np.searchsorted(ends, longest), weights=count, minlength=len(ends))
     slices = [int(-(-s // SLICE)) or 1 for s in sizes]

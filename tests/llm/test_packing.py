@@ -73,3 +73,36 @@ def test_odd_rows(odd, none):
     assert {r.n_tokens for r in rows if r.doc_id == 2} == {0}
     out = P.pack_batches(none)
     assert out.count() == 0 and out.columns == P.pack_batches(odd).columns
+
+
+def plain_boundaries(kinds, count, buckets):
+    """Least padding by the plain dynamic programme over all places of the last boundary."""
+    docs, held = np.cumsum([0, *count]), np.cumsum([0, *(kinds * count)])
+    cost = np.array([0] + [1 << 60] * len(kinds))
+    for _ in range(buckets):
+        cost = np.array([0] + [min(cost[i] + kinds[j - 1] * (docs[j] - docs[i]) - (held[j] - held[i]) for i in range(j))
+                               for j in range(1, len(kinds) + 1)])
+    return cost[-1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_boundaries_of_many_lengths(seed):
+    r = np.random.default_rng(seed)
+    kinds = np.unique(r.integers(0, 5000, 150 + seed))
+    count = r.integers(1, 50, len(kinds)) ** 2
+    for buckets in (1, 2, 7, 16):
+        ends, padding = P.best_boundaries(kinds, count, kinds * count, buckets)
+        used = np.array(ends)[np.searchsorted(ends, kinds)]
+        assert padding == plain_boundaries(kinds, count, buckets) == ((used - kinds) * count).sum()
+
+
+def test_long_documents_are_cut_at_the_best_length(spark):
+    """2,000 and 2,001 words are in one class of 1/128; a bucket may end between them."""
+    rows = [(i, "w " * n) for i, n in enumerate([2000] * 50 + [2001] * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(r.padding for r in check(df, buckets=2)) == 0
+
+
+def test_more_lengths_than_go_to_the_driver(documents, monkeypatch):
+    monkeypatch.setattr(P, "MOST_LENGTHS", 10)
+    check(documents)
