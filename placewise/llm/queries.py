@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placewise.llm import bpe, html_extract, language_id, licenses, lm_score, maxscore, packing, quality, simhash, suffix_dedup
+from placewise.llm import bpe, fill_in_middle, html_extract, language_id, licenses, lm_score, maxscore, packing, quality, simhash, suffix_dedup
 from placewise.llm.common import crc_rest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,24 @@ def op9_packing(documents):
 @query("documents")
 def op10_quality_rules(documents):
     return quality.quality_rules(documents)
+
+
+@query("documents", r"""
+    with d as (
+      select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') u,
+             sha256('7:' || coalesce(cast(doc_id as varchar), '')) h from documents),
+    h as (
+      select *, len(u) n, list_transform([1, 9, 17, 25], lambda i: cast('0x' || substr(h, i, 8) as bigint)) r from d),
+    c as (
+      select *, least(r[1] % (n + 1), r[2] % (n + 1)) a, greatest(r[1] % (n + 1), r[2] % (n + 1)) b,
+             case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or r[3] % 100 >= 100
+                  then 'plain' when r[4] % 100 < 50 then 'spm' else 'psm' end form from h),
+    s as (
+      select *, array_to_string(u[:a], '') p, array_to_string(u[a + 1:b], '') m, array_to_string(u[b + 1:], '') s from c)
+    select doc_id, n, form, case when form <> 'plain' then length(p) end prefix_chars,
+           case when form <> 'plain' then length(m) end middle_chars,
+           sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+                  else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256,
+           sha256(t) restored_sha256 from s""")
+def op13_fill_in_middle(documents):
+    return fill_in_middle.fim_digests(documents)

@@ -17,7 +17,7 @@ def test_same_rows(spark, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 14))
 
 
 def test_only_the_entry_and_the_pipeline_import_the_folder():
