@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from placewise.llm import bpe, fill_in_middle, html_extract, language_id, licenses, lm_score, maxscore, packing, quality, simhash, suffix_dedup
+from placewise.llm import (
+    bpe, decontaminate, fill_in_middle, html_extract, language_id, licenses, lm_score, maxscore, packing, quality, simhash,
+    suffix_dedup,
+)
 from placewise.llm.common import crc_rest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(table: str, sql: str | None = None):
-    """Registers ``fn(whole table) -> DataFrame`` under its own name."""
-    def register(fn: Callable[[DataFrame], DataFrame]):
-        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+def query(tables: str, sql: str | None = None):
+    """Registers ``fn(whole table, ...) -> DataFrame`` under its own name."""
+    def register(fn: Callable[..., DataFrame]):
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables.split()))
         if sql:
             ORACLES[fn.__name__] = sql.strip()
         return fn
@@ -85,6 +88,31 @@ def op10_quality_rules(documents):
     return quality.quality_rules(documents)
 
 
+@query("documents benchmark", r"""
+    with d as (
+      select row_number() over () id, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+    b as (
+      select cast(item_id as varchar) item, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+    i as (
+      select distinct item, unnest(case when len(w) < 10 then [w] else
+        list_transform(range(1, len(w) - 8), lambda k: w[k:k + 9]) end) g from b where len(w) > 0),
+    p as (select id, w, n, unnest(range(1, len(w) - n + 2)) k from d, (select distinct len(g) n from i) where len(w) >= n),
+    h as (select id, k, n, item from p join i on w[k:k + n - 1] = g),
+    c as (select id, count(distinct x) n_hit from (select id, unnest(range(k, k + n)) x from h) group by id),
+    l as (
+      select id, count(*) n_items, string_agg(item, ',' order by item) items
+      from (select distinct id, item from h where item is not null) group by id)
+    select doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+           sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+    from d left join c using (id) left join l using (id)""")
+def op11_decontaminate(documents, benchmark):
+    return decontaminate.contamination(documents, benchmark)
+
+
 @query("documents", r"""
     with d as (
       select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') u,
