@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from placewise.llm import (
-    bpe, decontaminate, fill_in_middle, html_extract, language_id, licenses, lm_score, maxscore, packing, quality, simhash,
-    suffix_dedup,
+    bpe, decontaminate, divergence, fill_in_middle, html_extract, language_id, licenses, lm_score, maxscore, packing, quality,
+    simhash, suffix_dedup,
 )
 from placewise.llm.common import crc_rest
 
@@ -113,6 +113,40 @@ def op11_decontaminate(documents, benchmark):
     return decontaminate.contamination(documents, benchmark)
 
 
+@query("documents", r"""
+    with d as (
+      select row_number() over () id, coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') w from documents),
+    c as (select id, lang, source, t, count(*) n from (select id, lang, source, unnest(w) t from d) group by all),
+    l as (select lang, t, sum(n) n, count(*) docs from c group by all having count(*) >= 3),
+    g as (select c.lang, source, t, sum(c.n) n from c join l using (lang, t) group by all),
+    v as (select lang, count(*) v, cast(sum(n) as bigint) total from l group by lang),
+    s as (
+      select d.lang, d.source, coalesce(any_value(v.v), 0) v, coalesce(any_value(v.total), 0) lang_total,
+             coalesce((select cast(sum(n) as bigint) from g where g.lang = d.lang and g.source = d.source), 0) total
+      from (select distinct lang, source from d) d left join v using (lang) group by all),
+    p as (
+      select s.lang, s.source, l.t, coalesce(cast(g.n as bigint), 0) n,
+             1 + 1000000000 * (coalesce(cast(g.n as bigint), 0) + 1) // (s.total + s.v) p,
+             1 + 1000000000 * (cast(l.n as bigint) + 1) // (s.lang_total + s.v) q
+      from s join l using (lang) left join g using (lang, source, t)),
+    pairs as (
+      select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p) f
+      from p a join p b on a.lang = b.lang and a.t = b.t and a.source <> b.source group by all),
+    r as (
+      select a.lang, a.source, 'pair' part, b.source item, cast(coalesce(f, 0) as bigint) as value
+      from s a join s b on a.lang = b.lang and a.source <> b.source
+      left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+      union all
+      select lang, source, 'term', t, (p - q) * (p - q) // q from p where n > 0 and p > q)
+    select lang, source, part, item, value, cast(rank as integer) rank from (
+      select *, row_number() over (partition by lang, source, part order by value desc, item) rank from r)
+    where part = 'pair' or rank <= 200""")
+def op12_source_divergence(documents):
+    return divergence.source_divergence(documents)
+
+
 @query("documents", r"""
     with d as (
       select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') u,
