@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from placewise.llm import common as C
 from placewise.llm.blocks import blocks_of, expand, pack, pack_blocks, squeeze, unpack
-from placewise.session import stage
 
 DEPTH = 50
 BLOCK_BYTES = 1 << 20
@@ -84,9 +83,10 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
     n_blocks, total = blocks.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     meeting = max(1, n_blocks // BLOCKS_PER_HOME)
     digits = max(2 * total // (depth - digit_length(depth) + 2), 1)
-    bits = min(int(digits).bit_length() + 16, 62)
-    bucket_bits = max(int(digits // BUCKET).bit_length(), 4)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket_bits = max(int(digits // BUCKET), partitions - 1, 15).bit_length()  # no partition idles
     homes = 1 << bucket_bits
+    bits = min(max(int(digits).bit_length(), bucket_bits) + 16, 62)
 
     def windows(table):
         ids = table.column(id_col)
@@ -97,8 +97,8 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
         for number, table in blocks_of(batches):
             data, offsets, ids, valid = windows(table)
             starts, doc, digit = first_digits(data, offsets, valid, depth)
-            runs = np.flatnonzero(np.concatenate(([True], (digit[1:] != digit[:-1]) | (doc[1:] != doc[:-1])))[:len(doc)])
-            short, owner = (digit[runs] >> np.uint64(64 - bits)).astype(np.int64), ids[doc[runs]]
+            runs, short = digit_runs(doc, digit, bits)
+            owner = ids[doc[runs]]
             order = np.argsort(short, kind="stable")  # ids ascend within a block, and stay so within a digit
             short, owner = short[order], owner[order]
             first = np.flatnonzero(np.concatenate(([True], short[1:] != short[:-1]))[:len(short)])
@@ -141,13 +141,16 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
             lists = sorted(((expand(d), expand(h)) for d, h in zip(found.column("digits").to_pylist(),
                                                                   found.column("homes").to_pylist())), key=lambda x: x[0][0])
             known, home = (np.concatenate(x) for x in zip(*lists))
-            at, there = C.lookup_sorted(known, (digit >> np.uint64(64 - bits)).astype(np.int64))
-            starts, doc, home = starts[there], doc[there], home[at[there]]
-            del digit, at, there, known, lists
+            runs, short = digit_runs(doc, digit, bits)
+            at, there = C.lookup_sorted(known, short)
+            size = np.diff(np.append(runs, len(doc)))
+            home, there = np.repeat(home[at[there]], size[there]), np.repeat(there, size)
+            starts, doc = starts[there], doc[there]
+            del digit, at, there, known, lists, runs, short, size
             names = C.RangeHash(data).of(starts, starts + depth)
             head = equal_windows(data, starts, names, depth)
             own = head == np.arange(len(head))
-            out["home"].append(number)
+            out["home"].append(-1 - number)
             out["block"].append(number)
             out["state"].append(True)
             out["payload"].append(pack(pa.table({"start": [squeeze(starts[~own])], "head": [squeeze(starts[head[~own]])]})))
@@ -177,6 +180,8 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
                          "state": pa.array(out["state"], pa.bool_()), "payload": pa.array(out["payload"], pa.binary())})
 
     def match_windows(table: pa.Table) -> pa.Table:
+        if table.column("state")[0].as_py():  # what a block has settled inside: it goes back to that block
+            return table.select(["block", "state", "payload"])
         parts = [unpack_segments(p) for p in table.column("payload").to_pylist()]
         number = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         ids, start, length, text = (np.concatenate(x) for x in zip(*parts))
@@ -191,6 +196,7 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
         position = start[order[segment]] + flagged - offsets[segment]
         out = [(int(table.column("block")[int(i)].as_py()), np.unique(position[source == i])) for i in np.unique(source)]
         return pa.table({"block": pa.array([b for b, _ in out], pa.int64()),
+                         "state": pa.array([False] * len(out), pa.bool_()),
                          "payload": pa.array([squeeze(p) for _, p in out], pa.binary())})
 
     def apply(block: pa.Table, news: pa.Table) -> pa.Table:
@@ -218,11 +224,9 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
 
     sent = blocks.mapInArrow(send_digits, "bucket int, block long, keys binary")
     digits_found = sent.groupBy("bucket").applyInArrow(match_digits, "block long, digits binary, homes binary")
-    moved = stage(blocks.groupBy("block").cogroup(digits_found.groupBy("block")).applyInArrow(
-        send_windows, "home long, block long, state boolean, payload binary"), "windows")
-    news = moved.where("not state").groupBy("home").applyInArrow(match_windows, "block long, payload binary")
-    news = moved.where("state").select("block", "state", "payload").unionByName(
-        news.select("block", F.lit(False).alias("state"), "payload"))
+    moved = blocks.groupBy("block").cogroup(digits_found.groupBy("block")).applyInArrow(
+        send_windows, "home long, block long, state boolean, payload binary")
+    news = moved.groupBy("home").applyInArrow(match_windows, "block long, state boolean, payload binary")
     return blocks.groupBy("block").cogroup(news.groupBy("block")).applyInArrow(apply, schema)
 
 
@@ -252,6 +256,15 @@ def first_digits(data: np.ndarray, offsets: np.ndarray, valid: np.ndarray, depth
     return starts, doc, digit
 
 
+def digit_runs(doc: np.ndarray, digit: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of windows of one document with one digit begin, and ``bits`` bits of each run's digit.
+
+    A digit is a minimum of hashes, and minima crowd near zero: it is mixed again before bits are taken.
+    """
+    runs = np.flatnonzero(np.concatenate(([True], (digit[1:] != digit[:-1]) | (doc[1:] != doc[:-1])))[:len(doc)])
+    return runs, (C.mix(digit[runs]) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _sliding_min(values: np.ndarray, span: int) -> np.ndarray:
     width = 1
     while 2 * width <= span:
