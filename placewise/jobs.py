@@ -3,6 +3,7 @@
     spark-submit placewise/jobs.py grid --out O
     spark-submit placewise/jobs.py collect [--store S] --pages P --out O
     spark-submit placewise/jobs.py collect-capped [--store S] --pages P --out O
+    spark-submit placewise/jobs.py collect-stream [--store S] --pages P --log L --out O
     spark-submit placewise/jobs.py text-search [--store S] --pages P --out O
     spark-submit placewise/jobs.py backfill --store S --details D --out O
     spark-submit placewise/jobs.py zips --places P --age A --income I --out O
@@ -32,6 +33,7 @@ from placewise.plans import pipelines as P
 from placewise.schemas import PLACES
 from placewise.session import apply_settings
 from placewise.sources import pages, tables
+from placewise.streaming import points
 
 SCATTER = [("median_household_income", "avg_price_level"), ("median_household_income", "avg_rating"),
            ("median_household_income", "places_per_1000_people"), ("median_age", "places_per_1000_people")]
@@ -62,6 +64,14 @@ def collect_capped(spark: SparkSession, a) -> dict[str, DataFrame]:
     return {"places": places, "counts": counts, "unreadable": pages.unreadable_lines(lines)}
 
 
+def collect_stream(spark: SparkSession, a) -> dict[str, DataFrame]:
+    """Settles the pages landed since the last run, then folds all whole points into the store. Known places are not
+    inserted twice, so points folded before change nothing."""
+    points.start_points(points.read_page_stream(spark, a.pages), a.log, f"{a.log.rstrip('/')}_checkpoint").awaitTermination()
+    return {"places": P.collect_new(_store(spark, a), points.read_points(spark, a.log)),
+            "open_points": points.open_points(spark, a.log)}
+
+
 def text_search(spark: SparkSession, a) -> dict[str, DataFrame]:
     """A failed page fails the job, and nothing is written."""
     places = P.collect_all(_store(spark, a), pages.read_search_pages(spark, a.pages, on_error="fail"))
@@ -142,7 +152,7 @@ def classify(spark: SparkSession, a) -> dict[str, DataFrame]:
 
 JOBS: dict[str, tuple[Callable, list[str]]] = {
     "grid": (grid, []), "collect": (collect, ["pages"]), "collect-capped": (collect_capped, ["pages"]),
-    "text-search": (text_search, ["pages"]), "backfill": (backfill, ["store", "details"]),
+    "collect-stream": (collect_stream, ["pages", "log"]), "text-search": (text_search, ["pages"]), "backfill": (backfill, ["store", "details"]),
     "zips": (zips, ["places", "age", "income"]), "cities": (cities, ["places", "age", "income"]),
     "statistics": (statistics, ["zips"]), "insights": (insights, ["places"]),
     "clusters": (clusters, ["places"]), "classify": (classify, ["places"]),

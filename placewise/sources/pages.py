@@ -18,7 +18,8 @@ def read_search_pages(spark: SparkSession, path: str, max_pages: int = MAX_PAGES
 
     A line is one attempt at one page: city, point_no, page_no, attempt, payload. A later attempt replaces an
     earlier one. A point with any page whose last status is neither ``OK`` nor ``ZERO_RESULTS`` gives no rows
-    (``drop_point``) or fails the query (``fail``), as does a line that is not JSON.
+    (``drop_point``) or fails the query (``fail``). So does a point with a line that is not JSON, as far as the line
+    still names its point.
     """
     if on_error not in ("drop_point", "fail"):
         raise ValueError("on_error is 'drop_point' or 'fail'")
@@ -34,25 +35,42 @@ def read_page_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unreadable_lines(lines: DataFrame) -> DataFrame:
-    """The lines that ``drop_point`` has to pass over, with what can be read of the point they belonged to.
+    """The lines that are not JSON, with what can be read of the point they belong to, which ``drop_point`` drops."""
+    return _with_point(lines).where("_unreadable").select("city", "point_no", F.col("_corrupt").alias("line"))
 
-    That point's other pages are kept, so whoever needs whole points has to look here.
-    """
-    bad = F.col("_corrupt").isNotNull()
+
+def _with_point(lines: DataFrame) -> DataFrame:
+    """``_unreadable`` per line; the point of an unreadable one is looked for in its text."""
+    if "_corrupt" not in lines.columns:
+        return lines.withColumn("_unreadable", F.lit(False))
     city = F.coalesce("city", F.nullif(F.regexp_extract("_corrupt", r'"city"\s*:\s*"([^"]*)"', 1), F.lit("")))
     point = F.coalesce("point_no", F.expr(r"try_cast(regexp_extract(_corrupt, '\"point_no\"\\s*:\\s*([0-9]+)', 1) as bigint)"))
-    return lines.where(bad).select(city.alias("city"), point.alias("point_no"), F.col("_corrupt").alias("line"))
+    return lines.withColumns({"city": city, "point_no": point, "_unreadable": F.col("_corrupt").isNotNull()})
 
 
-def search_results(lines: DataFrame, max_pages: int = MAX_PAGES, on_error: str = "drop_point") -> DataFrame:
-    if "_corrupt" in lines.columns:
-        lines = lines.where(_fail_if(F.col("_corrupt").isNotNull(), "a page file holds a line that is not JSON")
-                            if on_error == "fail" else F.col("city").isNotNull())
-    # one shuffle serves both windows; a point has few pages and attempts, so its group is small
-    attempts = lines.where(F.col("page_no") <= max_pages).repartition("city", "point_no")
+def last_attempts(lines: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+    """The last attempt at each page, with two facts about its point: ``_failed`` (a page is bad or unreadable) and
+    ``_whole`` (none is, and pages 1 to the one without a next page, or to ``max_pages``, are there).
+
+    One shuffle serves all windows; a point has few pages and attempts, so its group is small.
+    """
+    lines = _with_point(lines).where(F.col("city").isNotNull() & F.col("point_no").isNotNull())
+    attempts = lines.where((F.col("page_no") <= max_pages) | F.col("_unreadable")).repartition("city", "point_no")
+    attempts = attempts.withColumn("page_no", F.when(~F.col("_unreadable"), F.col("page_no")))
     pages = latest_per_key(attempts, ["city", "point_no", "page_no"], ["attempt"])
-    failed = ~F.coalesce(F.col("payload.status").isin(GOOD), F.lit(False))
-    pages = pages.withColumn("_failed", F.max(failed).over(Window.partitionBy("city", "point_no")))
+    point = Window.partitionBy("city", "point_no")
+    bad = F.col("_unreadable") | ~F.coalesce(F.col("payload.status").isin(GOOD), F.lit(False))
+    ends = F.col("payload.next_page_token").isNull() | (F.col("page_no") >= max_pages)
+    pages = pages.withColumns({"_failed": F.max(bad).over(point), "_top": F.max("page_no").over(point),
+                               "_pages": F.count("*").over(point), "_ends": F.max_by(ends, "page_no").over(point)})
+    whole = ~F.col("_failed") & (F.col("_top") == F.col("_pages")) & F.col("_ends")
+    return pages.withColumn("_whole", F.coalesce(whole, F.lit(False))).drop("_top", "_pages", "_ends")
+
+
+def search_results(lines: DataFrame, max_pages: int = MAX_PAGES, on_error: str = "drop_point") -> DataFrame:
+    if on_error == "fail" and "_corrupt" in lines.columns:
+        lines = lines.where(_fail_if(F.col("_corrupt").isNotNull(), "a page file holds a line that is not JSON"))
+    pages = last_attempts(lines, max_pages)
     pages = pages.where(_fail_if(F.col("_failed"), "a search point failed") if on_error == "fail" else ~F.col("_failed"))
     results = pages.select("city", "point_no", "page_no", F.posexplode("payload.results").alias("pos", "place_json"))
     return results.withColumn("place", F.from_json("place_json", PLACE_PAYLOAD))

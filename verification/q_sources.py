@@ -1,6 +1,6 @@
 """Landed files and sinks: each query writes files derived from the tables and reads them back."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from placewise import constants as K, functions as X
 from placewise.operators import joins as J, keyed as W
@@ -8,7 +8,7 @@ from placewise.plans import pipelines as P
 from placewise.schemas import ENRICHED_PLACES, PLACES
 from placewise.session import shared_dir
 from placewise.sources import pages, tables
-from placewise.streaming import ingest
+from placewise.streaming import ingest, points
 from verification.catalog import query
 
 PAGE, POINT = 20, 60
@@ -16,6 +16,12 @@ PAGE, POINT = 20, 60
 
 def landed_pages(t) -> str:
     """Search pages made of events: 60 results per point, 20 per page; some attempts and some points fail."""
+    path = shared_dir(t.spark, "pages")
+    tables.write_json(page_lines(t), path)
+    return path
+
+
+def page_lines(t):
     e = t.events
     point = F.floor(F.col("event_id") / POINT)
     in_point = F.col("event_id") % POINT
@@ -36,18 +42,18 @@ def landed_pages(t) -> str:
     good = found.groupBy("point_no", "page_no").agg(
         F.array_sort(F.collect_list(F.struct("pos", "place"))).alias("r")).select(
         "point_no", "page_no", F.transform("r", lambda x: x["place"]).alias("results"))
+    last_page = F.max("page_no").over(Window.partitionBy("point_no"))
+    good = good.withColumn("last_page", last_page)
     limited = (F.col("point_no") % 13 == 5) & (F.col("page_no") == 2)
     retried = (F.col("point_no") % 17 == 3) & (F.col("page_no") == 1)
     lines = good.withColumn("attempt", F.explode(F.when(retried, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
     failed = limited | (retried & (F.col("attempt") == 1))
     status = F.when(limited, "OVER_QUERY_LIMIT").when(failed, "UNKNOWN_ERROR").otherwise("OK")
     payload = F.struct(status.alias("status"), F.when(failed, "try later").alias("error_message"),
-                       F.when(F.col("page_no") < 3, "more").alias("next_page_token"),
+                       F.when(F.col("page_no") < F.col("last_page"), "more").alias("next_page_token"),
                        F.when(~failed, F.col("results")).alias("results"))
-    path = shared_dir(t.spark, "pages")
-    tables.write_json(lines.select(F.concat(F.lit("c"), (F.col("point_no") % 4).cast("string")).alias("city"),
-                                   "point_no", "page_no", "attempt", payload.alias("payload")), path)
-    return path
+    return lines.select(F.concat(F.lit("c"), (F.col("point_no") % 4).cast("string")).alias("city"),
+                        "point_no", "page_no", "attempt", payload.alias("payload"))
 
 
 RESULTS = """select *, cast(floor(event_id / 60) as bigint) point_no,
@@ -63,6 +69,42 @@ def search_pages(t):
     return df.select("city", "point_no", "page_no", "pos", F.col("place.place_id").alias("place_id"))
 
 
+def landed_with_breaks(t) -> str:
+    """The same, with a broken line for page 3 of each eleventh point."""
+    lines = page_lines(t).select("point_no", "page_no", F.to_json(F.struct("city", "point_no", "page_no", "attempt", "payload"))
+                                 .alias("value"))
+    broken = (F.col("point_no") % 11 == 4) & (F.col("page_no") == 3)
+    cut = F.when(broken, F.substring("value", F.lit(1), F.length("value") - 9)).otherwise(F.col("value"))
+    path = shared_dir(t.spark, "pages")
+    lines.select(cut.alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
+WHOLE = f"""with a as ({RESULTS}), bad as (select distinct point_no from a
+    where (point_no % 13 = 5 and page_no = 2) or (point_no % 11 = 4 and page_no = 3))
+  select city, point_no, page_no, pos, cast(user_id as string) place_id from a
+  where point_no not in (select point_no from bad)"""
+
+
+@query(WHOLE)
+def search_pages_broken_lines(t):
+    """A line that is not JSON costs its whole point."""
+    df = pages.read_search_pages(t.spark, landed_with_breaks(t))
+    return df.select("city", "point_no", "page_no", "pos", F.col("place.place_id").alias("place_id"))
+
+
+@query(f"{KEPT} select city, point_no, page_no, pos, cast(user_id as string) place_id from r")
+def stream_pages(t):
+    """Each page of a point lands on its own, and a retry after all of them; the stream restarts between."""
+    source, log, checkpoint = (shared_dir(t.spark, name) for name in ("landed", "points", "checkpoint"))
+    lines = page_lines(t).withColumn("drop_no", F.when(F.col("attempt") > 1, 4).otherwise(F.col("page_no")))
+    for i in range(1, 5):
+        lines.where(F.col("drop_no") == i).drop("drop_no").write.mode("append").json(source)
+        points.start_points(points.read_page_stream(t.spark, source), log, checkpoint).awaitTermination()
+    df = points.read_points(t.spark, log)
+    return df.select("city", "point_no", "page_no", "pos", F.col("place.place_id").alias("place_id"))
+
+
 FLAT = """city, cast(user_id as string) place_id, concat(event_type, ' ', cast(event_id as string)) "name",
     case when event_id % 3 = 1 then concat('near ', event_type) else concat(cast(event_id as string), ' Main St') end formatted_address,
     cast(event_id % 90 as double) lat, cast(event_id % 180 - 180 as double) lng, 1 + (event_id % 33) / cast(8 as double) rating,
