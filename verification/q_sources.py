@@ -186,6 +186,14 @@ def csv_round_trip(t):
     return tables.read_csv(t.spark, path, ENRICHED_PLACES)
 
 
+@query("select doc_id, nullif(text, '') text, lang, source from documents")
+def csv_line_breaks(t):
+    """Texts with line breaks, quotes and blanks at their ends, in files that are split."""
+    path = shared_dir(t.spark, "csv")
+    tables.write_csv(t.documents.select("doc_id", "text", "lang", "source"), path)
+    return tables.read_csv(t.spark, path, "doc_id bigint, text string, lang string, source string")
+
+
 @query("select * from enriched_city")
 def json_round_trip(t):
     path = shared_dir(t.spark, "json")
