@@ -140,7 +140,7 @@ def insights(spark: SparkSession, a) -> dict[str, DataFrame]:
 def clusters(spark: SparkSession, a) -> dict[str, DataFrame]:
     """``places`` is the table enriched by zip."""
     df = tables.read_table(spark, a.places).where("median_household_income > 0 and population_total > 1000")
-    points = M.kmeans_points(df.select("city", *K.CLUSTER_FEATURES))
+    points = M.kmeans_points(df.select("place_id", "city", *K.CLUSTER_FEATURES), key="place_id").drop("place_id")
     return {"cluster_profile": A.profile_groups(points, "cluster", K.CLUSTER_FEATURES),
             "cluster_points": charts.cluster_points(points)}
 

@@ -111,10 +111,12 @@ class Classifier:
                              F.col("prediction").cast("int").alias("prediction"))
 
 
-def _training(df: DataFrame, label: str, numeric: list[str], categorical: list[str], partitions: int):
+def _training(df: DataFrame, label: str, numeric: list[str], categorical: list[str], partitions: int, key: str | None):
     features = fit_features(df, numeric, categorical)
-    train = balanced_weights(features.transform(df), label).select("features", label, "weight")
-    return features, _settled(train, F.xxhash64(*numeric, *categorical), partitions)
+    spread = F.xxhash64(*([key] if key else []), *numeric, *categorical)
+    train = balanced_weights(features.transform(df).withColumn("_spread", spread), label)
+    train = train.select("features", label, "weight", "_spread")
+    return features, _settled(train, F.col("_spread"), partitions)
 
 
 def _settled(df: DataFrame, spread_by: Column, partitions: int) -> DataFrame:
@@ -125,22 +127,26 @@ def _settled(df: DataFrame, spread_by: Column, partitions: int) -> DataFrame:
 
 
 def fit_logistic(df: DataFrame, label: str, numeric: list[str], categorical: list[str],
-                 c: float = 1.0, max_iter: int = 1000, partitions: int = FIT_PARTITIONS) -> Classifier:
-    """Balanced logistic regression with an L2 penalty of strength ``1 / c`` and a free intercept."""
-    features, train = _training(df, label, numeric, categorical, partitions)
+                 c: float = 1.0, max_iter: int = 1000, partitions: int = FIT_PARTITIONS, key: str | None = None) -> Classifier:
+    """Balanced logistic regression with an L2 penalty of strength ``1 / c`` and a free intercept.
+
+    ``key``, a unique column, deals training rows evenly into partitions; without it rows of equal features stay together.
+    """
+    features, train = _training(df, label, numeric, categorical, partitions, key)
     # balanced weights add up to the row count, which is what the penalty is divided by
     reg = 1.0 / (c * train.count())
     model = LogisticRegression(labelCol=label, weightCol="weight", regParam=reg, elasticNetParam=0.0,
-                               standardization=False, maxIter=max_iter).fit(train)
+                               standardization=False, maxIter=max_iter, tol=1e-9).fit(train)
     train.unpersist()
     return Classifier(features, model)
 
 
 def fit_forest(df: DataFrame, label: str, numeric: list[str], categorical: list[str], num_trees: int = 200,
                max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS, seed: int = SEED,
-               partitions: int = FIT_PARTITIONS) -> Classifier:
-    """Balanced random forest. Spark's deepest tree has 30 levels; ``max_bins`` is the number of cuts tried per feature."""
-    features, train = _training(df, label, numeric, categorical, partitions)
+               partitions: int = FIT_PARTITIONS, key: str | None = None) -> Classifier:
+    """Balanced random forest. Spark's deepest tree has 30 levels; ``max_bins`` is the number of cuts tried per feature;
+    ``exact_trees`` has neither limit. ``key`` as in ``fit_logistic``."""
+    features, train = _training(df, label, numeric, categorical, partitions, key)
     model = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=num_trees, maxDepth=max_depth,
                                    maxBins=max_bins, featureSubsetStrategy="sqrt", seed=seed,
                                    maxMemoryInMB=1024, cacheNodeIds=True).fit(train)
@@ -165,28 +171,34 @@ def feature_names(classifier: Classifier, sample: DataFrame) -> list[str]:
 
 
 def logistic_slopes(classifier: Classifier, train: DataFrame, label: str) -> DataFrame:
-    """Slope of the weighted, penalised loss per row at the fitted coefficients, for each feature and the intercept."""
+    """Slope of the weighted, penalised loss per row at the fitted coefficients, for each feature and the intercept, and
+    its ``scale``, the mean weighted size of the feature: a slope is small if it is small beside that."""
     names = feature_names(classifier, train)
     rows = balanced_weights(classifier.score(train).withColumnRenamed("prediction", "_guess"), label)
     slip = F.col("weight") * (F.col("probability_1") - F.col(label))
     vector = vector_to_array("features")
-    x = classifier.features.transform(rows).select(vector.alias("x"), slip.alias("slip"))
-    sums = x.agg(F.count("*").alias("n"), F.sum("slip"), *[F.sum(F.col("x")[i] * F.col("slip")) for i in range(len(names))])
-    n, bias, *slopes = sums.first()
+    x = classifier.features.transform(rows).select(vector.alias("x"), slip.alias("slip"), "weight")
+    sums = x.agg(F.count("*"), F.sum("slip"), F.sum("weight"), *[F.sum(F.col("x")[i] * F.col("slip")) for i in range(len(names))],
+                 *[F.sum(F.abs(F.col("x")[i]) * F.col("weight")) for i in range(len(names))])
+    n, bias, weight, *each = sums.first()
+    slopes, sizes = each[:len(names)], each[len(names):]
     penalty = classifier.model.getRegParam()
-    found = [(f, s / n + penalty * float(b)) for f, s, b in zip(names, slopes, classifier.model.coefficients)]
-    return train.sparkSession.createDataFrame([*found, ("intercept", bias / n)], "feature string, slope double")
+    found = [(f, s / n + penalty * float(b), size / n)
+             for f, s, size, b in zip(names, slopes, sizes, classifier.model.coefficients)]
+    return train.sparkSession.createDataFrame([*found, ("intercept", bias / n, weight / n)],
+                                              "feature string, slope double, scale double")
 
 
 def kmeans_points(df: DataFrame, cols: list[str] = CLUSTER_FEATURES, k: int = CLUSTER_K, seed: int = SEED,
-                  out: str = "cluster", max_iter: int = MAX_ITER, partitions: int = FIT_PARTITIONS) -> DataFrame:
-    """Complete rows with the k-means cluster over the standardised columns.
+                  out: str = "cluster", max_iter: int = MAX_ITER, partitions: int = FIT_PARTITIONS,
+                  key: str | None = None) -> DataFrame:
+    """Complete rows with the k-means cluster over the standardised columns. ``key`` as in ``fit_logistic``.
 
     Clusters are numbered by their centres in ascending order, so the numbers do not depend on the start.
     """
     assembler = VectorAssembler(inputCols=[f"{c}_scaled" for c in cols], outputCol="_features")
     assembled = assembler.transform(standardize(df.na.drop(subset=cols), cols))
-    model = _fit_clusters(assembled, F.xxhash64(*cols), k, seed, max_iter, partitions)
+    model = _fit_clusters(assembled, F.xxhash64(*([key] if key else []), *cols), k, seed, max_iter, partitions)
     return _number_clusters(model, assembled, out).drop("_features", *[f"{c}_scaled" for c in cols])
 
 
@@ -198,12 +210,12 @@ def _fit_clusters(assembled: DataFrame, spread_by: Column, k: int, seed: int, ma
 
 
 def kmeans_vectors(df: DataFrame, col: str, k: int, seed: int = SEED, out: str = "cluster",
-                   max_iter: int = MAX_ITER, partitions: int = FIT_PARTITIONS) -> DataFrame:
+                   max_iter: int = MAX_ITER, partitions: int = FIT_PARTITIONS, key: str | None = None) -> DataFrame:
     """The same over an array-of-numbers column, as it is."""
     from pyspark.ml.functions import array_to_vector
 
     assembled = df.withColumn("_features", array_to_vector(F.col(col).cast("array<double>")))
-    model = _fit_clusters(assembled, F.xxhash64(col), k, seed, max_iter, partitions)
+    model = _fit_clusters(assembled, F.xxhash64(*([key] if key else []), col), k, seed, max_iter, partitions)
     return _number_clusters(model, assembled, out).drop("_features")
 
 

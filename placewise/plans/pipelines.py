@@ -169,9 +169,9 @@ def classify(places: DataFrame, key: str = "place_id", model: str = "forest", te
     held = parts.where("part = 'test'").drop("part")
     if model == "forest":
         fitted = fit_forest(train, "high_rated", K.NUMERIC_FEATURES, K.CATEGORICAL_FEATURES, num_trees, max_depth, seed=seed,
-                            partitions=partitions)
+                            partitions=partitions, key=key)
     else:
-        fitted = fit_logistic(train, "high_rated", K.NUMERIC_FEATURES, K.CATEGORICAL_FEATURES, partitions=partitions)
+        fitted = fit_logistic(train, "high_rated", K.NUMERIC_FEATURES, K.CATEGORICAL_FEATURES, partitions=partitions, key=key)
     scored = stage(fitted.score(held), "scored")
     sweep = threshold_sweep(scored, "high_rated", "probability_1")
     chosen = pick_threshold(sweep)

@@ -122,3 +122,36 @@ def test_kmeans_numbers_clusters_by_centre(table):
     df = table("x double, y double", *pts)
     got = {(r["x"], r["y"]): r["cluster"] for r in ML.kmeans_points(df, ["x", "y"], 4, 1).collect()}
     assert all(got[p] == i // 3 for i, p in enumerate(pts))
+
+
+def test_facts_turn_red_for_models_that_learnt_nothing(table):
+    from verification import q_models as Q
+    t = ML.classifier_table(places(table))
+    options = dict(label="high_rated", numeric=K.NUMERIC_FEATURES, categorical=K.CATEGORICAL_FEATURES, partitions=4, key="place_id")
+    optimum = {}
+    for rounds in (0, 1000):
+        slopes = ML.logistic_slopes(ML.fit_logistic(t, max_iter=rounds, **options), t, "high_rated").collect()
+        optimum[rounds] = all(abs(r.slope) <= 1e-3 * r.scale for r in slopes)
+    assert optimum == {0: False, 1000: True}
+    rows = table("k long, x double, city string, large int", *[(i, float(i * 37 % 100), "c", int(i * 37 % 100 > 60)) for i in range(300)])
+    shuffled = rows.selectExpr("k", "x", "city", "cast(k % 3 = 0 as int) large")
+    for fit, more in ((ML.fit_forest, dict(num_trees=5, max_depth=4)), (ML.fit_logistic, dict(c=1e4))):
+        facts = [tuple(Q.learnt_facts(fit(d, "large", ["x"], ["city"], partitions=4, key="k", **more).score(rows)).first())
+                 for d in (rows, shuffled)]
+        assert facts[0] == (300, True, True) and facts[1] != facts[0]
+    near = table("cluster int, x double", *[(int(i > 5), float(i)) for i in range(10)])
+    assert Q._fixed_point(near, ["x"]).first().nearer_elsewhere == 0
+    assert Q._fixed_point(near.selectExpr("cast(x % 2 as int) cluster", "x"), ["x"]).first().nearer_elsewhere > 0
+
+
+def test_equal_rows_are_dealt_evenly(table):
+    """A third of all rows have equal features: the key spreads them, and the model stays the same."""
+    rows = [(i, 1.0 if i % 3 == 0 else float(i), "c", int(i % 7 < 3)) for i in range(3000)]
+    df = table("k long, x double, city string, y int", *rows)
+    _, train = ML._training(df, "y", ["x"], ["city"], 8, "k")
+    from pyspark.sql import functions as F
+    sizes = [r["count"] for r in train.groupBy(F.spark_partition_id()).count().collect()]
+    train.unpersist()
+    assert len(sizes) == 8 and max(sizes) < 2 * 3000 / 8
+    one, two = (ML.fit_logistic(df, "y", ["x"], ["city"], partitions=n, key="k").model.coefficients.toArray() for n in (4, 8))
+    assert one == pytest.approx(two, rel=1e-4, abs=1e-6)
