@@ -36,62 +36,88 @@ def _ln_beta_half(a: Column) -> Column:
     return F.lit(log(pi) / 2) - ratio - down
 
 
-def t_two_sided(t: Column, dof: Column) -> Column:
-    """P(|T| > t) of Student's t: the incomplete beta function I(v/2, 1/2) at v / (v + t^2) as a continued fraction.
+def _let(values: dict[str, Column], body) -> Column:
+    """``body`` of the named values, each evaluated once."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in values.items()])), body), F.lit(0))
+
+
+def t_tail(square: Column, dof: Column) -> Column:
+    """P(|T| > t) of Student's t as ``p`` and its natural logarithm ``log_p``, from t squared.
 
-    The upper tail is computed as such, in logarithms, so that small probabilities keep their digits. Null if t or the
-    degrees of freedom are missing, or not positive.
+    The incomplete beta function I(v/2, 1/2) at v / (v + t^2) as a continued fraction, in as many terms as it takes to settle.
+    The upper tail is computed as such, in logarithms, so that probabilities too small for a double keep their digits there.
+    Both are null if t or the degrees of freedom are missing, or the latter not positive.
     """
     v = F.when(dof > 0, dof.cast("double"))
-    square = t * t
-    a0, x0 = v / 2, v / (v + square)
-    tail = x0 < (a0 + 1) / (a0 + 2.5)  # else the fraction of the other end converges
-    half = F.lit(0.5)
-    a, b, x = F.when(tail, a0).otherwise(half), F.when(tail, half).otherwise(a0), F.when(tail, x0).otherwise(square / (v + square))
-    packed = F.struct(a.alias("a"), b.alias("b"), x.alias("x"))
+
+    def parts(k):
+        x0 = k["v"] / (k["v"] + k["s"])
+        tail = x0 < (k["v"] / 2 + 1) / (k["v"] / 2 + 2.5)  # else the fraction of the other end converges
+        return _let({"v": k["v"], "s": k["s"], "tail": tail, "a": F.when(tail, k["v"] / 2).otherwise(0.5),
+                     "b": F.when(tail, 0.5).otherwise(k["v"] / 2), "x": F.when(tail, x0).otherwise(k["s"] / (k["v"] + k["s"]))},
+                    finish)
+
+    def finish(k):
+        front = (-k["v"] / 2 * F.log1p(k["s"] / k["v"]) + F.log(k["s"] / (k["v"] + k["s"])) / 2 - _ln_beta_half(k["v"] / 2))
+        return _let({"tail": k["tail"], "a": k["a"], "h": _fraction(k), "front": front}, lambda f: _let(
+            {"log_p": F.when(f["tail"], f["front"] + F.log(f["h"] / f["a"])).otherwise(F.log1p(-2 * F.exp(f["front"]) * f["h"]))},
+            lambda r: F.struct(F.exp(r["log_p"]).alias("p"), r["log_p"].alias("log_p"))))
+
+    none, sure = (F.struct(F.lit(p).cast("double").alias("p"), F.lit(q).cast("double").alias("log_p"))
+                  for p, q in ((None, None), (1.0, 0.0)))
+    found = _let({"v": v, "s": square.cast("double")}, parts)
+    return F.when(square.isNull() | v.isNull(), none).when(square == 0, sure).otherwise(found)
+
+
+def _fraction(k: Column) -> Column:
+    """The continued fraction of I(a, b) at x by Lentz's rule, two terms a step, until a step changes nothing."""
     tiny = F.lit(1e-300)
 
     def whole(y: Column) -> Column:
         return F.when(F.abs(y) < tiny, tiny).otherwise(y)
 
     def step(acc: Column, m: Column) -> Column:
-        a, b, x = acc["a"], acc["b"], acc["x"]
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        # Lentz's rule for both terms, unrolled: h gains c2 * d2 * c3 * d3
-        d2 = 1 / whole(1 + even * acc["d"])
-        c2 = whole(1 + even / acc["c"])
-        return F.struct(a.alias("a"), b.alias("b"), x.alias("x"), (1 / whole(1 + odd * d2)).alias("d"),
-                        whole(1 + odd / c2).alias("c"),
-                        (acc["h"] * c2 * d2 * whole(1 + odd / c2) / whole(1 + odd * d2)).alias("h"))
-
-    first = 1 / whole(1 - (packed["a"] + packed["b"]) * packed["x"] / (packed["a"] + 1))
-    start = F.struct(packed["a"].alias("a"), packed["b"].alias("b"), packed["x"].alias("x"), first.alias("d"),
-                     F.lit(1.0).alias("c"), first.alias("h"))
-    # terms needed grow with the root of the degrees of freedom
-    terms = F.sequence(F.lit(1), (F.lit(100) + 4 * F.ceil(F.sqrt(v))).cast("int"))
-    h = F.aggregate(F.transform(terms, lambda m: m.cast("double")), start, step)["h"]
-    front = F.exp(-a0 * F.log1p(square / v) + F.log(square / (v + square)) / 2 - _ln_beta_half(a0))
-    p = F.when(tail, front * h / a0).otherwise(1 - front * h * 2)
-    return F.when(t.isNull() | v.isNull(), F.lit(None).cast("double")).when(square == 0, F.lit(1.0)).otherwise(p)
-
-
-def t_critical(dof: Column) -> Column:
-    """The t that 95% of |T| stay below: a table below 10 degrees, five terms around the normal point above."""
-    # --- fixed values: the normal 97.5% point, and Student's t for 1 to 9 degrees of freedom
-    z, v = 1.959963984540054, dof.cast("double")
-    table = [12.706204736432095, 4.302652729911275, 3.182446305284263, 2.7764451051977987, 2.570581835636314,
-             2.4469118511449692, 2.3646242515927844, 2.3060041352041662, 2.2621571627409915]
-    out = (F.lit(z) + (z ** 3 + z) / (4 * v) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * v * v)
-           + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / (384 * v * v * v)
-           + (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / (92160 * v * v * v * v))
-    return F.when(dof < 10, F.get(F.array(*[F.lit(t) for t in table]), (dof - 1).cast("int"))).otherwise(out)
+        a, b, x = k["a"], k["b"], k["x"]
+        terms = {"even": m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+                 "odd": -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))}
+        moved = _let(terms, lambda t: _let(
+            {"d": 1 / whole(1 + t["even"] * acc["d"]), "c": whole(1 + t["even"] / acc["c"]), "odd": t["odd"]}, lambda u: _let(
+                {"d": 1 / whole(1 + u["odd"] * u["d"]), "c": whole(1 + u["odd"] / u["c"]), "by": u["c"] * u["d"]}, lambda w: F.struct(
+                    w["d"].alias("d"), w["c"].alias("c"), (acc["h"] * w["by"] * w["c"] * w["d"]).alias("h"),
+                    (F.abs(w["by"] * w["c"] * w["d"] - 1) < 1e-16).alias("done")))))
+        return F.when(acc["done"], acc).otherwise(moved)
+
+    first = 1 / whole(1 - (k["a"] + k["b"]) * k["x"] / (k["a"] + 1))
+    start = _let({"f": first}, lambda f: F.struct(f["f"].alias("d"), F.lit(1.0).alias("c"), f["f"].alias("h"), F.lit(False).alias("done")))
+    # at most so many: the terms needed grow with the root of the degrees of freedom
+    terms = F.sequence(F.lit(1), (F.lit(100) + 4 * F.ceil(F.sqrt(k["a"] + k["b"]))).cast("int"))
+    return F.aggregate(F.transform(terms, lambda m: m.cast("double")), start, step)["h"]
+
+
+def t_two_sided(t: Column, dof: Column) -> Column:
+    """P(|T| > t) of Student's t; null if t or the degrees of freedom are missing, or the latter not positive."""
+    return t_tail(t * t, dof)["p"]
+
+
+def t_critical(dof: Column, level: float = 0.05) -> Column:
+    """The t that |T| exceeds with probability ``level``, for any degrees of freedom: Newton steps on log p over log t.
+
+    The logarithm of the tail is a concave function of log t, so that the steps settle from any start.
+    """
+    def step(u: Column, _: Column) -> Column:
+        return _let({"u": u, "v": dof.cast("double"), "log_p": t_tail(F.exp(2 * u), dof)["log_p"]}, newton)
+
+    def newton(k):
+        density = -_ln_beta_half(k["v"] / 2) - F.log(k["v"]) / 2 - (k["v"] + 1) / 2 * F.log1p(F.exp(2 * k["u"]) / k["v"])
+        return k["u"] + (k["log_p"] - log(level)) / F.exp(log(2) + k["u"] + density - k["log_p"])
+
+    return F.when(dof > 0, F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(9)), F.lit(log(2)), step)))
 
 
 def ols_summary(df: DataFrame, y: str, x: str, order: str) -> DataFrame:
     """One row with the usual summary of ``y ~ x``.
 
-    Coefficients with standard errors, t, p and 95% intervals, R squared, F, log-likelihood, AIC, BIC,
+    Coefficients with standard errors, t, p, its logarithm and 95% intervals, R squared, F, log-likelihood, AIC, BIC,
     residual skew and kurtosis, Jarque-Bera and Durbin-Watson (residuals in the order of ``order``, a unique
     number or text). Three scans: sufficient sums, cut points, residuals. The residuals are never ordered in one
     task: neighbours are paired inside order-preserving buckets, and buckets are joined at their ends. What a table
@@ -128,17 +154,19 @@ def ols_summary(df: DataFrame, y: str, x: str, order: str) -> DataFrame:
         "loglik": loglik, "aic": 4 - 2 * loglik, "bic": 2 * F.log(n) - 2 * loglik,
         "jarque_bera": jb, "jarque_bera_p": F.exp(-jb / 2), "durbin_watson": dw / rss,
     })
-    t = {c: F.col(c) / F.nullif(f"{c}_se", F.lit(0.0)) for c in ("slope", "intercept")}
-    half = {c: t_critical(F.col("dof")) * F.col(f"{c}_se") for c in t}
-    out = out.withColumns({
-        **{f"{c}_t": t[c] for c in t}, **{f"{c}_p": t_two_sided(t[c], F.col("dof")) for c in t},
-        **{f"{c}_lo": F.col(c) - half[c] for c in t}, **{f"{c}_hi": F.col(c) + half[c] for c in t},
-        "f_stat": t["slope"] ** 2, "f_p": t_two_sided(t["slope"], F.col("dof")),
-    })
+    out = out.withColumns({f"{c}_t": F.col(c) / F.nullif(f"{c}_se", F.lit(0.0)) for c in ("slope", "intercept")})
+    # each is used more than once: a column of its own is evaluated once
+    out = out.withColumns({"critical": t_critical(F.col("dof")),
+                           **{f"{c}_tail": t_tail(F.col(f"{c}_t") ** 2, F.col("dof")) for c in ("slope", "intercept")}})
+    for c in ("slope", "intercept"):
+        half = F.col("critical") * F.col(f"{c}_se")
+        out = out.withColumns({f"{c}_p": F.col(f"{c}_tail.p"), f"{c}_log_p": F.col(f"{c}_tail.log_p"),
+                               f"{c}_lo": F.col(c) - half, f"{c}_hi": F.col(c) + half})
+    out = out.withColumns({"f_stat": F.col("slope_t") ** 2, "f_p": F.col("slope_p"), "f_log_p": F.col("slope_log_p")})
     names = ["n", "dof"]
     for c in ("intercept", "slope"):
-        names += [c, *[f"{c}_{s}" for s in ("se", "t", "p", "lo", "hi")]]
-    return out.select(*names, "r2", "adj_r2", "f_stat", "f_p", "loglik", "aic", "bic", "skew", "kurtosis",
+        names += [c, *[f"{c}_{s}" for s in ("se", "t", "p", "log_p", "lo", "hi")]]
+    return out.select(*names, "r2", "adj_r2", "f_stat", "f_p", "f_log_p", "loglik", "aic", "bic", "skew", "kurtosis",
                       "jarque_bera", "jarque_bera_p", "durbin_watson")
 
 

@@ -25,9 +25,33 @@ def test_t_distribution(table):
     got = table("t double, dof bigint", *points).select("t", "dof", S.t_two_sided(-F.col("t"), F.col("dof")).alias("p")).collect()
     for r in got:
         assert r["p"] == pytest.approx(t_tail(r["t"], r["dof"]), rel=1e-8)
-    critical = table("dof bigint", *[(d,) for d in dofs]).withColumn("t", S.t_critical(F.col("dof")))
-    for r in critical.withColumn("p", S.t_two_sided(F.col("t"), F.col("dof"))).collect():
-        assert r["p"] == pytest.approx(0.05, abs=1e-5 if r["dof"] > 9 else 1e-9)
+
+
+def test_t_critical(spark, table):
+    """The same as bisection, to 1e-10, from one degree of freedom to a million."""
+    dofs = [1, 2, 3, 4, 7, 9, 10, 31, 100, 775, 14_998, 1_000_000]
+    df = table("dof bigint", *[(d,) for d in dofs]).withColumns({"lo": F.lit(1.0), "hi": F.lit(20.0)})
+    for _ in range(5):  # 19 / 2 ** 40 is left
+        for _ in range(8):
+            middle = (F.col("lo") + F.col("hi")) / 2
+            df = df.withColumn("above", S.t_two_sided(middle, F.col("dof")) > 0.05)
+            df = df.withColumns({"lo": F.when(F.col("above"), middle).otherwise(F.col("lo")),
+                                 "hi": F.when(F.col("above"), F.col("hi")).otherwise(middle)})
+        df = spark.createDataFrame(df.collect(), df.schema)
+    found = df.withColumn("t", S.t_critical(F.col("dof"))).collect()
+    for r in found:
+        assert r["t"] == pytest.approx((r["lo"] + r["hi"]) / 2, abs=1e-10)
+    t = {r["dof"]: r["t"] for r in found}
+    assert t[1] == pytest.approx(math.tan(math.pi * 0.475), rel=1e-12) and t[2] == pytest.approx(
+        0.95 * math.sqrt(2 / (1 - 0.95 ** 2)), rel=1e-12)
+    assert table("dof bigint", (0,), (None,)).select(S.t_critical(F.col("dof")).alias("t")).where("t is not null").count() == 0
+
+
+def test_logarithms_of_tiny_probabilities(table):
+    got = table("t double, dof bigint", (106.47, 14_998), (1e6, 3)).select(S.t_tail(F.col("t") ** 2, F.col("dof")).alias("p"))
+    p = [r.p for r in got.collect()]
+    assert p[0].p == 0 and p[0].log_p == pytest.approx(-4226.0899, abs=1e-3)
+    assert p[1].log_p == pytest.approx(math.log(t_tail(1e6, 3)), rel=1e-9)
 
 
 def test_t_distribution_at_the_ends(table):

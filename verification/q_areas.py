@@ -164,11 +164,12 @@ def ols_log_log(t):
     return rounded(rounded(S.ols_simple(rows, "log_price", "log_income"), 5, ["slope", "intercept"]), 6, ["r2"])
 
 
-# P(|T| > t) by Simpson's rule over log(u / t), and Student's t by its expansion around the normal point
-TAIL = """(select 2 * sum(case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end * exp(lgamma((v + 1) / 2)
-      - lgamma(v / 2) - ln(v * pi()) / 2 - (v + 1) / 2 * ln(1 + {t} ** 2 * exp(2 * i * w) / v) + ln({t}) + i * w)) * max(w) / 3
-    from (select cast(n - 2 as double) v, greatest(50.0 / (n - 2),
-            60.0 / (1 + {t} ** 2 * (n - 1) / (n - 2 + {t} ** 2))) / 4000 w) g, generate_series(0, 4000) s(i))"""
+# the logarithm of P(|T| > t) by Simpson's rule over log(u / t), added up below its largest term, and Student's t by its expansion around the normal point
+TAIL = """(select ln(2 * max(w) / 3) + max(top) + ln(sum(share * exp(e - top))) from (select *, max(e) over () top from (
+      select w, case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end share, lgamma((v + 1) / 2)
+        - lgamma(v / 2) - ln(v * pi()) / 2 - (v + 1) / 2 * ln(1 + {t} ** 2 * exp(2 * i * w) / v) + ln({t}) + i * w e
+      from (select cast(n - 2 as double) v, greatest(50.0 / (n - 2),
+            60.0 / (1 + {t} ** 2 * (n - 1) / (n - 2 + {t} ** 2))) / 4000 w) g, generate_series(0, 4000) s(i)) x) y)"""
 CRITICAL = """(z + (z ** 3 + z) / (4 * (n - 2)) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * (n - 2.0) ** 2)
     + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / (384 * (n - 2.0) ** 3))"""
 SUMMARY = """with v as ({rows}),
@@ -185,8 +186,8 @@ SUMMARY = """with v as ({rows}),
           n / 6 * (skew ** 2 + (kurtosis - 3) ** 2 / 4) jb, """ + CRITICAL + """ crit from s),
   p as (select *, """ + TAIL.format(t="sa") + " sp, " + TAIL.format(t="ia") + """ ip from u)
   select n, n - 2 dof, round(intercept, 4) intercept, round(slope, 4) slope, round(intercept_se, 4) intercept_se,
-    round(slope_se, 4) slope_se, round(st, 4) slope_t, round(it, 4) intercept_t, round(ln(sp), 4) slope_log_p,
-    round(ln(ip), 4) intercept_log_p, round(ln(sp), 4) f_log_p, round(slope - crit * slope_se, 3) slope_lo,
+    round(slope_se, 4) slope_se, round(st, 4) slope_t, round(it, 4) intercept_t, round(sp, 4) slope_log_p,
+    round(ip, 4) intercept_log_p, round(sp, 4) f_log_p, round(slope - crit * slope_se, 3) slope_lo,
     round(slope + crit * slope_se, 3) slope_hi, round(intercept - crit * intercept_se, 3) intercept_lo,
     round(intercept + crit * intercept_se, 3) intercept_hi, round(1 - rss / syy, 6) r2,
     round(1 - sigma2 / (syy / (n - 1)), 6) adj_r2, round(st ** 2, 4) f_stat,
@@ -201,7 +202,6 @@ SUMMARY_DIGITS = {3: ["slope_lo", "slope_hi", "intercept_lo", "intercept_hi"],
 
 def _summary(df):
     """All 26 columns; probabilities as logarithms, whose digits do not vanish in the tail."""
-    df = df.withColumns({f"{c}_log_p": F.log(f"{c}_p") for c in ("slope", "intercept", "f")})
     for digits, cols in SUMMARY_DIGITS.items():
         df = rounded(df, digits, cols)
     return df.select("n", "dof", *[c for cols in SUMMARY_DIGITS.values() for c in cols])
