@@ -7,8 +7,9 @@ strongest term first, only for vectors that can still compete. Blocks of queries
 each shard are merged.
 
 Rows with a null id, a null vector, or a null or non-finite component take no part; shorter vectors are padded with
-zeros. Equal rows count once; rows that share an id but not the vector are searched and found each on its own, and no
-query finds its own id. Ties go to the smaller id. An empty table gives no rows.
+zeros. Every row counts: repeated rows are found once each and searched once each, and no query finds its own id. Equal
+rows travel as one with their number, of which k can be in a result. Ties go to the smaller id. Quantised components
+and scores beyond 64 bits are the nearest 64-bit integer, and rank as such. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from placewise.llm import common as C
 
 SHARD_CELLS = 1 << 19  # components of a shard
-QUERY_CELLS = 1 << 18  # components of a block of queries
+QUERY_CELLS = 1 << 16  # components of a block of queries
 BLOCK = 2048  # vectors traversed between two updates of the threshold
 PROBE = 8  # non-essential terms probed between two checks
+LEAST, MOST = -(1 << 63), (1 << 63) - 1  # the limits of a score
 
 
 class Shard:
@@ -59,6 +61,8 @@ class Shard:
                     break
                 probed = terms[t:t + PROBE]
                 partial = partial + query[probed] @ self.postings[probed][:, part][:, at_hand]
+            if partial.dtype == object:  # ids ascend, so a score cut to the limit cannot displace an earlier one
+                partial = np.clip(partial, LEAST, MOST)
             ids, scores = np.concatenate((ids, self.ids[part][at_hand])), np.concatenate((scores, partial))
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
@@ -71,10 +75,15 @@ def exact_dtype(dims: int, *matrices: np.ndarray):
     """The fastest type in which inner products of whole numbers come out exactly."""
     bound = dims
     for m in matrices:
-        bound *= int(np.abs(m).max(initial=1))
+        bound *= max(int(m.max(initial=1)), -int(m.min(initial=-1)))
     return np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else object
 
 
+def stored_dtype(largest: int):
+    """The smallest type that holds whole numbers up to ``largest`` on either side of zero."""
+    return next((t for t in (np.int16, np.int32) if largest <= np.iinfo(t).max), np.int64)
+
+
 def quantised(col: str, scale: int = 64) -> Column:
     """floor(scale * x) of every component, computed in double."""
     return F.transform(F.col(col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
@@ -87,42 +96,51 @@ def topk_search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     fine = F.forall("raw", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.where(F.col("id").isNotNull() & F.col("raw").isNotNull() & fine).select(
         "id", quantised("raw", scale).alias("v"), F.coalesce("asks", F.lit(False)).alias("asks"))
-    rows = rows.groupBy("id", "v").agg(F.max("asks").alias("asks"))
-    count, dims = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    rows = rows.groupBy("id", "v").agg(F.max("asks").alias("asks"), F.count("*").alias("n"))
+    # -(x + 1) for a negative x: the smallest integer has no opposite
+    sizes = F.array_max(F.transform("v", lambda x: F.when(x < 0, -(x + 1)).otherwise(x)))
+    count, asked, dims, largest = rows.agg(
+        F.count("*"), F.count_if("asks"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(sizes), F.lit(0))).first()
     dims = max(dims, 1)
     n_shards = max(1, -(-count * dims // SHARD_CELLS))
-    n_blocks = max(1, -(-count * dims // QUERY_CELLS))  # were every row a query; a block of few queries costs little
-    packed = "part int, ids binary, vectors binary"
+    n_blocks = max(1, -(-asked * dims // QUERY_CELLS))
+    small = stored_dtype(largest)
+    packed = "part int, ids binary, copies binary, vectors binary"
     salt = F.xxhash64("id", "v")
 
     def pack(table: pa.Table) -> pa.Table:
         lists = table.column("v").combine_chunks()
         lengths = lists.value_lengths().to_numpy()
-        matrix = np.zeros((table.num_rows, dims), np.int64)
+        matrix = np.zeros((table.num_rows, dims), small)
         matrix[np.repeat(np.arange(table.num_rows), lengths), C.ranges(lengths)] = lists.flatten().to_numpy()
+        ids = table.column("id").to_numpy()
+        order = np.lexsort((*matrix.T, ids))  # a recomputed block numbers its queries in the same way
+        columns = {"ids": ids[order], "copies": table.column("n").to_numpy()[order], "vectors": matrix[order]}
         return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()),
-                         "ids": [table.column("id").to_numpy().tobytes()], "vectors": [matrix.tobytes()]})
+                         **{c: [x.tobytes()] for c, x in columns.items()}})
 
     def matrices(batch, side):
-        for ids, vectors in zip(batch.column(side + "ids").to_pylist(), batch.column(side + "vectors").to_pylist()):
-            yield np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int64).reshape(-1, dims)
+        ids, copies, vectors = (batch.column(side + c)[0].as_py() for c in ("ids", "copies", "vectors"))
+        return np.frombuffer(ids, np.int64), np.frombuffer(copies, np.int64), np.frombuffer(vectors, small).reshape(-1, dims)
 
     def search(batches):
         for batch in batches:
             for at in range(batch.num_rows):
                 cell = batch.slice(at, 1)
-                (q_ids, queries), = matrices(cell, "q_")
-                (ids, vectors), = matrices(cell, "")
+                q_ids, q_copies, queries = matrices(cell, "q_")
+                ids, copies, vectors = matrices(cell, "")
                 kind = exact_dtype(dims, queries, vectors)
-                shard, out = Shard(ids, vectors.astype(kind)), []
+                held = np.repeat(np.arange(len(ids)), np.minimum(copies, k))
+                shard, out = Shard(ids[held], vectors[held].astype(kind)), []
                 for no, (q_id, query) in enumerate(zip(q_ids.tolist(), queries.astype(kind))):
                     found, scores = shard.search(q_id, query, k)
-                    out.append((np.full(len(found), q_id), np.full(len(found), no), found, scores.astype(np.int64)))
+                    out.append((np.full(len(found), q_id), np.full(len(found), no), np.full(len(found), q_copies[no]),
+                                found, scores.astype(np.int64)))
                 if out:
-                    q, no, found, scores = (np.concatenate(x) for x in zip(*out))
+                    q, no, times, found, scores = (np.concatenate(x) for x in zip(*out))
                     part = np.full(len(q), cell.column("q_part")[0].as_py())
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (q, part, no, found, scores)],
-                                                     ["query_id", "part", "no", "vec_id", "score"])
+                    columns = {"query_id": q, "part": part, "no": no, "times": times, "vec_id": found, "score": scores}
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns.values()], list(columns))
 
     shards = rows.withColumn("part", F.pmod(salt, F.lit(n_shards)).cast("int")).drop("asks")
     shards = shards.groupBy("part").applyInArrow(pack, packed)
@@ -130,9 +148,10 @@ def topk_search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     blocks = blocks.groupBy("part").applyInArrow(pack, packed)
     # every block of queries goes to every shard: the stated query set against all rows
     sent = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"),
-                         *(F.col(c).alias("q_" + c) for c in ("part", "ids", "vectors")))
-    cells = sent.join(shards, sent.shard == shards.part)
-    best = cells.mapInArrow(search, "query_id long, part long, no long, vec_id long, score long")
+                         *(F.col(c).alias("q_" + c) for c in ("part", "ids", "copies", "vectors")))
+    cells = sent.repartition(4 * n_shards, "shard").join(shards, F.col("shard") == F.col("part"))
+    best = cells.mapInArrow(search, "query_id long, part long, no long, times long, vec_id long, score long")
     order = Window.partitionBy("query_id", "part", "no").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", F.col("rank").cast("int"), "vec_id", "score")
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
+    return best.withColumn("copy", copies).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -9,12 +9,13 @@ from placewise.llm import maxscore as M
 
 def brute(rows, asks, k, scale=64):
     dims = max((len(v) for _, v in rows if v), default=0)
-    usable = {(i, tuple(math.floor(scale * x) for x in v) + (0,) * (dims - len(v))) for i, v in rows
-              if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    cut = lambda x: min(max(x, -2**63), 2**63 - 1)
+    usable = [(i, tuple(cut(math.floor(scale * x)) for x in v) + (0,) * (dims - len(v))) for i, v in rows
+              if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, a in usable:
         if asks(q):
-            found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in usable if i != q)[:k]
+            found = sorted((-cut(sum(x * y for x, y in zip(a, b))), i) for i, b in usable if i != q)[:k]
             out += [(q, n, i, -s) for n, (s, i) in enumerate(found, 1)]
     return sorted(out)
 
@@ -34,6 +35,23 @@ def test_ties_nulls_and_repeats(spark):
     assert search(df) == brute(rows, lambda i: i % 3 == 0, 5)
 
 
+def test_repeated_rows_count_each(spark):
+    rows = [(20, [0.5]), (1, [0.5]), (1, [0.5]), (2, [0.25]), (3, [0.501]), (3, [0.502])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(tuple(r) for r in M.topk_search(df, F.col("vec_id") % 20 == 0).collect())
+    assert got == brute(rows, lambda i: i % 20 == 0, 20) and len(got) == 5
+    hot = [(7, [1.0])] * 400 + [(3, [0.5])] * 3 + [(9, [2.0])]
+    assert search(spark.createDataFrame(hot, SCHEMA)) == brute(hot, lambda i: i % 3 == 0, 5)
+
+
+def test_huge_components(spark):
+    big, top = 1e30, [1e18, -1e18]
+    rows = [(0, [big, 1.0]), (1, [big, 0.0]), (2, [-big, 3.0]), (3, [0.5, 0.5]), (4, [big, 9.0]), (6, top), (7, top), (8, [1e300, 0.0]),
+            (9, [-1e300, -5.0])]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4)
+    assert got == brute(rows, lambda i: i % 3 == 0, 4)
+
+
 @pytest.mark.parametrize("shard, block, queries", [(40, 7, 30), (1 << 19, 2048, 1 << 18)])
 def test_many_shards_and_blocks(spark, monkeypatch, shard, block, queries):
     monkeypatch.setattr(M, "SHARD_CELLS", shard * 8)
