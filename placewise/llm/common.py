@@ -93,8 +93,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 class RangeHash:
     """64-bit polynomial hashes of byte ranges of one buffer, all ranges at once.
 
-    Two different ranges of a chunk agree with a chance of about 2**-64 per pair. The modulus is 2**64, where odd
-    factors have inverses, so a range's hash comes from two prefix sums.
+    The modulus is 2**64, where odd factors have inverses, so a range's hash comes from two prefix sums. Equal ranges
+    have equal hashes; the reverse can fail for texts made to that end, so who needs equality compares the bytes behind
+    equal hashes (``same_ranges``).
     """
 
     FACTOR = 0x9E3779B97F4A7C15 | 5
@@ -157,6 +158,40 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return twice, again
 
 
+def same_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
+    """A number for each range of ``data``: two have the same number exactly if their values and their keys are equal.
+
+    ``keys`` must be equal for equal ranges that may share a number. Each range is compared with the first one of its
+    key, ``at_once`` values at a time; ranges that differ from it are told apart by their values themselves.
+    """
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    head = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(keys) else np.empty(0, np.int64)
+    group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(keys))))
+    number = np.empty(len(keys), np.int64)
+    number[order] = group
+    first = np.empty(len(keys), np.int64)
+    first[order] = order[head][group]
+    length = end - start
+    other = length != length[first]
+    todo = np.flatnonzero((first != np.arange(len(keys))) & ~other)
+    total = np.concatenate(([0], np.cumsum(length[todo])))
+    for low in range(0, int(total[-1]), at_once):  # a long range is compared in several parts
+        high = min(low + at_once, int(total[-1]))
+        a, b = np.searchsorted(total, low, side="right") - 1, np.searchsorted(total, high, side="left")
+        which = todo[a:b]
+        skip, stop = np.maximum(low - total[a:b], 0), np.minimum(high - total[a:b], length[which])
+        inside = ranges(stop - skip) + np.repeat(skip, stop - skip)
+        member = np.repeat(which, stop - skip)
+        differ = data[start[member] + inside] != data[start[first[member]] + inside]
+        other[member[differ]] = True
+    if other.any():
+        known: dict[tuple, int] = {}
+        for i in np.flatnonzero(other).tolist():
+            number[i] = known.setdefault((int(number[i]), data[start[i]:end[i]].tobytes()), len(head) + len(known))
+    return number
+
+
 def lookup_sorted(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the keys in an ascending array, and whether they are there."""
     if not len(table):

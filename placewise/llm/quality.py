@@ -1,7 +1,8 @@
 """Quality rules on repetition: how many characters lie inside duplicated word n-grams and duplicated lines.
 
 Words are runs of bytes other than ASCII white space. All texts of a chunk are handled at once in numpy: word hashes
-come from prefix sums, n-gram hashes roll over the word hashes, and equal hashes of one text are found by sorting.
+come from prefix sums, n-gram hashes roll over the numbers of the words, and equal hashes of one text are found by sorting.
+Behind equal hashes the words, lines and n-grams themselves are compared, so none count as equal that are not.
 Longer n-grams are only looked for where a shorter one already repeats.
 
 Nulls count as empty texts: no words, ``base_failed``. Repeated rows give repeated results.
@@ -59,7 +60,7 @@ def measures(texts: pa.Array, limits: dict[int, float] = MAX_NGRAM_SHARE) -> dic
     out["dup_line_char_share"] = C.per_row(line_row[line_again], n, line_chars[line_again]) / np.maximum(
         out["word_chars"], 1)
 
-    word = hashes.of(start, end)
+    word = C.same_ranges(data, start, end, hashes.of(start, end))  # equal words have equal numbers
     failed = out["dup_line_char_share"] > MAX_DUP_LINE_CHARS
     worst, worst_share = np.zeros(n, np.int32), np.zeros(n)
     at = np.arange(len(word))
@@ -68,8 +69,11 @@ def measures(texts: pa.Array, limits: dict[int, float] = MAX_NGRAM_SHARE) -> dic
         at = at[row[at] == row[np.minimum(at + size - 1, len(word) - 1)]]
         gram = row[at].astype(np.uint64)
         for j in range(size):
-            gram = gram * FOLD + word[at + j]
-        twice, _ = C.repeated(C.mix(gram))
+            gram = gram * FOLD + C.mix(word[at + j])
+        twice, _ = C.repeated(gram)
+        at, gram = at[twice], gram[twice]
+        # windows of two texts are never equal
+        twice, _ = C.repeated(C.same_ranges(word, at, at + size, C.mix(gram)) * n + row[at])
         at = at[twice]
         edge = np.zeros(len(word) + 1, np.int64)
         np.add.at(edge, at, 1)
@@ -96,5 +100,8 @@ def _lines(data, offsets, hashes, start, row, chars) -> tuple[np.ndarray, ...]:
     ends = ends - (data[ends - 1] == 10) if len(begins) else ends
     line = np.searchsorted(begins, start, side="right") - 1
     used, first, which = np.unique(line, return_index=True, return_inverse=True)
-    key = C.mix(hashes.of(begins[used], ends[used]) + C.mix(row[first]))
-    return C.repeated(key)[1], row[first], np.bincount(which, weights=chars, minlength=len(used))
+    begins, ends = begins[used], ends[used]
+    key = C.mix(hashes.of(begins, ends) + C.mix(row[first]))
+    again = C.repeated(key)[0]
+    again[again] = C.repeated(C.same_ranges(data, begins[again], ends[again], key[again]) * len(offsets) + row[first][again])[1]
+    return again, row[first], np.bincount(which, weights=chars, minlength=len(used))

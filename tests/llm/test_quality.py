@@ -1,10 +1,11 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from placewise.llm import quality as Q
+from placewise.llm import common as C, quality as Q
 
 
 def words_of(text):
@@ -62,3 +63,29 @@ def test_texts_do_not_mix():
 def test_overlapping_windows():
     text = " ".join("abcdefgh") + " " + " ".join("abcdefgh" * 2) + " " + " ".join(f"w{i}" for i in range(30))
     assert Q.measures(pa.array([text]))["n_repeat_words"][0] == brute(text)[4] == 24
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_equal_hashes_are_no_proof():
+    """Two lines, or words, whose polynomials modulo 2**64 agree for every odd factor."""
+    x, y = thue_morse(4096), thue_morse(4096, "b", "a")
+    words = " ".join(f"w{i}" for i in range(30))
+    texts = [f"{x}\n{y}", f"{x}\n{y}\n{y}\n{x}", " ".join([f"{x} a b c d e f g", f"{y} a b c d e f g", words])]
+    out = Q.measures(pa.array(texts))
+    assert out["n_dup_lines"].tolist() == [0, 2, 0]
+    assert out["n_repeat_words"].tolist() == [brute(t)[4] for t in texts] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("at_once", [1, 3, 1 << 20])
+def test_ranges_behind_equal_keys(at_once):
+    words = [b"aa", b"ab", b"aa", b"", b"abc", b"ab", b"", b"ba", b"aa"]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    start = end - [len(w) for w in words]
+    for keys in (np.zeros(9, np.uint64), np.array([len(w) for w in words]), np.array([hash(w) for w in words])):
+        got = C.same_ranges(data, start, end, keys, at_once)
+        assert [[a == b for b in got] for a in got] == [[a == b for b in words] for a in words]
+    assert not len(C.same_ranges(data, start[:0], end[:0], start[:0]))
