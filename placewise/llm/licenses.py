@@ -47,6 +47,26 @@ NOTICES = {
     "cc by nc nd 4 0": "cc-by-nc-nd-4.0",
     "all rights reserved": "reserved",
 }
+# Identifiers of the public SPDX licence list and its exceptions in common use, in lower case.
+IDENTIFIERS = frozenset("""
+0bsd aal afl-1.1 afl-1.2 afl-2.0 afl-2.1 afl-3.0 agpl-1.0-only agpl-1.0-or-later agpl-3.0 agpl-3.0-only agpl-3.0-or-later
+apache-1.0 apache-1.1 apache-2.0 apsl-2.0 artistic-1.0 artistic-2.0 beerware blueoak-1.0.0 bsd-1-clause bsd-2-clause
+bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-3-clause-lbnl bsd-4-clause bsd-4-clause-uc bsl-1.0 busl-1.1
+cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-1.0 cc-by-nc-2.0 cc-by-nc-3.0 cc-by-nc-4.0 cc-by-nc-nd-3.0
+cc-by-nc-nd-4.0 cc-by-nc-sa-3.0 cc-by-nc-sa-4.0 cc-by-nd-3.0 cc-by-nd-4.0 cc-by-sa-1.0 cc-by-sa-2.0 cc-by-sa-2.5
+cc-by-sa-3.0 cc-by-sa-4.0 cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.1 cecill-b cecill-c cpal-1.0 cpl-1.0 curl ecl-2.0 efl-2.0
+epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 ftl gfdl-1.1-only gfdl-1.2-only gfdl-1.3-only gfdl-1.3-or-later gpl-1.0 gpl-1.0-only
+gpl-1.0-or-later gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later hpnd icu ijg ipl-1.0 isc
+lgpl-2.0 lgpl-2.0-only lgpl-2.0-or-later lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only
+lgpl-3.0-or-later libpng libpng-2.0 lppl-1.3c mit mit-0 mit-modern-variant mpl-1.0 mpl-1.1 mpl-2.0
+mpl-2.0-no-copyleft-exception ms-pl ms-rl mulanpsl-2.0 naist-2003 ncsa nist-pd odbl-1.0 ofl-1.0 ofl-1.1 openssl osl-1.0
+osl-2.0 osl-2.1 osl-3.0 pddl-1.0 php-3.0 php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby sgi-b-2.0 sleepycat spl-1.0
+sspl-1.0 tcl unicode-3.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11 xnet zlib zpl-2.0 zpl-2.1
+autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 classpath-exception-2.0 font-exception-2.0
+gcc-exception-3.1 linux-syscall-note llvm-exception openvpn-openssl-exception qt-gpl-exception-1.0
+""".split())
+OWN = ("licenseref-", "documentref-")  # fixed values: how the list lets a text name a licence of its own
+UNKNOWN = "unknown"
 TAG = "spdx license identifier"
 # from a tag to the next one or the end of its line; quotes around the tag or the expression do not count
 TAG_START = rb"spdx-license-identifier[\"'`]?\s*:"
@@ -57,7 +77,7 @@ PERMISSIVE = {"mit", "mit-notice", "mit-0", "apache-2.0", "apache", "bsd", "bsd-
               "bsl-1.0", "cc0-1.0", "cc-by-4.0", "unlicense", "zlib"}
 RANK = {"or": 1, "and": 2, "with": 3}
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-TAG_SCORE, NOTICE_SCORE, BASE_SCORE = 1.0, 0.9, 0.6
+TAG_SCORE, NOTICE_SCORE, BASE_SCORE, UNKNOWN_SCORE = 1.0, 0.9, 0.6, 0.3
 
 
 @dataclass(frozen=True)
@@ -117,20 +137,31 @@ def evaluate(expression: str) -> Terms | None:
     return values[0]
 
 
+def identified(token: str) -> str:
+    """The token if it is a licence or an exception of the list, or of the text's own; else ``unknown``."""
+    return token if token.removesuffix("+") in IDENTIFIERS or token.startswith(OWN) else UNKNOWN
+
+
 def leading(line: str) -> Terms | None:
     """Value of the longest expression that ``line`` begins with, or null if there is none.
 
     It ends before the first token that cannot continue it, or with a full stop. A line that breaks off inside an
-    expression (after an operator, in brackets) is malformed as a whole.
+    expression (after an operator, in brackets) is malformed as a whole. What is no identifier is ``unknown``; behind an
+    operator a word of letters alone, with more text after it, is taken for running text, which ends the expression.
     """
     tokens: list[str] = []
     at = depth = whole = 0  # ``whole`` tokens are well-formed
     operand_next = True
     while m := WHOLE_TOKEN.match(line, at):
         token = m[1].rstrip(".:-")
+        stopped = token != m[1]
         if token == "(" or token not in RANK and token != ")":
             if not operand_next:
                 break
+            if token != "(" and identified(token) == UNKNOWN:
+                if tokens and token.isalpha() and line[m.end():].strip(" \t)"):
+                    break
+                token = UNKNOWN
             depth += token == "("
             operand_next = token == "("
         elif operand_next or token == ")" and not depth:
@@ -142,7 +173,7 @@ def leading(line: str) -> Terms | None:
         if not operand_next and not depth:
             whole = len(tokens)
         at = m.end()
-        if token != m[1]:
+        if stopped:
             break
     if not line[at:].strip() and whole < len(tokens):
         return None
@@ -185,11 +216,10 @@ def scan(text: bytes, finder: ahocorasick.Automaton) -> tuple:
     if tagged:
         terms = [t for t in (leading(_expression(m)) for m in TAG_LINE.findall(text)) if t]
         for t in terms:
-            labels |= t.labels
-            score = TAG_SCORE
-    permissive = None
-    if labels:
-        permissive = all(t.permissive for t in terms) if terms else labels - {"gpl"} <= PERMISSIVE and "gpl" not in labels
+            score = max(score, TAG_SCORE if t.labels - {UNKNOWN} else UNKNOWN_SCORE)
+    permissive = labels <= PERMISSIVE and all(t.permissive for t in terms)  # notices and expressions alike
+    labels = labels.union(*(t.labels for t in terms))
+    permissive = permissive if labels else None
     return (len(words), len(starts), starts[0] if starts else None, starts[-1] if starts else None,
             ",".join(sorted(base)), ",".join(sorted(labels)), score, ";".join(sorted({t.text for t in terms})),
             permissive)
@@ -204,8 +234,10 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  notices: dict[str, str] | None = None) -> DataFrame:
     """One row per document: words, places of base phrases, base and all labels (sorted, comma-joined), a score.
 
-    ``score`` is 1 for a well-formed expression behind an identifier tag, 0.9 for a notice, 0.6 for a base phrase alone,
-    else 0. ``expressions`` has the evaluated expressions, fully bracketed; ``permissive`` is null without a label.
+    ``score`` is 1 for a well-formed expression with a licence of the list behind an identifier tag, 0.9 for a notice, 0.6
+    for a base phrase alone, 0.3 for a tag that names no licence of the list (label ``unknown``), else 0. ``expressions``
+    has the evaluated expressions, fully bracketed. ``permissive`` holds if every notice and every expression can be met by
+    permissive licences alone; it is null without a label.
     """
     phrases = (BASE if base is None else base, NOTICES if notices is None else notices)
     names = [part.split()[0] for part in SCHEMA.split(",")][1:]

@@ -82,4 +82,23 @@ def test_tags_among_other_text(text, spelled):
 
 def test_long_lines_are_read_once():
     text = b"SPDX-License-Identifier: MIT and so on, " * 20000 + b"x " * 500000
-    assert L.scan(text, L.automaton(L.BASE, L.NOTICES))[7] == "(mit and so)"
+    assert L.scan(text, L.automaton(L.BASE, L.NOTICES))[7] == "mit"
+    text = b"SPDX-License-Identifier: " + b"mit and " * 200000 + b"isc"
+    assert L.scan(text, L.automaton(L.BASE, L.NOTICES))[5] == "isc,mit"
+
+
+@pytest.mark.parametrize("text, labels, score, spelled, permissive", [
+    ("SPDX-License-Identifier: MIT\nGNU General Public License version 3", "gpl,gpl-3.0,mit", 1.0, "mit", False),
+    ("SPDX-License-Identifier: GPL-2.0-only OR MIT\nMIT License", "gpl-2.0-only,mit", 1.0, "(gpl-2.0-only or mit)", True),
+    ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: MPL-2.0", "mit,mpl-2.0", 1.0, "mit;mpl-2.0", False),
+    ("SPDX-License-Identifier: see license", "unknown", 0.3, "unknown", False),
+    ("SPDX-License-Identifier: see license. MIT license", "mit,unknown", 0.6, "unknown", False),
+    ("SPDX-License-Identifier: MIT AND Acme-1.0", "mit,unknown", 1.0, "(mit and unknown)", False),
+    ("SPDX-License-Identifier: MIT AND proprietary", "mit,unknown", 1.0, "(mit and unknown)", False),
+    ("SPDX-License-Identifier: MIT or so they say", "mit", 1.0, "mit", True),
+    ("SPDX-License-Identifier: LicenseRef-Acme OR ISC", "isc,licenseref-acme", 1.0, "(licenseref-acme or isc)", True),
+    ("SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0", "classpath-exception-2.0,gpl-2.0+", 1.0,
+     "(gpl-2.0+ with classpath-exception-2.0)", False)])
+def test_findings_together(text, labels, score, spelled, permissive):
+    found = L.scan(text.encode(), L.automaton(L.BASE, L.NOTICES))
+    assert found[5:] == (labels, score, spelled, permissive)
