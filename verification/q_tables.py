@@ -8,6 +8,8 @@ from placewise.operators import (
     topk as TK,
 )
 from placewise.plans import pipelines
+from placewise.session import shared_dir
+from placewise.sources import buckets
 from verification.catalog import query, rounded
 
 FILTERS = dict(city="NATION_3", price_levels=[1, 2, 3], rating_range=(2.5, 4.5), keyword="customer#0+[1-9]")
@@ -306,6 +308,19 @@ def upsert_lines_small_batch(t):
     return _upsert(t, True)
 
 
+@query(UPSERT)
+def upsert_lines_buckets(t):
+    """The store in buckets of its key; the batch rewrites the buckets that it touches."""
+    batch = W.latest_per_key(t.lineitem.where("l_linestatus = 'F'"), KEYS, ORDER)
+    batch = batch.withColumn("l_extendedprice", F.when(F.col("l_discount") > 0, F.col("l_extendedprice")))
+    path = shared_dir(t.spark, "buckets")
+    name = "store_" + path.rsplit("-", 1)[1]
+    buckets.create_buckets(_store(t), name, path, KEYS, 32)
+    buckets.upsert_buckets(t.spark, name, path, batch, KEYS, 32, ["l_quantity", "l_extendedprice"], ORDER,
+                           touch={"l_linestatus": F.lit("touched")})
+    return buckets.read_buckets(t.spark, name).select(*SHOW)
+
+
 @query(f"""with a as (select * from ({LINES.format(order=LAST, status='O')}) x where rn = 1),
   b as (select * from ({LINES.format(order=FIRST, status='F')}) x where rn = 1)
   select {', '.join(SHOW)} from a union all
