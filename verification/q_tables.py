@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from placewise import constants as K, functions as X
 from placewise.operators import (
-    aggregates as A, charts, explode as E, filters as P, keyed as W, metrics as M, quantiles as Q, split as SP,
+    aggregates as A, cells, charts, explode as E, filters as P, keyed as W, metrics as M, quantiles as Q, split as SP,
     topk as TK,
 )
 from placewise.plans import pipelines
-from placewise.session import shared_dir
+from placewise.session import shared_dir, stage
 from placewise.sources import buckets
 from verification.catalog import query, rounded
 
@@ -131,6 +131,24 @@ def kpis_filtered(t):
     return A.kpis(P.filter_places(serving(t), price_levels=[1, 2, 3], rating_range=(2.5, 4.5)))
 
 
+@query("""select count(*) places, avg(rating) avg_rating, avg(user_ratings_total) avg_reviews,
+            count(distinct city) cities from serving
+          where price_level in (1, 2, 3) and rating between 2.5 and 4.5""")
+def kpis_from_cells(t):
+    """The filter meets staged cells, not the places."""
+    cut = cells.cell_sums(serving(t), ["city", "price_level", "rating"], ["rating", "user_ratings_total"])
+    return cells.kpis_of_cells(P.filter_places(stage(cut, "cells"), price_levels=[1, 2, 3], rating_range=(2.5, 4.5)))
+
+
+@query("""select l_returnflag, count(distinct l_partkey) distinct_count from lineitem
+          where l_linestatus = 'F' and l_linenumber in (2, 3) group by 1""")
+def distinct_parts_from_cells(t):
+    """Distinct parts per flag for one filter, from staged bitmaps of all cells."""
+    cut = cells.cell_bitmaps(t.lineitem, ["l_returnflag", "l_linestatus", "l_linenumber"], "l_partkey")
+    cut = stage(cut, "cells").where("l_linestatus = 'F' and l_linenumber in (2, 3)")
+    return cells.distinct_of_cells(cut, ["l_returnflag"])
+
+
 @query("""select rating, count(*) "count" from serving group by rating""")
 def rating_counts(t):
     return A.value_counts(serving(t), "rating", sort="value")
