@@ -89,9 +89,8 @@ def read_yield(spark: SparkSession, log: str, existing: DataFrame | None = None,
     if existing is not None:
         stored = _named(existing, region, key).where("key <> ''").distinct().groupBy("region").agg(
             F.count("*").alias("new_keys"))
-        here = rows.select("region").distinct()
-        rows = rows.unionByName(stored.join(here, "region", "left_semi").select(
-            "region", F.lit(0).cast("bigint").alias("point_no"), F.lit(0).cast("bigint").alias("got"), "new_keys"))
+        zero = F.lit(0).cast("bigint")  # the store is point 0: part of the total, not a point of the crawl
+        rows = rows.unionByName(stored.select("region", zero.alias("point_no"), zero.alias("got"), "new_keys"))
     return running_total(rows, ["region"], "point_no", "new_keys", "total").where("point_no > 0")
 
 
