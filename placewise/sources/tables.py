@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from placewise.sources.json_rows import column_places, read_split
+
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
@@ -120,18 +122,16 @@ def read_header_rows_json(spark: SparkSession, path: str, columns: list[str], wh
     """``[[name, ...], [value, ...], ...]`` documents to a table of text columns.
 
     ``columns`` are looked up in each document's own first row; a document that lacks one fails the query.
-    A document is a file (API answers are landed one per file) or, with ``whole_file=False``, a line.
+    A document is a file (API answers are landed one per file), read in ranges however large it is, or, with
+    ``whole_file=False``, a line.
     """
-    return header_rows(spark.read.text(path, wholetext=whole_file), "value", columns)
+    if whole_file:
+        return read_split(spark, path, columns)
+    return header_rows(spark.read.text(path), "value", columns)
 
 
 def header_rows(df: DataFrame, col: str, columns: list[str]) -> DataFrame:
     table = df.select(F.from_json(F.col(col), "array<array<string>>").alias("t")).where("t is not null")
-    header = F.get("t", F.lit(0))
-    places = []
-    for name in columns:
-        at = F.array_position(header, name)
-        missing = F.raise_error(F.lit(f"the header has no column {name}")).cast("int")
-        places.append(F.when(at > 0, (at - 1).cast("int")).otherwise(missing))
-    rows = table.select(F.array(*places).alias("at"), F.posexplode("t").alias("row_no", "row")).where("row_no > 0")
+    at = column_places(F.get("t", F.lit(0)), columns)
+    rows = table.select(at.alias("at"), F.posexplode("t").alias("row_no", "row")).where("row_no > 0")
     return rows.select(*[F.get("row", F.get("at", F.lit(i))).alias(name) for i, name in enumerate(columns)])
