@@ -83,7 +83,39 @@ def op9_packing(documents):
     return packing.pack_batches(documents)
 
 
-@query("documents")
+@query("documents", r"""
+    with d as (
+      select row_number() over () id, doc_id, coalesce(text, '') t,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+    wl as (select id, x, y, length(y) c from (select id, unnest(range(1, len(w) + 1)) x, unnest(w) y from d)),
+    a as (select id, cast(sum(c) as bigint) chars from wl group by id),
+    l as (select id, unnest(string_split(t, chr(10))) s, unnest(range(len(string_split(t, chr(10))))) k from d),
+    ll as (
+      select id, coalesce(list_sum(list_transform(regexp_extract_all(s, '[^\x20\x09-\x0D]+'), lambda y: length(y))), 0) c,
+             row_number() over (partition by id, s order by k) again from l where regexp_matches(s, '[^\x20\x09-\x0D]')),
+    dl as (select id, count(*) n, cast(sum(c) as bigint) chars from ll where again > 1 group by id),
+    m as (select unnest([5, 6, 7, 8, 9, 10]) n, unnest([0.25, 0.24, 0.23, 0.22, 0.21, 0.20]::double[]) most),
+    ten as (
+      select id, x, [y, lead(y, 1) over o, lead(y, 2) over o, lead(y, 3) over o, lead(y, 4) over o, lead(y, 5) over o,
+        lead(y, 6) over o, lead(y, 7) over o, lead(y, 8) over o, lead(y, 9) over o] ten
+      from wl window o as (partition by id order by x)),
+    g as (select id, n, x k, array_to_string(ten[:n], ' ') g from ten, m where ten[n] is not null),
+    r as (select id, n, k from g qualify count(*) over (partition by id, n, g) > 1),
+    c as (select distinct id, n, unnest(range(k, k + n)) x from r),
+    s as (
+      select id, n, count(*) words, cast(sum(wl.c) as bigint) / any_value(a.chars) share
+      from c join wl using (id, x) join a using (id) group by id, n),
+    v as (
+      select id, coalesce(max(words) filter (n = 8), 0) repeated, bool_or(share > most) above,
+             first(n order by share desc, n) worst, max(share) worst_share from s join m using (n) group by id),
+    o as (
+      select doc_id, len(w) n_words, coalesce(a.chars, 0) word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols,
+             coalesce(dl.n, 0) n_dup_lines, coalesce(repeated, 0) n_repeat_words,
+             coalesce(dl.chars, 0) / greatest(coalesce(a.chars, 0), 1) dup_line_char_share, coalesce(above, false) above,
+             cast(coalesce(worst, 0) as integer) worst_ngram, cast(coalesce(worst_share, 0) as double) worst_ngram_share
+      from d left join a using (id) left join dl using (id) left join v using (id))
+    select * exclude (above), n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed,
+           not (n_words < 20 or 100 * n_repeat_words > 30 * n_words or above or dup_line_char_share > 0.20::double) kept from o""")
 def op10_quality_rules(documents):
     return quality.quality_rules(documents)
 
