@@ -19,9 +19,11 @@ from math import exp, factorial
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from placewise.constants import SEED
+from placewise.plans.ranges import with_bucket
 from placewise.session import stage
 
 BLOCK = 1 << 16  # distinct values of a feature whose order is made in one task
+CUT_BASE = 16  # parts that a step of the search for a block tells apart
 STEPS = 6  # levels that scoring walks in one job
 BAG = [sum(exp(-1) / factorial(i) for i in range(k + 1)) for k in range(12)]  # Poisson(1): chance of at most k copies
 
@@ -106,17 +108,21 @@ def _unit(*parts) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
 
 
-def _cut_points(rows: DataFrame, n_features: int) -> Column:
-    """For each feature the points that cut its distinct values into blocks, as a one-row subquery."""
+def _cut_points(rows: DataFrame, n_features: int) -> tuple[Column, int]:
+    """For each feature the points that cut its distinct values into blocks, as a one-row subquery, and how many steps
+    of a search among ``CUT_BASE`` find a value's place."""
     n_blocks = rows.count() // BLOCK + 1
     shares = [i / n_blocks for i in range(1, n_blocks)]
     if not shares:
-        return F.array(*[F.array().cast("array<double>") for _ in range(n_features)])
+        return F.array(*[F.array().cast("array<double>") for _ in range(n_features)]), 1
+    levels = 1
+    while CUT_BASE ** levels < n_blocks:
+        levels += 1
     points = rows.agg(F.array(*[F.array_distinct(F.percentile_approx(F.get("x", F.lit(i)), shares)) for i in range(n_features)]))
-    return stage(points.toDF("cuts"), "tree_cuts").scalar()
+    return stage(points.toDF("cuts"), "tree_cuts").scalar(), levels
 
 
-def _level(rows: DataFrame, n_features: int, cuts: Column, weights: list[float], max_features: int | None, seed: int,
+def _level(rows: DataFrame, n_features: int, cuts: tuple[Column, int], weights: list[float], max_features: int | None, seed: int,
            last: bool) -> DataFrame:
     """The nodes that the rows stand in, with their best split."""
     ends = F.array(*[F.struct(F.lit(i).alias("feature"), F.min(F.get("x", F.lit(i))).alias("lo"),
@@ -132,19 +138,22 @@ def _level(rows: DataFrame, n_features: int, cuts: Column, weights: list[float],
     leaf = nodes.select(*NODE, "n0", "n1", share.alias("share"),
                         F.when((F.col("n0") > 0) & (F.col("n1") > 0) & F.lit(not last), open_features)
                         .otherwise(F.array().cast("array<int>")).alias("tried"))
-    best = _best_cuts(rows, leaf.where(F.size("tried") > 0).select(*NODE, "tried"), cuts, weights)
+    # written, its size is known: few nodes are sent to the rows, which would else all move to the task of their node
+    leaf = stage(leaf, "tree_open")
+    best = _best_cuts(rows, leaf.where(F.size("tried") > 0).select(*NODE, "tried"), *cuts, weights)
     numbered = best.withColumn("i", F.row_number().over(Window.partitionBy("tree").orderBy("node")).cast("long"))
     numbered = numbered.select(*NODE, "feature", "threshold", (2 * F.col("i")).alias("left"), (2 * F.col("i") + 1).alias("right"))
     return leaf.drop("tried").join(numbered, NODE, "left")
 
 
-def _best_cuts(rows: DataFrame, nodes: DataFrame, cuts: Column, weights: list[float]) -> DataFrame:
+def _best_cuts(rows: DataFrame, nodes: DataFrame, cuts: Column, cut_levels: int, weights: list[float]) -> DataFrame:
     """tree, node, feature and threshold of the cut with the least impurity on its two sides."""
     tried = rows.join(nodes, NODE).select(*NODE, "label", "n", "x", F.explode("tried").alias("feature"))
-    tried = tried.select(*NODE, "feature", F.get("x", F.col("feature")).alias("value"), "label", "n").withColumn("cuts", cuts)
-    block = F.size(F.filter(F.get("cuts", F.col("feature")), lambda c: c < F.col("value")))
+    tried = tried.withColumn("all_cuts", cuts).select(
+        *NODE, "feature", F.get("x", F.col("feature")).alias("value"), "label", "n", F.get("all_cuts", F.col("feature")).alias("cuts"))
+    tried = with_bucket(tried, "value", "cuts", CUT_BASE, cut_levels, "block").drop("cuts")
     cell = [*NODE, "feature"]
-    values = tried.groupBy(*cell, block.alias("block"), "value").agg(
+    values = tried.groupBy(*cell, "block", "value").agg(
         *[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)])
     blocks = values.groupBy(*cell, "block").agg(F.sum("n0").alias("b0"), F.sum("n1").alias("b1"), F.min("value").alias("first"))
     order = Window.partitionBy(*cell).orderBy("block")

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -105,3 +106,26 @@ def test_forest(spark):
     scored = {r.id: r.probability_1 for r in model.score(frame(spark, new), "id").collect()}
     right = sum((scored[i] > 0.5) == y for i, (_, y) in enumerate(new))
     assert right > 180
+
+
+def test_rows_of_the_root_stay_spread(spark):
+    """The best cuts of few nodes are found where the rows lie: they are not all sent to the task of their node."""
+    rows = T.stage(frame(spark, noisy(400, 5)).selectExpr("y label", "array(a, b, c) x", "0 tree", "1L node", "1L n"), "rows")
+    plans, made = [], T._best_cuts
+    T._best_cuts = lambda *a: plans.append(made(*a)) or plans[-1]
+    try:
+        T._level(rows, 3, T._cut_points(rows, 3), [1.0, 1.0], None, 1, False)
+    finally:
+        T._best_cuts = made
+    text = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert any("tree_open" in f for f in plans[0].inputFiles()) and "BroadcastHashJoin [tree" in text
+    assert not [keys for keys in re.findall(r"SortMergeJoin \[([^]]*)\]", text) if keys.count("#") == 2]
+
+
+def test_places_among_many_cuts(spark, monkeypatch):
+    """More blocks than one step of the search tells apart, and features with fewer values than blocks."""
+    monkeypatch.setattr(T, "BLOCK", 3)
+    monkeypatch.setattr(T, "CUT_BASE", 4)
+    rows = noisy(300, 6)
+    model = T.fit_exact_trees(frame(spark, rows), "y", FEATURES, "id", max_levels=1)
+    assert nested(model)[:4] == grow(rows)[:4]
