@@ -201,3 +201,10 @@ def test_latest_per_key_is_stable(spark):
     df = spark.range(1000).selectExpr("id % 7 k", "id v")
     want = sorted(tuple(r) for r in W.latest_per_key(df, ["k"], ["v"]).collect())
     assert want == sorted(tuple(r) for r in W.latest_per_key(df.repartition(9), ["k"], ["v"]).collect())
+
+
+def test_large_documents_grow_in_number():
+    """One task writes a file: its size must not follow the input."""
+    from verification.q_sources import document_files
+    assert document_files(0) == document_files(50000) == 4
+    assert all(n / document_files(n) < 1 << 18 for n in (10 ** 6, 10 ** 7, 10 ** 8))

@@ -166,16 +166,22 @@ def header_rows_json(t):
                       F.col("S0101_C01_001E").alias("population"))
 
 
+def document_files(rows):
+    """Files of some 300 MB, more than a task reads at once; each is sorted and written by one task."""
+    return max(4, rows >> 17)
+
+
 @query("select cast(doc_id as string) doc_id, text, lang, source from documents")
 def header_rows_large_documents(t):
     """Files that are one document each, its values with brackets, quotes and line breaks; they are split at rows."""
     names = ["doc_id", "text", "lang", "source"]
-    rows = t.documents.select((F.col("doc_id") % 4).alias("file"), F.lit(1).alias("part"), "doc_id",
+    files = document_files(t.documents.count())
+    rows = t.documents.select((F.col("doc_id") % files).alias("file"), F.lit(1).alias("part"), "doc_id",
                               F.concat(F.lit(","), F.to_json(F.array(*[F.col(c).cast("string") for c in names]))).alias("value"))
     ends = rows.select("file").distinct().select("file", F.explode(F.create_map(
         F.lit(0), F.concat(F.lit("["), F.to_json(F.array(*[F.lit(c) for c in names]))), F.lit(2), F.lit("]"))).alias("part", "value"))
     path = shared_dir(t.spark, "documents")
-    lines = rows.unionByName(ends, allowMissingColumns=True).repartition("file").sortWithinPartitions("file", "part", "doc_id")
+    lines = rows.unionByName(ends, allowMissingColumns=True).repartition(files, "file").sortWithinPartitions("file", "part", "doc_id")
     lines.select("file", "value").write.mode("overwrite").partitionBy("file").text(path)
     return tables.read_header_rows_json(t.spark, path, names)
 
