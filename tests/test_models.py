@@ -155,3 +155,8 @@ def test_equal_rows_are_dealt_evenly(table):
     assert len(sizes) == 8 and max(sizes) < 2 * 3000 / 8
     one, two = (ML.fit_logistic(df, "y", ["x"], ["city"], partitions=n, key="k").model.coefficients.toArray() for n in (4, 8))
     assert one == pytest.approx(two, rel=1e-4, abs=1e-6)
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ML, "PARTITION_ROWS", 100)
+    assert ML._partitions(spark.range(3001), 8) == 31 and ML._partitions(spark.range(50), 8) == 8
