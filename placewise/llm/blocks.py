@@ -28,17 +28,26 @@ def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all().combine_chunks()
 
 
-def squeeze(numbers: np.ndarray) -> bytes:
-    """64-bit integers, small if they ascend."""
-    steps = np.diff(numbers.astype(np.int64), prepend=np.int64(0))
-    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
-    return len(numbers).to_bytes(8, "little") + pa.Codec("zstd").compress(planes.tobytes(), asbytes=True)
+def planes(numbers: np.ndarray) -> bytes:
+    """The first bytes of all 64-bit integers, then the second ones and so on: small numbers compress well."""
+    return np.ascontiguousarray(numbers.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def expand(blob: bytes) -> np.ndarray:
+def from_planes(raw: bytes | np.ndarray) -> np.ndarray:
+    flat = np.frombuffer(raw, np.uint8)
+    return np.ascontiguousarray(flat.reshape(8, len(flat) // 8).T).view(np.int64).ravel()
+
+
+def squeeze(numbers: np.ndarray, ascend: bool = True) -> bytes:
+    """64-bit integers, small if they ascend; with ``ascend`` off, if they are small themselves."""
+    raw = planes(np.diff(numbers.astype(np.int64), prepend=np.int64(0)) if ascend else numbers)
+    return len(numbers).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def expand(blob: bytes, ascend: bool = True) -> np.ndarray:
     n = int.from_bytes(blob[:8], "little")
-    planes = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], n * 8, asbytes=True), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel())
+    numbers = from_planes(pa.Codec("zstd").decompress(blob[8:], n * 8, asbytes=True))
+    return np.cumsum(numbers) if ascend else numbers
 
 
 def block_tables(batches: Iterator[pa.RecordBatch], text_col: str, size: int) -> Iterator[tuple[int, int, pa.Table]]:

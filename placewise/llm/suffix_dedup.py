@@ -6,14 +6,15 @@ those alone in their class drop out after each pass; the classes left at the end
 * The first digit is a part of the window, two thirds of it, that the content itself picks: the one with the
   smallest hash among all parts of that length. Equal windows pick equal parts, and neighbouring windows mostly the same
   one, so a text has one such digit for every nine bytes or so. Digits are exchanged as sorted integers, and those
-  found in one document only drop out with all their windows.
+  found in one document only drop out with all their windows. The answer names a digit by its place in what was sent.
 * The last digit is the rest of the window. Runs of remaining windows go, as text, to the first block that holds their
   digit, where the windows are sorted through the threshold length and compared byte by byte.
 
 Windows that repeat inside a block are settled there, and only one of each leaves it, so a group of copies costs one copy
-per block. A digit found in more than ``HOT`` blocks sends each window on its own, by the hash of the whole window, so
-that its documents do not meet in one task. Nothing is capped: a digit's width follows the input size, and a false match
-of two digits only costs the comparison.
+per block. Runs whose digit is in more than ``NEAR`` blocks are dealt by the digit, not to its first block, so that what is
+common does not gather at the first blocks. Beyond ``HOT`` blocks each window goes on its own, by the hash of the whole
+window, so that its documents do not meet in one task; that sends its bytes many times over, a run only once. Nothing is
+capped: a digit's width follows the input size, and a false match of two digits only costs the comparison.
 
 Matches never cross documents. A null text is empty. A document with a null id has no order: it is kept whole and takes
 nothing from others. Documents that share an id take nothing from each other. An empty table gives no rows.
@@ -30,12 +31,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from placewise.llm import common as C
-from placewise.llm.blocks import blocks_of, expand, pack, pack_blocks, squeeze, unpack
+from placewise.llm.blocks import blocks_of, expand, from_planes, pack, pack_blocks, planes, squeeze, unpack
 
 DEPTH = 50
 BLOCK_BYTES = 1 << 20
 BLOCKS_PER_HOME = 4  # blocks whose shared windows meet in one task
-HOT = 128  # blocks that share a digit; beyond, its windows travel one by one
+GROUP = 8  # blocks at most that send and get what they exchange about digits as one row
+NEAR = 128  # blocks that share a digit; beyond, its runs do not go to the first of them
+HOT = 1 << 16  # blocks that share a digit (some 60 bytes of each meet in one task); beyond, its windows travel one by one
+SPARE_BITS = 8  # of a digit, beyond those that number all digits: one in 256 or fewer matches another by chance
 PIECE = 1 << 18  # bytes hashed or windows sorted at once
 BUCKET = 1 << 20  # digits sorted by one task
 LOCAL, ALONE = -1, -2  # homes of digits that only one block holds, and of those that travel window by window
@@ -44,7 +48,7 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH,
-                 block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
+                 block_bytes: int = BLOCK_BYTES, hot: int = HOT, near: int = NEAR) -> DataFrame:
     """Per document: bytes, removed bytes, maximal removed runs and the SHA-256 of the rest."""
     def digest(table, data, offsets, removed):
         begins = removed & ~np.concatenate(([False], removed[:-1])) if len(removed) else removed
@@ -56,7 +60,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          "n_spans": spans, "kept_sha256": pa.array(kept, pa.string())})
 
     rows = C.narrow(df, doc_id=df[id_col].cast("long"), text=text_col)
-    return _dedup(rows, "doc_id", "text", depth, block_bytes, hot, SCHEMA, digest)
+    return _dedup(rows, "doc_id", "text", depth, block_bytes, hot, near, SCHEMA, digest)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None,
@@ -74,19 +78,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             new[length_col] = pc.utf8_length(texts).cast(table.schema.field(length_col).type)
         return pa.table({c: new.get(c, table.column(c)) for c in table.column_names})
 
-    return _dedup(df, id_col, text_col, depth, BLOCK_BYTES, HOT, df.schema, replaced)
+    return _dedup(df, id_col, text_col, depth, BLOCK_BYTES, HOT, NEAR, df.schema, replaced)
 
 
-def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: int, hot: int, schema,
+def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: int, hot: int, near: int, schema,
            finish: Callable) -> DataFrame:
     blocks = pack_blocks(df, text_col, block_bytes, sort_by=id_col)
-    n_blocks, total = blocks.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    n_blocks, total, most = blocks.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0)), F.max("n_bytes")).first()
+    group = max(min(n_blocks // 64, GROUP, GROUP * 2 * block_bytes // max(most or 0, 1)), 1)  # few or long ones go alone
     meeting = max(1, n_blocks // BLOCKS_PER_HOME)
     digits = max(2 * total // (depth - digit_length(depth) + 2), 1)
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucket_bits = max(int(digits // BUCKET), partitions - 1, 15).bit_length()  # no partition idles
     homes = 1 << bucket_bits
-    bits = min(max(int(digits).bit_length(), bucket_bits) + 16, 62)
+    bits = min(max(int(digits).bit_length(), bucket_bits) + SPARE_BITS, 62)
 
     def windows(table):
         ids = table.column(id_col)
@@ -94,6 +99,7 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
         return data, offsets, ids.to_numpy(), ids.is_valid().to_numpy()
 
     def send_digits(batches):
+        numbers, keys = [], []
         for number, table in blocks_of(batches):
             data, offsets, ids, valid = windows(table)
             starts, doc, digit = first_digits(data, offsets, valid, depth)
@@ -103,50 +109,80 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
             short, owner = short[order], owner[order]
             first = np.flatnonzero(np.concatenate(([True], short[1:] != short[:-1]))[:len(short)])
             last = np.append(first[1:], len(short)) - 1
-            keys = short[first] << 1 | (owner[first] != owner[last[:len(first)]])
-            bucket = short[first] >> (bits - bucket_bits)
-            cuts = np.searchsorted(bucket, np.arange(homes + 1))
-            full = np.flatnonzero(np.diff(cuts))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), number)),
-                 pa.array([squeeze(keys[cuts[b]:cuts[b + 1]]) for b in full], pa.binary())], ["bucket", "block", "keys"])
+            numbers.append(number)
+            keys.append(short[first] << 1 | (owner[first] != owner[last[:len(first)]]))
+            if len(numbers) == group:
+                yield digits_sent(numbers, keys)
+                numbers, keys = [], []
+        if numbers:
+            yield digits_sent(numbers, keys)
+
+    def digits_sent(numbers, keys):
+        cuts = np.array([np.searchsorted(k >> (bits - bucket_bits + 1), np.arange(homes + 1)) for k in keys])
+        full = np.flatnonzero(np.diff(cuts).sum(axis=0))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(full.astype(np.int32)), pa.array([numbers] * len(full), pa.list_(pa.int64())),
+             pa.array([squeeze(cuts[:, b + 1] - cuts[:, b], ascend=False) for b in full], pa.binary()),
+             pa.array([squeeze(np.concatenate([k[c[b]:c[b + 1]] for k, c in zip(keys, cuts)])) for b in full], pa.binary())],
+            ["bucket", "blocks", "counts", "keys"])
 
     def match_digits(table: pa.Table) -> pa.Table:
-        number = table.column("block").to_numpy()
-        lists = [expand(k) for k in table.column("keys").to_pylist()]
-        keys = np.concatenate(lists)
-        source = np.repeat(np.arange(len(lists), dtype=np.int32), [len(k) for k in lists])
+        number = np.concatenate([np.array(n, np.int64) for n in table.column("blocks").to_pylist()])
+        counts = np.concatenate([expand(c, ascend=False) for c in table.column("counts").to_pylist()])
+        keys = np.concatenate([expand(k) for k in table.column("keys").to_pylist()])
+        by_number = np.argsort(number)  # blocks of one group stand together
+        rank = np.empty(len(number), np.int32)
+        rank[by_number] = np.arange(len(number))
+        source, place = np.repeat(rank, counts), C.ranges(counts)
+        number = number[by_number]
         order = np.argsort(keys >> 1, kind="stable")
         short = keys[order] >> 1
         first = np.flatnonzero(np.concatenate(([True], short[1:] != short[:-1])))
         size = np.diff(np.append(first, len(short)))
         several = np.bitwise_or.reduceat(keys[order] & 1, first) > 0
-        home = np.minimum.reduceat(number[source[order]], first)
+        home = np.where(size > near, short[first], np.minimum.reduceat(number[source[order]], first))
+        home = (C.mix(home) % np.uint64(meeting)).astype(np.int64)
         home = np.where(size > hot, ALONE, np.where(size == 1, LOCAL, home))
         stays = np.repeat((size > 1) | several, size)
-        short, home, source = short[stays], np.repeat(home, size)[stays], source[order][stays]
+        place, home, source = place[order][stays], np.repeat(home, size)[stays], source[order][stays]
         order = np.argsort(source, kind="stable")
-        cuts = np.searchsorted(source[order], np.arange(len(lists) + 1))
-        parts = [(number[i], order[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        return pa.table({"block": pa.array([n for n, _ in parts], pa.int64()),
-                         "digits": pa.array([squeeze(short[p]) for _, p in parts], pa.binary()),
-                         "homes": pa.array([squeeze(home[p]) for _, p in parts], pa.binary())})
-
-    def send_windows(block: pa.Table, found: pa.Table) -> pa.Table:
+        place, home, source = place[order], home[order], source[order]
+        cuts = np.append(np.flatnonzero(np.diff(number // group, prepend=-1)), len(number))
+        ends = np.searchsorted(source, cuts)
+        parts = [(a, b, c, d) for a, b, c, d in zip(cuts, cuts[1:], ends, ends[1:]) if d > c]
+        return pa.table({
+            "group": pa.array([number[a] // group for a, *_ in parts], pa.int64()),
+            "bucket": pa.array(np.full(len(parts), table.column("bucket")[0].as_py()), pa.int32()),
+            "blocks": pa.array([number[a:b] for a, b, *_ in parts], pa.list_(pa.int64())),
+            "counts": pa.array([squeeze(np.bincount(source[c:d] - a, minlength=b - a), ascend=False) for a, b, c, d in parts],
+                               pa.binary()),
+            "places": pa.array([squeeze(place[c:d]) for *_, c, d in parts], pa.binary()),
+            "homes": pa.array([squeeze(home[c:d] - ALONE, ascend=False) for *_, c, d in parts], pa.binary())})
+
+    def send_windows(group_blocks: pa.Table, found: pa.Table) -> pa.Table:
         out = {"home": [], "block": [], "state": [], "payload": []}
-        if block.num_rows and found.num_rows:
-            number, table = next(blocks_of(block.to_batches()))
+        found = found.sort_by("bucket")
+        counts = [expand(c, ascend=False) for c in found.column("counts").to_pylist()]
+        owner, bucket, place, answer = (np.concatenate([np.empty(0, np.int64), *x]) for x in (
+            (np.repeat(np.array(n, np.int64), c) for n, c in zip(found.column("blocks").to_pylist(), counts)),
+            (np.full(c.sum(), b) for b, c in zip(found.column("bucket").to_pylist(), counts)),
+            (expand(p) for p in found.column("places").to_pylist()),
+            (expand(h, ascend=False) + ALONE for h in found.column("homes").to_pylist())))
+        for number, table in blocks_of(group_blocks.to_batches()):
+            mine = np.flatnonzero(owner == number)
+            if not len(mine):
+                continue
             data, offsets, ids, valid = windows(table)
             starts, doc, digit = first_digits(data, offsets, valid, depth)
-            lists = sorted(((expand(d), expand(h)) for d, h in zip(found.column("digits").to_pylist(),
-                                                                  found.column("homes").to_pylist())), key=lambda x: x[0][0])
-            known, home = (np.concatenate(x) for x in zip(*lists))
             runs, short = digit_runs(doc, digit, bits)
+            sent = np.unique(short)
+            known = sent[np.searchsorted(sent >> (bits - bucket_bits), bucket[mine]) + place[mine]]
+            home = answer[mine]
             at, there = C.lookup_sorted(known, short)
             size = np.diff(np.append(runs, len(doc)))
             home, there = np.repeat(home[at[there]], size[there]), np.repeat(there, size)
             starts, doc = starts[there], doc[there]
-            del digit, at, there, known, lists, runs, short, size
+            del digit, at, there, known, sent, mine, runs, short, size
             names = C.RangeHash(data).of(starts, starts + depth)
             head = equal_windows(data, starts, names, depth)
             own = head == np.arange(len(head))
@@ -156,9 +192,7 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
             out["payload"].append(pack(pa.table({"start": [squeeze(starts[~own])], "head": [squeeze(starts[head[~own]])]})))
             starts, doc, home, names = starts[own], doc[own], home[own], names[own]
             alone = home == ALONE
-            spread = C.mix(np.where(alone, names, home.astype(np.uint64)))
-            spread = (spread % np.where(alone, np.uint64(homes), np.uint64(meeting))).astype(np.int64)
-            home = np.where(home == LOCAL, LOCAL, np.where(alone, meeting + spread, spread))
+            home = np.where(alone, meeting + (C.mix(names) % np.uint64(homes)).astype(np.int64), home)
             begin = np.ones(len(starts), bool)
             begin[1:] = (starts[1:] != starts[:-1] + 1) | (home[1:] != home[:-1]) | alone[1:]
             begin = np.flatnonzero(begin)
@@ -199,10 +233,14 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
                          "state": pa.array([False] * len(out), pa.bool_()),
                          "payload": pa.array([squeeze(p) for _, p in out], pa.binary())})
 
-    def apply(block: pa.Table, news: pa.Table) -> pa.Table:
-        if not block.num_rows:
+    def apply(group_blocks: pa.Table, news: pa.Table) -> pa.Table:
+        if not group_blocks.num_rows:
             raise ValueError("news of a block that does not exist")
-        _, table = next(blocks_of(block.to_batches()))
+        to = news.column("block").to_numpy()
+        return pa.concat_tables([settle(table, news.filter(pa.array(to == number)))
+                                 for number, table in blocks_of(group_blocks.to_batches())])
+
+    def settle(table: pa.Table, news: pa.Table) -> pa.Table:
         data, offsets, ids, valid = windows(table)
         hit = np.zeros(len(data) + 1, bool)
         state = []
@@ -222,12 +260,15 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
         edge[at + depth] -= 1
         return finish(table, data, offsets, np.cumsum(edge)[:len(data)] > 0)
 
-    sent = blocks.mapInArrow(send_digits, "bucket int, block long, keys binary")
-    digits_found = sent.groupBy("bucket").applyInArrow(match_digits, "block long, digits binary, homes binary")
-    moved = blocks.groupBy("block").cogroup(digits_found.groupBy("block")).applyInArrow(
+    by_group = blocks.withColumn("group", F.expr(f"block div {group}"))
+    sent = blocks.mapInArrow(send_digits, "bucket int, blocks array<long>, counts binary, keys binary")
+    found = sent.groupBy("bucket").applyInArrow(
+        match_digits, "group long, bucket int, blocks array<long>, counts binary, places binary, homes binary")
+    moved = by_group.groupBy("group").cogroup(found.groupBy("group")).applyInArrow(
         send_windows, "home long, block long, state boolean, payload binary")
     news = moved.groupBy("home").applyInArrow(match_windows, "block long, state boolean, payload binary")
-    return blocks.groupBy("block").cogroup(news.groupBy("block")).applyInArrow(apply, schema)
+    news = news.withColumn("group", F.expr(f"block div {group}"))
+    return by_group.groupBy("group").cogroup(news.groupBy("group")).applyInArrow(apply, schema)
 
 
 def digit_length(depth: int) -> int:
@@ -325,8 +366,8 @@ def later_windows(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, depth:
 
 def pack_segments(ids: np.ndarray, start: np.ndarray, length: np.ndarray, text: np.ndarray) -> bytes:
     """Ids, places and texts as one compressed piece; there are many, most of them small."""
-    raw = b"".join((ids.astype(np.int64).tobytes(), start.astype(np.int64).tobytes(), length.astype(np.int64).tobytes(),
-                    text.tobytes()))
+    steps = [planes(np.diff(x.astype(np.int64), prepend=np.int64(0))) for x in (ids, start, length)]
+    raw = b"".join((*steps, text.tobytes()))
     head = np.array([len(ids), len(raw)], np.int64).tobytes()
     return head + pa.Codec("zstd", 6).compress(raw, asbytes=True)
 
@@ -334,7 +375,7 @@ def pack_segments(ids: np.ndarray, start: np.ndarray, length: np.ndarray, text:
 def unpack_segments(blob: bytes) -> tuple[np.ndarray, ...]:
     n, size = np.frombuffer(blob[:16], np.int64)
     raw = np.frombuffer(pa.Codec("zstd").decompress(blob[16:], size, asbytes=True), np.uint8)
-    return (*(raw[8 * n * i:8 * n * (i + 1)].view(np.int64) for i in range(3)), raw[24 * n:])
+    return (*(np.cumsum(from_planes(raw[8 * n * i:8 * n * (i + 1)])) for i in range(3)), raw[24 * n:])
 
 
 def _kept(data: np.ndarray, offsets: np.ndarray, removed: np.ndarray) -> list[bytes]:

@@ -42,6 +42,53 @@ def test_mixed_documents(spark, as_plain, mixed, block, hot, depth):
     assert as_plain(S.suffix_dedup(df, block_bytes=block, hot=hot, depth=depth)) == brute(mixed, depth)
 
 
+@pytest.mark.parametrize("block, near, hot", [(2000, 1, 1000), (2000, 3, 20), (60, 2, 1000)])
+def test_digits_of_many_blocks(spark, as_plain, mixed, block, near, hot):
+    df = spark.createDataFrame(mixed, "doc_id long, text string").repartition(5)
+    assert as_plain(S.suffix_dedup(df, block_bytes=block, near=near, hot=hot)) == brute(mixed)
+
+
+def shared_passage(n, length):
+    """Documents of a block each, all with one passage."""
+    r = random.Random(8)
+    passage = "".join(r.choices("abcdefgh ", k=length))
+    return [(i, "".join(r.choices("ijklmnop ", k=200)) + passage) for i in range(n)]
+
+
+def test_common_passages_travel_as_runs(spark, as_plain, monkeypatch, tmp_path):
+    rows, plain_pack = shared_passage(150, 600), S.pack_segments
+
+    def noted(ids, start, length, text):
+        with open(tmp_path / "bytes", "a") as f:
+            f.write(f"{len(text)}\n")
+        return plain_pack(ids, start, length, text)
+
+    monkeypatch.setattr(S, "pack_segments", noted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert as_plain(S.suffix_dedup(df, block_bytes=400)) == brute(rows)
+    sent = sum(map(int, (tmp_path / "bytes").read_text().split()))
+    assert sent < 16 * 600 * 150  # window by window it is 50 times the passage for each block
+
+
+def test_blocks_exchange_digits_in_groups(spark, as_plain, monkeypatch, tmp_path):
+    rows, plain_expand = shared_passage(150, 600), S.expand
+
+    def noted(blob, ascend=True):
+        with open(tmp_path / "lists", "a") as f:
+            f.write("x")
+        return plain_expand(blob, ascend)
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    lists = []
+    for group in (1, S.GROUP):
+        monkeypatch.setattr(S, "GROUP", group)
+        monkeypatch.setattr(S, "expand", noted)
+        (tmp_path / "lists").write_text("")
+        assert as_plain(S.suffix_dedup(df, block_bytes=400)) == brute(rows)
+        lists.append(len((tmp_path / "lists").read_text()))
+    assert lists[1] < 0.8 * lists[0]
+
+
 def test_documents(spark, as_plain, documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     assert as_plain(S.suffix_dedup(documents)) == brute(rows)
@@ -72,6 +119,16 @@ def test_a_cut_character_goes(spark):
     assert {r.doc_id: r.text for r in S.remove_repeats(df).collect()} == {1: "é" + shared, 2: ""}
 
 
+def test_packed_numbers():
+    up, any_order = np.array([3, 3, 9, 1 << 40]), np.array([5, 0, -7, 1 << 50, 2])
+    assert S.expand(S.squeeze(up)).tolist() == up.tolist()
+    assert S.expand(S.squeeze(any_order, ascend=False), ascend=False).tolist() == any_order.tolist()
+    assert S.expand(S.squeeze(up[:0])).tolist() == []
+    text = np.frombuffer(b"some text", np.uint8)
+    ids, start, length, back = S.unpack_segments(S.pack_segments(any_order[:2], up[:2], np.array([4, 5]), text))
+    assert (ids.tolist(), start.tolist(), length.tolist(), back.tobytes()) == ([5, 0], [3, 3], [4, 5], b"some text")
+
+
 def test_equal_hashes_are_told_apart():
     data = np.frombuffer(b"A" * 60 + b"B" * 60 + b"A" * 60, np.uint8)
     starts = np.array([0, 60, 120, 61])
