@@ -34,6 +34,17 @@ def test_grid_points(spark, regions, want):
             assert p["lng"] == pytest.approx(box[2] + p["col_no"] * rows[p["row_no"]][1], abs=1e-9)
 
 
+def test_rows_beyond_a_pole_have_no_points(spark):
+    """Numbers of columns that are below zero make no points, as in the SQL: counting down from 0 made some."""
+    box = (80.0, 100.0, 10.0, 14.0, 20000)
+    height, rows = corner(box)
+    grid = G.coverage_grid(G.regions_table(spark, [("Pole", *box)])).collect()
+    assert any(n <= 0 for n, _ in rows) and all(p["col_no"] >= 0 for p in grid)
+    for i, (n, _) in enumerate(rows):
+        before = sum(m for m, _ in rows[:i])
+        assert sorted(p["point_no"] for p in grid if p["row_no"] == i) == list(range(before + 1, before + n + 1))
+
+
 def expected_means(xs, window=50, warmup=80):
     """Mean of the last ``window`` numbers, of which those before the warm-up's end do not count once it is over."""
     first = [max(0, i - window + 1, warmup - 1 if i >= warmup - 1 else 0) for i in range(len(xs))]
