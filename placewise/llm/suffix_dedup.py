@@ -36,11 +36,13 @@ from placewise.llm.blocks import blocks_of, expand, from_planes, pack, pack_bloc
 DEPTH = 50
 BLOCK_BYTES = 1 << 20
 BLOCKS_PER_HOME = 4  # blocks whose shared windows meet in one task
-GROUP = 8  # blocks at most that send and get what they exchange about digits as one row
+GROUP = 8  # blocks at most that send and get what they exchange as one row
+PLACE_BITS = 40  # of a place in a block; above them stands the number of the block in its group
 NEAR = 128  # blocks that share a digit; beyond, its runs do not go to the first of them
 HOT = 1 << 16  # blocks that share a digit (some 60 bytes of each meet in one task); beyond, its windows travel one by one
 SPARE_BITS = 8  # of a digit, beyond those that number all digits: one in 256 or fewer matches another by chance
 PIECE = 1 << 18  # bytes hashed or windows sorted at once
+SORTED = 1 << 22  # windows whose hashes can lose the bits of a place and still hardly ever meet by chance
 BUCKET = 1 << 20  # digits sorted by one task
 LOCAL, ALONE = -1, -2  # homes of digits that only one block holds, and of those that travel window by window
 
@@ -161,6 +163,7 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
 
     def send_windows(group_blocks: pa.Table, found: pa.Table) -> pa.Table:
         out = {"home": [], "block": [], "state": [], "payload": []}
+        texts, runs_of = [], []
         found = found.sort_by("bucket")
         counts = [expand(c, ascend=False) for c in found.column("counts").to_pylist()]
         owner, bucket, place, answer = (np.concatenate([np.empty(0, np.int64), *x]) for x in (
@@ -175,7 +178,7 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
             data, offsets, ids, valid = windows(table)
             starts, doc, digit = first_digits(data, offsets, valid, depth)
             runs, short = digit_runs(doc, digit, bits)
-            sent = np.unique(short)
+            sent = _distinct(short)
             known = sent[np.searchsorted(sent >> (bits - bucket_bits), bucket[mine]) + place[mine]]
             home = answer[mine]
             at, there = C.lookup_sorted(known, short)
@@ -198,18 +201,22 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
             begin = np.flatnonzero(begin)
             end = starts[np.append(begin[1:], len(starts)) - 1] + depth if len(begin) else begin
             home, doc, begin = home[begin], doc[begin], starts[begin]
+            leaves = home != LOCAL
+            home, doc, begin, length = home[leaves], doc[leaves], begin[leaves], (end - begin)[leaves]
+            runs_of.append((home, ids[doc], begin + (number % group << PLACE_BITS), length, begin + sum(map(len, texts))))
+            texts.append(data)
+        if runs_of:
+            home, owner, place, length, begin = (np.concatenate(x) for x in zip(*runs_of))
+            data = np.concatenate(texts)
             order = np.argsort(home, kind="stable")
             cuts = np.flatnonzero(np.concatenate(([True], home[order][1:] != home[order][:-1]))) if len(order) else []
             for a, b in zip(cuts, np.append(cuts[1:], len(order))):
                 part = order[a:b]
-                if home[part[0]] == LOCAL:
-                    continue
-                length = end[part] - begin[part]
-                text = data[np.repeat(begin[part], length) + C.ranges(length)]
+                text = data[np.repeat(begin[part], length[part]) + C.ranges(length[part])]
                 out["home"].append(int(home[part[0]]))
                 out["block"].append(number)
                 out["state"].append(False)
-                out["payload"].append(pack_segments(ids[doc[part]], begin[part], length, text))
+                out["payload"].append(pack_segments(owner[part], place[part], length[part], text))
         return pa.table({"home": pa.array(out["home"], pa.int64()), "block": pa.array(out["block"], pa.int64()),
                          "state": pa.array(out["state"], pa.bool_()), "payload": pa.array(out["payload"], pa.binary())})
 
@@ -228,7 +235,7 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
         segment = np.searchsorted(offsets, flagged, side="right") - 1
         source = number[order[segment]]
         position = start[order[segment]] + flagged - offsets[segment]
-        out = [(int(table.column("block")[int(i)].as_py()), np.unique(position[source == i])) for i in np.unique(source)]
+        out = [(int(table.column("block")[int(i)].as_py()), p) for i, p in by_source(source, position)]
         return pa.table({"block": pa.array([b for b, _ in out], pa.int64()),
                          "state": pa.array([False] * len(out), pa.bool_()),
                          "payload": pa.array([squeeze(p) for _, p in out], pa.binary())})
@@ -236,20 +243,19 @@ def _dedup(df: DataFrame, id_col: str, text_col: str, depth: int, block_bytes: i
     def apply(group_blocks: pa.Table, news: pa.Table) -> pa.Table:
         if not group_blocks.num_rows:
             raise ValueError("news of a block that does not exist")
-        to = news.column("block").to_numpy()
-        return pa.concat_tables([settle(table, news.filter(pa.array(to == number)))
+        states = [(to, unpack(payload)) for to, payload in zip(*(
+            news.filter(news.column("state")).column(c).to_pylist() for c in ("block", "payload")))]
+        found = news.filter(pc.invert(news.column("state"))).column("payload")
+        hits = np.concatenate([np.empty(0, np.int64), *(expand(p.as_py()) for p in found)])
+        return pa.concat_tables([settle(table, [s for to, s in states if to == number],
+                                        hits[hits >> PLACE_BITS == number % group] & (1 << PLACE_BITS) - 1)
                                  for number, table in blocks_of(group_blocks.to_batches())])
 
-    def settle(table: pa.Table, news: pa.Table) -> pa.Table:
+    def settle(table: pa.Table, states: list[pa.Table], hits: np.ndarray) -> pa.Table:
         data, offsets, ids, valid = windows(table)
         hit = np.zeros(len(data) + 1, bool)
-        state = []
-        for is_state, payload in zip(news.column("state").to_pylist(), news.column("payload").to_pylist()):
-            if is_state:
-                state.append(unpack(payload))
-            else:
-                hit[expand(payload)] = True
-        for s in state:
+        hit[hits] = True
+        for s in states:
             start, head = expand(s.column("start")[0].as_py()), expand(s.column("head")[0].as_py())
             owner = np.searchsorted(offsets, np.concatenate((start, head)), side="right") - 1
             later = ids[owner[:len(start)]] > ids[owner[len(start):]]
@@ -306,6 +312,28 @@ def digit_runs(doc: np.ndarray, digit: np.ndarray, bits: int) -> tuple[np.ndarra
     return runs, (C.mix(digit[runs]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def by_source(source: np.ndarray, position: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each source and its different positions, ascending: one sort, however many sources there are."""
+    bits = int(position.max(initial=0)).bit_length()
+    if int(source.max(initial=0)).bit_length() + bits < 64:
+        both = _distinct(source.astype(np.int64) << bits | position)
+        source, position = both >> bits, both & (1 << bits) - 1
+    else:
+        order = np.lexsort((position, source))
+        source, position = source[order], position[order]
+        new = (source[1:] != source[:-1]) | (position[1:] != position[:-1])
+        new = np.concatenate(([True], new))[:len(source)]
+        source, position = source[new], position[new]
+    first = np.flatnonzero(np.concatenate(([True], source[1:] != source[:-1]))[:len(source)])
+    return [(int(source[a]), position[a:b]) for a, b in zip(first, np.append(first[1:], len(source)))]
+
+
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """``np.unique``, which hashes integers since numpy 2.3, at the speed of a sort."""
+    numbers = np.sort(numbers)
+    return numbers[np.concatenate(([True], numbers[1:] != numbers[:-1]))[:len(numbers)]]
+
+
 def _sliding_min(values: np.ndarray, span: int) -> np.ndarray:
     width = 1
     while 2 * width <= span:
@@ -317,8 +345,14 @@ def _sliding_min(values: np.ndarray, span: int) -> np.ndarray:
 
 def equal_windows(data: np.ndarray, starts: np.ndarray, names: np.ndarray, depth: int) -> np.ndarray:
     """For each window the first (in the given order) that has the same bytes. ``names`` are hashes of the windows."""
-    order = np.argsort(names, kind="stable")
-    ranked = names[order]
+    bits = np.uint64(max(len(names) - 1, 1).bit_length())
+    if len(names) <= SORTED:  # numbers sort faster than places: a window's place stands in the low bits of its hash
+        ranked = np.sort(names >> bits << bits | np.arange(len(names), dtype=np.uint64))
+        order = (ranked & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
+        ranked >>= bits
+    else:
+        order = np.argsort(names, kind="stable")
+        ranked = names[order]
     first = np.concatenate(([True], ranked[1:] != ranked[:-1]))[:len(order)]
     head = np.empty(len(order), np.int64)
     head[order] = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else order

@@ -89,6 +89,43 @@ def test_blocks_exchange_digits_in_groups(spark, as_plain, monkeypatch, tmp_path
     assert lists[1] < 0.8 * lists[0]
 
 
+def test_blocks_exchange_windows_in_groups(spark, as_plain, monkeypatch, tmp_path):
+    rows, plain_pack = shared_passage(150, 600), S.pack_segments
+
+    def noted(*args):
+        with open(tmp_path / "pieces", "a") as f:
+            f.write("x")
+        return plain_pack(*args)
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(S, "pack_segments", noted)
+    pieces = []
+    for group in (1, S.GROUP):
+        monkeypatch.setattr(S, "GROUP", group)
+        (tmp_path / "pieces").write_text("")
+        assert as_plain(S.suffix_dedup(df, block_bytes=400)) == brute(rows)
+        pieces.append(len((tmp_path / "pieces").read_text()))
+    assert pieces[1] < 0.8 * pieces[0]
+
+
+def test_positions_by_source():
+    r = np.random.default_rng(3)
+    source, position = r.integers(0, 30, 5000), r.integers(0, 400, 5000)
+    for more in (0, 1 << 60):  # as one number, and as two
+        found = S.by_source(source, position + more)
+        assert [i for i, _ in found] == list(range(30))
+        assert all(p.tolist() == sorted({*(position[source == i] + more).tolist()}) for i, p in found)
+    assert S.by_source(source[:0], position[:0]) == []
+
+
+def test_windows_whose_shortened_hashes_meet():
+    """Hashes that differ in their low bits only are one class until the bytes are compared."""
+    data = np.frombuffer(b"".join(bytes([65 + i % 7]) * 60 for i in range(40)), np.uint8)
+    starts = np.arange(40) * 60
+    names = np.uint64(1 << 40) + (np.arange(40) % 7).astype(np.uint64)
+    assert S.equal_windows(data, starts, names, 50).tolist() == [i % 7 for i in range(40)]
+
+
 def test_documents(spark, as_plain, documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     assert as_plain(S.suffix_dedup(documents)) == brute(rows)
