@@ -72,6 +72,49 @@ def test_rows_do_not_depend_on_chunks(table, monkeypatch):
     assert [len(c) for c in model.cuts] == [15, 15, 2, 0] and model.importances.sum() == pytest.approx(1)
 
 
+def test_a_task_gets_the_rows_once_for_many_trees(table, spark):
+    """Thirty trees, whose rows go to 24 tasks and not once to each tree."""
+    rng = random.Random(7)
+    rows = frame(table, [(i, [rng.random(), rng.random()], i % 2) for i in range(300)])
+    model = T.fit_forest(rows, "features", "y", [1.0, 1.0], 30, 3, 16, 3)
+    assert model.parts.count() == 30
+    chunks = spark.range(3)
+    sent = T._to_groups(chunks, 30)
+    assert sent.count() == 3 * T.GROUPS and T._to_groups(chunks, 5).count() == 3 * 5
+    dealt = sent.repartition(T.SPREAD, "part").select("part", F.spark_partition_id().alias("task")).distinct()
+    assert dealt.count() == dealt.select("task").distinct().count() == T.GROUPS
+    one = {r.id: r.probability_1 for r in model.score(rows, "features").collect()}
+    parts = {r.node: T._unpack_nodes(r.nodes) for r in model.parts.collect()}
+    for r in rows.select("id", "x").collect():
+        record = np.array([[np.searchsorted(c, v, side="left") for c, v in zip(model.cuts, r.x)]], np.uint8)
+        assert one[r.id] == pytest.approx(np.mean([share[T._leaves(words, record)[0]] for words, share in parts.values()]))
+
+
+def test_rare_features_of_two_bins_share_a_place():
+    """Rows of a node are split on them as on any other feature, in slices of nodes or at once."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    city, x = rng.integers(0, 20, n), rng.integers(0, 40, (2, n))
+    bins = np.stack([*x, *[(city == i) for i in range(19)], rng.integers(0, 2, n)]).astype(np.uint8)
+    labels = ((city % 3 == 0) ^ (x[0] > 25) ^ (rng.random(n) < 0.1)).astype(np.uint8)
+    rows, col, code = T._records(bins, 5)
+    assert rows.shape == (n, 4) and (code[2:21] > 0).all() and not code[[0, 1, 21]].any()
+    grown = []
+    for slice_rows in (T.SLICE, 64):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(T, "SLICE", slice_rows)
+            grown.append(T.grow_part(bins, np.ones(n, int), labels, [0.7, 1.9], 22, 30, 40, np.random.default_rng(1)))
+    (feature, cut, left, share), gains = grown[0]
+    assert all((a == b).all() for a, b in zip([*grown[0][0], gains], [*grown[1][0], grown[1][1]]))
+    assert (feature[0], cut[0]) == best_split(list(zip(bins.T.tolist(), labels.tolist())), [0.7, 1.9])[1:]
+    leaf = T._walk(feature, cut, left, bins, np.zeros(n, np.int64))
+    words, again = T._unpack_nodes(T._pack_nodes(feature, cut, left, share))
+    assert (T._leaves(words, T._records_of(bins)) == leaf).all() and (again == share).all()
+    for node in set(leaf.tolist()):
+        n0, n1 = (w * int((labels[leaf == node] == k).sum()) for k, w in ((0, 0.7), (1, 1.9)))
+        assert share[node] == pytest.approx(n1 / (n0 + n1))
+
+
 def test_odd_rows(table):
     for labels in ([1], [0, 0, 0], [0, 1, 1, 1]):
         df = frame(table, [(i, [1.0], y) for i, y in enumerate(labels)])
